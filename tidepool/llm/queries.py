@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.llm.ann import NEAREST_SQL, nearest
 from tidepool.llm.bpe import decode_ids, encode_texts
+from tidepool.llm.embedding_dedup import LINKS_SQL, link_vectors
 from tidepool.llm.language_id import fit_languages, identify_languages
 from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
@@ -56,19 +58,30 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     )
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_totals(mix_sources(table(spark, sf_dir, "documents")))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_language_id": op3_language_id,
         "op6_secrets": op6_secrets,
         "op7_bpe": op7_bpe,
+        "op8_nearest": op8_nearest,
         "op9_mixing": op9_mixing,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIX_SQL}
+    return {"op8_nearest": NEAREST_SQL, "op9_mixing": MIX_SQL, "op10_embedding_dedup": LINKS_SQL}
