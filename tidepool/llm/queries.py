@@ -16,6 +16,7 @@ from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
 from tidepool.llm.shared import in_fold
 from tidepool.llm.token_counts import count_tokens
+from tidepool.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold("doc_id", 5, 0)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs.where(~in_fold("doc_id", 4, 2)))
@@ -74,6 +82,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_toxicity": op2_toxicity,
         "op3_language_id": op3_language_id,
         "op6_secrets": op6_secrets,
         "op7_bpe": op7_bpe,
