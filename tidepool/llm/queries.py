@@ -13,6 +13,7 @@ from tidepool.llm.bpe import decode_ids, encode_texts
 from tidepool.llm.embedding_dedup import LINKS_SQL, link_vectors
 from tidepool.llm.language_id import fit_languages, identify_languages
 from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
+from tidepool.llm.near_dups import NEAR_SQL, near_duplicates
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
 from tidepool.llm.shared import in_fold
 from tidepool.llm.token_counts import count_tokens
@@ -41,6 +42,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = scan_secrets(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_toxicity": op2_toxicity,
         "op3_language_id": op3_language_id,
+        "op4_near_dups": op4_near_dups,
         "op6_secrets": op6_secrets,
         "op7_bpe": op7_bpe,
         "op8_nearest": op8_nearest,
@@ -93,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_nearest": NEAREST_SQL, "op9_mixing": MIX_SQL, "op10_embedding_dedup": LINKS_SQL}
+    return {"op4_near_dups": NEAR_SQL, "op8_nearest": NEAREST_SQL, "op9_mixing": MIX_SQL, "op10_embedding_dedup": LINKS_SQL}
