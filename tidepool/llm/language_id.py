@@ -89,8 +89,9 @@ def identify_languages(
     narrow: float = 0.002,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """lang_pred, score and rejected for every whole text; one narrow stage, no shuffle.
+    """(id, *keep, lang_pred, score, rejected) of every whole text; one narrow stage, no shuffle.
 
     Each window of a text is compressed with each language's dictionary; the language with
     the smallest sum wins, ties to the first name. score is the winner's share of
@@ -120,5 +121,6 @@ def identify_languages(
 
         return f
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_text(docs, [id_col], text_col, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean", make)
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kept = ", ".join(f"`{c}` {fields[c]}" for c in (id_col, *keep))
+    return map_text(docs, [id_col, *keep], text_col, f"{kept}, lang_pred string, score double, rejected boolean", make)

@@ -12,6 +12,7 @@ from tidepool.llm.ann import NEAREST_SQL, nearest
 from tidepool.llm.bpe import decode_ids, encode_texts
 from tidepool.llm.embedding_dedup import LINKS_SQL, link_vectors
 from tidepool.llm.language_id import fit_languages, identify_languages
+from tidepool.llm.line_dedup import dedup_lines
 from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
 from tidepool.llm.near_dups import NEAR_SQL, near_duplicates
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
@@ -46,6 +47,10 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = scan_secrets(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_language_id": op3_language_id,
         "op4_near_dups": op4_near_dups,
+        "op5_line_dedup": op5_line_dedup,
         "op6_secrets": op6_secrets,
         "op7_bpe": op7_bpe,
         "op8_nearest": op8_nearest,

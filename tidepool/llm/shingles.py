@@ -5,14 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-with np.errstate(over="ignore"):
-    _BASE = _U(0x9E3779B97F4A7C15)
-    _rng = np.random.default_rng(20240229)
-    #: A random number for each byte, A-Z as a-z.
-    BYTE_HASH = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
-    BYTE_HASH[65:91] = BYTE_HASH[97:123]
-    WHITE = np.zeros(256, bool)
-    WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = _U(0x9E3779B97F4A7C15)
+_rng = np.random.default_rng(20240229)
+#: A random number for each byte, A-Z as a-z.
+BYTE_HASH = _rng.integers(1, np.iinfo(np.int64).max, 256, dtype=np.int64).astype(np.uint64)
+BYTE_HASH[65:91] = BYTE_HASH[97:123]
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,27 +22,26 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    with np.errstate(over="ignore"):
-        out = []
-        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
-            p = np.ones(n + 1, np.uint64)
-            p[1:] = _U(base)
-            out.append(np.cumprod(p))
-    return out[0], out[1]
+_powers: list[np.ndarray] = []
 
 
-_POWERS = powers(0)
+def powers(n: int) -> list[np.ndarray]:
+    """At least n + 1 powers of an odd base and of its inverse, modulo 2^64; kept for later calls."""
+    if not _powers or len(_powers[0]) <= n:
+        size, made = max(n + 1, 1 << 22), []
+        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+            p = np.full(size, _U(base))
+            p[0] = 1
+            with np.errstate(over="ignore"):
+                made.append(np.cumprod(p))
+        _powers[:] = made
+    return _powers
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words of each text); words are runs of other than blank bytes."""
-    global _POWERS
     n = len(data)
-    if len(_POWERS[0]) < n + 1:
-        _POWERS = powers(max(n, 1 << 22))
-    forth, back = _POWERS
+    forth, back = powers(n)
     inside = ~WHITE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
