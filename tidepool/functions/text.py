@@ -114,7 +114,7 @@ def clean_description(text: str | None) -> str | None:
         decode = decode and "<" not in line  # markup from here on: entities are meant literally
         for _ in range(50):
             fixed = _ENTITY.sub(lambda m: html.unescape(m[0]), line) if decode else line
-            fixed = unicodedata.normalize("NFC", _ESCAPE.sub("", fixed.translate(table)))
+            fixed = unicodedata.normalize("NFC", _ESCAPE.sub("", fixed).translate(table))
             if fixed == line:
                 break
             line = fixed
