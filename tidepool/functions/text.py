@@ -20,6 +20,10 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
+def n_terms(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0))
+
+
 @cache
 def _latin_fold() -> tuple[str, str]:
     """Lower-case Latin letters that are one base letter and one mark, and their base letters."""

@@ -99,16 +99,26 @@ def semantic_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES)
     return top_k(found, k, "similarity")
 
 
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """(asset_id, n_tokens, term) for every token of (asset_id, text)."""
+    counted = texts.select("asset_id", T.tokens(F.col("text")).alias("t"))
+    return counted.select("asset_id", F.size("t").alias("n_tokens"), F.explode("t").alias("term"))
+
+
+def _grouped(occurrences: DataFrame) -> DataFrame:
+    """(term, asset_id, tf, n_tokens); a text's tokens are counted where they are, before the shuffle."""
+    return occurrences.groupBy("term", "asset_id").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens"))
+
+
 def postings(texts: DataFrame) -> DataFrame:
     """(term, asset_id, tf, n_tokens) of every indexed text (asset_id, text)."""
-    counted = texts.select("asset_id", T.tokens(F.col("text")).alias("t"))
-    rows = counted.select("asset_id", F.size("t").alias("n_tokens"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "asset_id").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens"))
+    return _grouped(_occurrences(texts))
 
 
 def corpus_statistics(texts: DataFrame) -> DataFrame:
     """One row: n_docs and avg_tokens over all indexed texts, whatever their version."""
-    return texts.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.tokens(F.col("text")))).alias("avg_tokens"))
+    # Folding moves no token boundary, so tokens are counted on the text as it is.
+    return texts.agg(F.count("*").alias("n_docs"), F.avg(T.n_terms(F.col("text"))).alias("avg_tokens"))
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
@@ -124,43 +134,40 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def literal_matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, asset_id) of texts that hold every term of the query as a whole word."""
-    return _hits(queries, texts).select("query_id", "asset_id")
+    found = _asked_postings(queries, texts)
+    hits = found.groupBy("query_id", "asset_id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
+    return hits.where(F.col("n") == F.col("n_terms")).select("query_id", "asset_id")
 
 
-def _hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
+def _asked_postings(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, term, times, n_terms, asset_id, tf, n_tokens, df) where query terms occur.
+
+    Tokens that no query asks for are dropped before anything is grouped or shuffled.
+    """
     asked = query_terms(queries)
-    all_terms = asked.select("term").distinct()
-    # Only postings of asked terms are grouped; document frequencies come from the same rows.
-    found = postings(texts).join(all_terms, "term", "left_semi")
+    found = _grouped(_occurrences(texts).join(asked.select("term").distinct(), "term", "left_semi"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(df, "term").join(asked, "term")
-    hits = rows.groupBy("query_id", "asset_id").agg(
-        F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.first("n_tokens").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.struct("term", "tf", "df", "times"))).alias("terms"),
-    )
-    return hits.where(F.col("n") == F.col("n_terms"))
+    return found.join(asked.join(df, "term"), "term")
 
 
 def bm25_scores(queries: DataFrame, texts: DataFrame, searchable: DataFrame | None = None) -> DataFrame:
     """(query_id, asset_id, score): BM25 of the matches, negative, smaller is better.
 
-    The statistics cover all texts; only ``searchable`` (asset_id) may be found, and terms
-    are summed in their order so that the score is the same at every run.
+    The statistics cover all texts; only ``searchable`` (asset_id) may be found. The terms of
+    a hit are summed as they come, so scores agree to about fifteen digits between runs.
     """
     stats = F.broadcast(corpus_statistics(texts))  # one row
-    hits = _hits(queries, texts)
+    rows = _asked_postings(queries, texts)
     if searchable is not None:
-        hits = hits.join(searchable.select("asset_id").distinct(), "asset_id", "left_semi")
-    hits = hits.crossJoin(stats)
+        rows = rows.join(searchable.select("asset_id").distinct(), "asset_id", "left_semi")
+    rows = rows.crossJoin(stats)
+    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     length = 1 - B + B * F.col("n_tokens") / F.col("avg_tokens")
-
-    def part(t):
-        idf = F.log((F.col("n_docs") - t["df"] + 0.5) / (t["df"] + 0.5))
-        idf = F.greatest(idf, F.lit(1e-6))
-        return t["times"] * idf * (t["tf"] * (K1 + 1) / (t["tf"] + K1 * length))
-
-    score = -F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t))
-    return hits.select("query_id", "asset_id", score.alias("score"))
+    part = F.col("times") * idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
+    hits = rows.groupBy("query_id", "asset_id").agg(
+        F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), (-F.sum(part)).alias("score")
+    )
+    return hits.where(F.col("n") == F.col("n_terms")).select("query_id", "asset_id", "score")
 
 
 def bm25_top_k(queries: DataFrame, texts: DataFrame, k: int, searchable: DataFrame | None = None) -> DataFrame:
