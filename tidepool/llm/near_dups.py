@@ -17,10 +17,10 @@ from tidepool.llm.shingles import mix, shingle_sets
 #: table, so SIDE * SIDE tables of 2 * ROWS minhashes cost 2 * SIDE * ROWS minhashes. At a
 #: similarity of 0.8 a pair meets in some table with probability 0.9994.
 SIDE, ROWS = 8, 2
-#: Bins of the one-permutation signature that screens pairs before sets are compared.
-BINS = 256
+#: Bins of the one-permutation signature that screens pairs before sets are compared; a power of two.
+BINS = 512
 #: Deviations below the threshold at which the screen drops a pair.
-SLACK = 4.5
+SLACK = 4.0
 #: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Members of a bucket that meet in one piece of work.
@@ -48,7 +48,7 @@ def sketch(values: np.ndarray, sizes: np.ndarray) -> dict[str, object]:
                     key = mix(key * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(values * _FACTORS[s * ROWS + r], first))
                 keys[s, full] = key.view(np.int64)
         text = np.repeat(np.arange(n), sizes)
-        spot = text * BINS + (values >> np.uint64(56)).astype(np.int64)
+        spot = text * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
         least = np.ones(len(spot), bool)
         least[1:] = spot[1:] != spot[:-1]
         # The least value of a bin, as a byte from 1 to 255; 0 is an empty bin.
@@ -65,12 +65,19 @@ def sketch(values: np.ndarray, sizes: np.ndarray) -> dict[str, object]:
     }
 
 
-def likely(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of signature rows that may reach the threshold, by the bins that agree."""
+def likely(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that may reach the threshold, by their set sizes m, n and the signature bins that agree.
+
+    The bins in use are a sample without replacement of the union, so for sets that are not
+    much larger than the signature the deviation is small.
+    """
+    t = percent / 100
     used = ((a | b) != 0).sum(1)
     same = ((a == b) & (a != 0)).sum(1)
-    t = percent / 100
-    return same >= t * used - SLACK * np.sqrt(t * (1 - t) * np.maximum(used, 1)) - 1
+    union = np.maximum((m + n) / (1 + t), used)
+    rest = (union - used) / np.maximum(union - 1, 1)
+    fits = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+    return fits & (same >= t * used - SLACK * np.sqrt(t * (1 - t) * np.maximum(used, 1) * rest) - 1)
 
 
 def _rows(column: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -82,14 +89,16 @@ def _rows(column: pa.Array, width: int, kind: type) -> np.ndarray:
 def _screen(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures allow the threshold."""
     for side in "ab":
-        pairs = pairs.join(signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}")), side)
+        own = [F.col(c).alias(f"{c[0]}{side}") for c in ("signature", "n_shingles")]
+        pairs = pairs.join(signatures.select(F.col("rep").alias(side), *own), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ok = likely(_rows(t.column(2), BINS, np.uint8), _rows(t.column(3), BINS, np.uint8), percent)
+            a, b = (_rows(t.column(i), BINS, np.uint8) for i in (2, 3))
+            ok = likely(a, b, t.column(4).to_numpy(), t.column(5).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(ok)), t.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -134,7 +143,7 @@ def bucket_pairs(rows: pa.Table, percent: int) -> pa.Table:
     """Pairs of different components within each bucket block, where they first meet, if likely."""
     if isinstance(rows, pa.RecordBatch):
         rows = pa.Table.from_batches([rows])
-    rep, comp, side = (rows.column(c).to_numpy() for c in ("rep", "component", "side"))
+    rep, comp, side, many = (rows.column(c).to_numpy() for c in ("rep", "component", "side", "n_shingles"))
     spot = rows.column("block").to_numpy()
     table = rows.column("table").to_numpy()
     subs = _rows(rows.column("subs"), 2 * SIDE, np.int32)
@@ -155,13 +164,13 @@ def bucket_pairs(rows: pa.Table, percent: int) -> pa.Table:
             # A block of two parts pairs across them; a part paired with itself has side 0 only.
             fits = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
             a, b = a[fits], b[fits]
-            for lo in range(0, len(a), 40_000):
-                x, y = a[lo : lo + 40_000], b[lo : lo + 40_000]
+            for lo in range(0, len(a), 10_000):
+                x, y = a[lo : lo + 10_000], b[lo : lo + 10_000]
                 same = subs[x] == subs[y]
                 first = same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
                 ok = first == table[x]
                 x, y = x[ok], y[ok]
-                ok = likely(signature[x], signature[y], percent)
+                ok = likely(signature[x], signature[y], many[x], many[y], percent)
                 found.append(np.column_stack([rep[x[ok]], rep[y[ok]]]))
     pairs = np.concatenate(found)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -221,7 +230,7 @@ def near_duplicates(
     open_keys = scratch.keep(open_keys.where(F.col("lo") < F.col("hi")).select("key"), "open")
     low = lambda c: F.transform(c, lambda x: F.hex(x.bitwiseAND(0xFFFFFFFF)))
     subs = F.unhex(F.array_join(F.transform(F.concat(low("left"), low("right")), lambda x: F.lpad(x, 8, "0")), ""))
-    payload = reps.select("rep", subs.alias("subs"), "signature")
+    payload = reps.select("rep", "n_shingles", subs.alias("subs"), "signature")
     open_rows = join_sized(placed.drop("leader"), open_keys, ["key"]).join(payload, "rep")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
@@ -236,7 +245,7 @@ def near_duplicates(
     spots = open_rows.withColumn("parts", parts).withColumn("own", own).withColumn("m", F.explode(meet))
     groups = max(1, buckets.count() // 3000)
     spots = spots.select(
-        F.pmod("m.block", F.lit(groups)).alias("work"), "m.block", "m.side", "table", "rep", "component", "subs", "signature"
+        F.pmod("m.block", F.lit(groups)).alias("work"), "m.block", "m.side", "table", "rep", "component", "n_shingles", "subs", "signature"
     )
     crossing = spots.groupBy("work").applyInArrow(lambda t: bucket_pairs(t, percent), "a long, b long")
     crossing = scratch.keep(crossing, "crossing")

@@ -28,7 +28,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> list[np.ndarray]:
     """At least n + 1 powers of an odd base and of its inverse, modulo 2^64; kept for later calls."""
     if not _powers or len(_powers[0]) <= n:
-        size, made = max(n + 1, 1 << 22), []
+        size, made = max(n + 1, 1 << 21), []
         for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
             p = np.full(size, _U(base))
             p[0] = 1
