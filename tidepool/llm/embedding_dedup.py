@@ -74,20 +74,28 @@ def block_links(rows: pa.Table, cosine: float) -> pa.Table:
     size = np.sqrt((v * v).sum(1))
     n = len(ids)
     alone = bool((side == 0).all())
-    linked = np.zeros(n, np.int64)
+    # Single precision decides all pairs but those at the threshold, which doubles decide.
+    unit = (v / size[:, None]).astype(np.float32)
     group = np.arange(n)
     at, to = [], []
     for lo in range(0, n, 512):  # rows of a strip against all
-        hi = min(n, lo + 512)
-        near = (v[lo:hi] @ v.T) / (size[lo:hi, None] * size[None, :]) >= cosine
-        near[np.arange(hi - lo), np.arange(lo, hi)] = False
-        if not alone:
-            near &= side[lo:hi, None] != side[None, :]
-        linked[lo:hi] = near @ weight
-        a, b = np.nonzero(near)
-        at.append(a + lo)
+        near = unit[lo : lo + 512] @ unit.T
+        a, b = np.nonzero(near >= cosine - 1e-4)
+        close = near[a, b]
+        a += lo
+        fits = a != b if alone else side[a] != side[b]
+        a, b, close = a[fits], b[fits], close[fits]
+        edge = np.flatnonzero(close < cosine + 1e-4)
+        if len(edge):
+            x, y = a[edge], b[edge]
+            exact = np.einsum("ij,ij->i", v[x], v[y]) / (size[x] * size[y])
+            keep = np.ones(len(a), bool)
+            keep[edge] = exact >= cosine
+            a, b = a[keep], b[keep]
+        at.append(a)
         to.append(b)
     a, b = np.concatenate(at), np.concatenate(to)
+    linked = np.bincount(a, weight[b], n).astype(np.int64)
     while len(a):  # smallest label of each group, by links and jumps
         least = group.copy()
         np.minimum.at(least, a, group[b])
