@@ -38,7 +38,7 @@ def _latin_fold() -> tuple[str, str]:
 def folded(text: Column) -> Column:
     """Lower case without the accents of Latin letters; Cyrillic letters keep theirs."""
     plain = F.translate(F.lower(text), *_latin_fold())
-    return F.regexp_replace(plain, r"(?<=[a-z])\p{Mn}", "")
+    return F.regexp_replace(plain, r"\p{Mn}(?<=[a-z]\p{Mn})", "")
 
 
 def tokens(text: Column) -> Column:

@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 CANDIDATES, RESULTS, FUSION = 100, 50, 60
 #: Queries that meet a partition of assets at a time, and most that are broadcast at once.
 QUERY_BLOCK, MOST_BROADCAST_QUERIES = 256, 20_000
+#: Most query terms that are broadcast; more join by a shuffle.
+MOST_BROADCAST_TERMS = 500_000
 
 
 def top_k(scored: DataFrame, k: int, score: str, ascending: bool = False, by: str = "query_id", tie: str = "asset_id") -> DataFrame:
@@ -102,7 +104,9 @@ def semantic_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES)
 def _occurrences(texts: DataFrame) -> DataFrame:
     """(asset_id, n_tokens, term) for every token of (asset_id, text)."""
     counted = texts.select("asset_id", T.tokens(F.col("text")).alias("t"))
-    return counted.select("asset_id", F.size("t").alias("n_tokens"), F.explode("t").alias("term"))
+    # An inner explode would make the optimizer filter on the tokens first, and tokenize twice.
+    rows = counted.select("asset_id", F.size("t").alias("n_tokens"), F.explode_outer("t").alias("term"))
+    return rows.where(F.col("term").isNotNull())
 
 
 def _grouped(occurrences: DataFrame) -> DataFrame:
@@ -145,7 +149,10 @@ def _asked_postings(queries: DataFrame, texts: DataFrame) -> DataFrame:
     Tokens that no query asks for are dropped before anything is grouped or shuffled.
     """
     asked = query_terms(queries)
-    found = _grouped(_occurrences(texts).join(asked.select("term").distinct(), "term", "left_semi"))
+    wanted = asked.select("term").distinct()
+    if wanted.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    found = _grouped(_occurrences(texts).join(wanted, "term", "left_semi"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     return found.join(asked.join(df, "term"), "term")
 
