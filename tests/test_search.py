@@ -51,6 +51,18 @@ def test_statistics_cover_texts_of_other_versions(spark):
     assert part == {"a": whole["a"]}
 
 
+def test_a_published_index_scores_alike(spark, tmp_path):
+    from tidepool.plans.tables import Tables
+    from tidepool.sources.tables import current, publish_index
+
+    t, root = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path)
+    publish_index(t.assets, t.stages, t.texts, root)
+    known = S.bm25_from_index(t.text_queries, current(spark, f"{root}/postings"), current(spark, f"{root}/statistics"))
+    rounded = lambda df: {(r.query_id, r.asset_id, round(r.score, 9)) for r in df.collect()}
+    assert rounded(known) == rounded(S.bm25_scores(t.text_queries, t.texts)) != set()
+    assert current(spark, f"{root}/stages").where("kind = 'ocr'").count() == t.documents.count()
+
+
 def ranked(spark, *rows):
     return spark.createDataFrame(rows, "query_id long, asset_id string, rank int")
 

@@ -149,10 +149,18 @@ def _asked_postings(queries: DataFrame, texts: DataFrame) -> DataFrame:
     Tokens that no query asks for are dropped before anything is grouped or shuffled.
     """
     asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    if wanted.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    found = _grouped(_occurrences(texts).join(wanted, "term", "left_semi"))
+    return _with_frequencies(asked, _grouped(_wanted(asked, _occurrences(texts))))
+
+
+def _wanted(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose term a query asks for; the terms are broadcast up to a checked number."""
+    terms = asked.select("term").distinct()
+    if terms.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    return rows.join(terms, "term", "left_semi")
+
+
+def _with_frequencies(asked: DataFrame, found: DataFrame) -> DataFrame:
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     return found.join(asked.join(df, "term"), "term")
 
@@ -163,8 +171,17 @@ def bm25_scores(queries: DataFrame, texts: DataFrame, searchable: DataFrame | No
     The statistics cover all texts; only ``searchable`` (asset_id) may be found. The terms of
     a hit are summed as they come, so scores agree to about fifteen digits between runs.
     """
-    stats = F.broadcast(corpus_statistics(texts))  # one row
-    rows = _asked_postings(queries, texts)
+    return _bm25(_asked_postings(queries, texts), corpus_statistics(texts), searchable)
+
+
+def bm25_from_index(queries: DataFrame, index: DataFrame, statistics: DataFrame, searchable: DataFrame | None = None) -> DataFrame:
+    """bm25_scores from published postings (term, asset_id, tf, n_tokens) and their one-row statistics."""
+    asked = query_terms(queries)
+    return _bm25(_with_frequencies(asked, _wanted(asked, index)), statistics, searchable)
+
+
+def _bm25(rows: DataFrame, statistics: DataFrame, searchable: DataFrame | None) -> DataFrame:
+    stats = F.broadcast(statistics)  # one row
     if searchable is not None:
         rows = rows.join(searchable.select("asset_id").distinct(), "asset_id", "left_semi")
     rows = rows.crossJoin(stats)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.labels import fingerprint
+from tidepool.operators.search import corpus_statistics, postings
 
 
 def publish(df: DataFrame, root: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet") -> str:
@@ -42,6 +43,18 @@ def current(spark: SparkSession, root: str, fmt: str = "parquet", schema: str |
     return (reader.schema(schema) if schema else reader).load(f"{root}/{version}")
 
 
+def publish_index(assets: DataFrame, stages: DataFrame, texts: DataFrame, root: str) -> None:
+    """The derived index: assets, stages by kind and version, texts, their postings and statistics.
+
+    Postings are sorted by term within files, so a search reads the row groups of its terms.
+    """
+    publish(assets, f"{root}/assets")
+    publish(stages, f"{root}/stages", ("kind", "version"))
+    publish(texts, f"{root}/texts")
+    publish(postings(texts).repartition("term").sortWithinPartitions("term", "asset_id"), f"{root}/postings")
+    publish(corpus_statistics(texts), f"{root}/statistics")
+
+
 def export_splits(labels: DataFrame, root: str, key: str = "query_id") -> DataFrame:
     """Writes one partition for each split; returns (split, rows) and the set's fingerprint."""
     path = publish(labels, root, ("split",))
