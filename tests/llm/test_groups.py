@@ -108,7 +108,7 @@ def test_nearest_finds_what_all_pairs_find(spark):
     ids = np.array(sorted(fine))
     m = np.array([fine[i] for i in ids])
     got = {}
-    for r in nearest(df, df.where("vec_id % 20 = 0"), k=5, leaf=40).orderBy("query_id", "rank").collect():
+    for r in nearest(df, df.where("vec_id % 20 = 0"), k=5, leaf=40, sample_rows=400).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hits = total = 0
     for q in [i for i in ids if i % 20 == 0]:

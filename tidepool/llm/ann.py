@@ -57,13 +57,13 @@ class Forest:
 
 
 def fit_forest(
-    sample: np.ndarray, total: int, trees: int = 8, leaf: int = 512, most_depth: int = 12, k: int = 20, recall: float = 0.97, seed: int = 7
+    sample: np.ndarray, total: int, trees: int = 8, leaf: int = 2048, most_depth: int = 12, k: int = 20, recall: float = 0.95, seed: int = 7
 ) -> Forest:
     """Fits on a bounded sample: each node cuts at the median along two random rows' difference.
 
     The depth aims at ``leaf`` rows a leaf of ``total``, at ``most_depth`` at most. The
-    number of leaves to visit is the smallest power of two by which 64 rows of the sample
-    find ``recall`` of their k nearest in the sample, or every leaf of every tree.
+    number of leaves to visit grows by quarters until 128 rows of the sample find ``recall``
+    of their k nearest in the sample, at most to every leaf of every tree.
     """
     rng = np.random.default_rng(seed)
     depth = max(0, min(most_depth, round(math.log2(max(1, total) / leaf)), int(math.log2(max(1, len(sample) / 16)))))
@@ -84,7 +84,7 @@ def fit_forest(
     forest, every = Forest(planes, cuts, depth, trees * 2**depth), trees * 2**depth
     if not depth:
         return Forest(planes, cuts, 0, 1)
-    asked = sample[rng.choice(len(sample), min(64, len(sample)), replace=False)]
+    asked = sample[rng.choice(len(sample), min(128, len(sample)), replace=False)]
     best = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, : k + 1]
     where = forest.leaves(sample)
     visits = 1
@@ -97,7 +97,7 @@ def fit_forest(
             hit += seen[np.arange(trees)[:, None], where[:, b]].any(0).sum()
         if hit >= recall * best.size:
             break
-        visits *= 2
+        visits = visits + max(1, visits // 4)
     return Forest(planes, cuts, depth, min(visits, every))
 
 
@@ -125,7 +125,7 @@ def nearest(
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     clean = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")
     )
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     kept = clean(vectors).distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
@@ -135,10 +135,11 @@ def nearest(
     total = distinct.count()
     sample = hash_sample(distinct.withColumn("id", F.col("ids")[0]), "id", sample_rows, total)
     rows = matrix(pa.array([r["v"] for r in sample.select("v").collect()], pa.list_(pa.float64()))) if total else None
-    if rows is None or not len(rows):
-        if not total:
-            return spark.createDataFrame([], schema)
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    if not len(rows):
         rows = matrix(pa.array([distinct.first()["v"]], pa.list_(pa.float64())))
+    element = distinct.schema["v"].dataType.elementType.simpleString()
     model = fit_forest(rows, total, k=k, **forest)
     dim = rows.shape[1]
     shared = spark.sparkContext.broadcast(model)  # trees x 2^depth planes: bounded by the parameters
@@ -158,9 +159,9 @@ def nearest(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["id", "v", "hits"])
 
     same = F.size("v") == dim
-    members = distinct.where(same).select("ids", "v").mapInArrow(index, "ids array<long>, v array<double>, leaf array<int>")
+    members = distinct.where(same).select("ids", "v").mapInArrow(index, f"ids array<long>, v array<{element}>, leaf array<int>")
     members = members.select("ids", "v", F.posexplode("leaf").alias("tree", "leaf"))
-    asked = asked.where(same).mapInArrow(probe, "id long, v array<double>, hits array<struct<tree:int,leaf:int>>")
+    asked = asked.where(same).mapInArrow(probe, f"id long, v array<{element}>, hits array<struct<tree:int,leaf:int>>")
     asked = scratch.keep(asked, "asked").select("id", "v", F.explode("hits").alias("h")).select("id", "v", "h.tree", "h.leaf")
     # Blocks of a leaf, from counts: trees x 2^depth rows at most.
     parts = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / block).cast("int")
@@ -184,28 +185,41 @@ def nearest(
         if not q.num_rows or not m.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "best": pa.array([], out_kind)})
         a, b = matrix(q.column("v")), matrix(m.column("v"))
-        ids, qid = m.column("ids").to_pylist(), q.column("id").to_pylist()
-        least = np.array([x[0] for x in ids])
-        by_id = np.argsort(least, kind="stable")
-        b, ids = b[by_id], [ids[i] for i in by_id]
-        best = []
-        few = min(len(ids), k + 1)
+        qid = q.column("id").to_numpy()
+        lists = m.column("ids").combine_chunks()
+        first, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+        few = min(len(b), k + 1)
+        bounds, best_less, best_id = [0], [], []
         for at in range(0, len(a), 512):
-            rough = a[at : at + 512] @ b.T
+            part = a[at : at + 512]
+            rough = part @ b.T
             edge = np.partition(rough, -few, axis=1)[:, -few] - 1e-9 * (1 + np.abs(rough).max(1))
-            for r, own in enumerate(qid[at : at + 512]):
-                near = np.flatnonzero(rough[r] >= edge[r])
-                score = np.zeros(len(near))
-                for d in range(b.shape[1]):  # in element order, as a plain sum would
-                    score += a[at + r, d] * b[near, d]
-                pairs = [(-s, i) for s, x in zip(score.tolist(), near.tolist(), strict=True) for i in ids[x] if i != own]
-                best.append([{"less": s, "vec_id": i} for s, i in heapq.nsmallest(k, pairs)])
-        return pa.table({"query_id": pa.array(qid, pa.int64()), "best": pa.array(best, out_kind)})
+            r, c = np.nonzero(rough >= edge[:, None])
+            score = np.zeros(len(r))
+            for d in range(b.shape[1]):  # in element order, as a plain sum would
+                score += part[r, d] * b[c, d]
+            many = first[c + 1] - first[c]  # the copies of a vector
+            spot = np.repeat(first[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            r, less, found = np.repeat(r, many), -np.repeat(score, many), ids[spot]
+            other = found != qid[at + r]
+            r, less, found = r[other], less[other], found[other]
+            order = np.lexsort((found, less, r))
+            r, less, found = r[order], less[order], found[order]
+            size = np.bincount(r, minlength=len(part))
+            top = np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size) < k
+            best_less.append(less[top])
+            best_id.append(found[top])
+            bounds.extend((bounds[-1] + np.cumsum(np.minimum(size, k))).tolist())
+        hits = pa.StructArray.from_arrays([pa.array(np.concatenate(best_less)), pa.array(np.concatenate(best_id))], fields=list(out_kind.value_type))
+        return pa.table({"query_id": qid, "best": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), hits)})
 
     tasks = left.unionByName(right).groupBy("tree", "leaf", "i", "j")
     found = tasks.applyInArrow(rank_block, "query_id long, best array<struct<less:double,vec_id:long>>")
     # At most k for each block visited; equal finds of several trees are one.
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    merged = found.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("all"))
+    before = lambda i: F.get("all", i - 1)
+    once = F.filter("all", lambda x, i: (i == 0) | (x["vec_id"] != before(i)["vec_id"]))
+    merged = merged.select("query_id", F.slice(once, 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.less")).alias("score")
     )
