@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import vectors as V
 from tidepool.functions.vectors import broken
+from tidepool.operators.counts import with_repeats
 
 RANKED = 10
 
@@ -36,9 +37,8 @@ def ranking_problems(cases: DataFrame, queries: DataFrame, corpus: DataFrame) ->
     failed, and an error is not blank.
     """
     size = F.broadcast(corpus.agg(F.least(F.count("*"), F.lit(RANKED)).alias("_want")))  # one row
-    same = F.count("*").over(Window.partitionBy("query_id"))
     named = queries.select("query_id", F.lit(True).alias("_known")).distinct()
-    rows = cases.withColumn("_same", same).join(named, "query_id", "left").crossJoin(size)
+    rows = with_repeats(cases, F.col("query_id"), "_same").join(named, "query_id", "left").crossJoin(size)
     failed = F.col("error").isNotNull()
     rules = [
         ("unknown_query", F.col("_known").isNull()),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.vectors import broken
+from tidepool.operators.counts import with_repeats
 
 KINDS = ("embedding", "ocr")
 STATUSES = ("pending", "processing", "complete", "requiresDownload", "failed")
@@ -16,7 +17,6 @@ def asset_problems(assets: DataFrame) -> DataFrame:
 
     Works on (row_id, asset_id string, width, height, creation double, modification double).
     """
-    known = Window.partitionBy("asset_id")
     bad_date = lambda c: F.col(c).isNotNull() & (F.isnan(c) | (F.abs(c) == float("inf")))
     rules = [
         ("empty_id", F.coalesce(F.col("asset_id"), F.lit("")) == ""),
@@ -26,7 +26,7 @@ def asset_problems(assets: DataFrame) -> DataFrame:
         ("date", bad_date("creation") | bad_date("modification")),
         ("duplicate_id", F.col("_same") > 1),
     ]
-    counted = assets.withColumn("_same", F.count("*").over(known))
+    counted = with_repeats(assets, F.col("asset_id"), "_same")
     return counted.select("row_id", F.explode(broken(rules)).alias("rule"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import safe_path
 from tidepool.functions.vectors import broken
+from tidepool.operators.counts import with_repeats
 
 #: What counts as an image file, the label enums, and the smallest set.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "tif", "tiff", "webp")
@@ -56,7 +57,6 @@ def inventory_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def label_problems(labels: DataFrame, corpus: DataFrame) -> DataFrame:
     """(rule, entity_id) of label rows (query_id, group_id, split, language, kind, query, expected array)."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    same = F.count("*").over(Window.partitionBy("query_id"))
     expected = F.coalesce("expected", F.array().cast("array<string>"))
     rules = [
         ("blank_query_id", blank("query_id")),
@@ -68,7 +68,8 @@ def label_problems(labels: DataFrame, corpus: DataFrame) -> DataFrame:
         ("missing_text", blank("query")),
         ("expected", (F.size(expected) == 0) | F.exists(expected, lambda x: x == "") | (F.size(F.array_distinct(expected)) != F.size(expected))),
     ]
-    rows = labels.withColumn("_same", same).select(F.explode(broken(rules)).alias("rule"), F.col("query_id").alias("entity_id"))
+    counted = with_repeats(labels, F.col("query_id"), "_same")
+    rows = counted.select(F.explode(broken(rules)).alias("rule"), F.col("query_id").alias("entity_id"))
     return rows.unionByName(unknown_references(labels, corpus).select(F.lit("unknown_expected").alias("rule"), F.col("query_id").alias("entity_id")))
 
 
@@ -110,8 +111,7 @@ def label_counts(labels: DataFrame) -> DataFrame:
 
 def manifest_problems(images: DataFrame, model: str, version: int) -> DataFrame:
     """(image_id, rule) of (image_id, relative_path, sha256, model_id, schema_version, text)."""
-    ids, paths = Window.partitionBy("image_id"), Window.partitionBy(F.lower("relative_path"))
-    counted = images.withColumn("_ids", F.count("*").over(ids)).withColumn("_paths", F.count("*").over(paths))
+    counted = with_repeats(with_repeats(images, F.col("image_id"), "_ids"), F.lower("relative_path"), "_paths")
     rules = [
         ("schema_version", ~F.col("schema_version").eqNullSafe(F.lit(version))),
         ("model", ~F.col("model_id").eqNullSafe(F.lit(model))),

@@ -235,8 +235,8 @@ def stage_state_machine(t: Tables) -> DataFrame:
 SELECT "key", seq, attempt FROM n WHERE event IN ('complete', 'fail') AND attempt <> last""")
 def stale_events(t: Tables) -> DataFrame:
     """Results of an attempt that a later one of the same stage has replaced."""
-    last = F.count_if(F.col("event") == "begin").over(Window.partitionBy("key"))
-    rows = t.log.withColumn("last", last)
+    last = t.log.groupBy("key").agg(F.count_if(F.col("event") == "begin").alias("last"))
+    rows = t.log.join(last, "key")
     return rows.where(F.col("event").isin("complete", "fail") & (F.col("attempt") != F.col("last"))).select("key", "seq", "attempt")
 
 
