@@ -24,7 +24,7 @@ from tidepool.llm.pretokens import piece_starts
 from tidepool.llm.shared import map_text
 
 #: Distinct words whose ids a worker remembers before it forgets all of them.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Words longer than this merge through a heap instead of in numpy columns.
 LONG_WORD = 512
 NO_RANK = np.int32(2**31 - 1)

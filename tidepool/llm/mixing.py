@@ -48,7 +48,6 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """The queue of the mix: an item for each document and repeat, with the words it gives.
 
@@ -58,8 +57,8 @@ def mix_sources(
     finish time fill the total budget. Running sums are two-level (sums of sqrt(n) ranges,
     then rows of a range), for sources and for the whole queue, so no task holds a source.
 
-    Columns: doc_id, size, source, source_size, target, epoch, finish, taken, and what
-    ``keep`` names; epoch 1 exists for every document, taken or not. Null text has size 0 and takes
+    Columns: doc_id, size, source, source_size, target, epoch, finish, taken; epoch 1
+    exists for every document, taken or not. Null text has size 0 and takes
     nothing; null source is a source; null ids shuffle as ''; repeated rows are documents of
     their own; ties of the shuffle go by id and size. Other columns are not read.
     """
@@ -72,7 +71,6 @@ def mix_sources(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("place"),
-            *[F.col(c).alias(f"_{c}") for c in keep],
         ),
         "sized",
     )
@@ -120,7 +118,6 @@ def mix_sources(
     taken = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("upto"))).cast("long")
     return queue.select(
         "doc_id", "size", "source", "source_size", "target", "epoch", "finish", taken.alias("taken"), "span", "nth",
-        *[F.col(f"_{c}").alias(c) for c in keep],
     )
 
 

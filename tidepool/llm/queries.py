@@ -16,12 +16,13 @@ from tidepool.llm.line_dedup import dedup_lines
 from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
 from tidepool.llm.near_dups import NEAR_SQL, near_duplicates
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
-from tidepool.llm.shared import in_fold
+from tidepool.llm.shared import in_fold, small_batches
 from tidepool.llm.token_counts import count_tokens
 from tidepool.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

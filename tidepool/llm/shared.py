@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch where rows hold whole texts or sets.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of long rows at once; queries and stages call it, operators don't."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,15 +104,16 @@ def map_text(
     value per text. Only ``id_cols`` and the text are read; the ids come back first.
     ``schema`` describes the ids and the new columns together.
     """
-    source = df.select(
-        *[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], F.col(text_col).cast("string").alias("_text")
-    )
+    names = list(id_cols) if text_col in id_cols else [*id_cols, text_col]
+    at = names.index(text_col)  # a text that is also passed through is sent once
+    source = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    source = source.withColumn(f"_c{at}", F.col(f"_c{at}").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             ids = [batch.column(i) for i in range(len(id_cols))]
-            for row, end, data, offsets in text_slices(batch.column(len(id_cols))):
+            for row, end, data, offsets in text_slices(batch.column(at)):
                 out = f(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(row, end - row) for c in ids]
