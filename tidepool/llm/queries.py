@@ -12,9 +12,9 @@ from tidepool.llm.ann import NEAREST_SQL, nearest
 from tidepool.llm.bpe import decode_ids, encode_texts
 from tidepool.llm.embedding_dedup import LINKS_SQL, link_vectors
 from tidepool.llm.language_id import fit_languages, identify_languages
-from tidepool.llm.line_dedup import dedup_lines
 from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
 from tidepool.llm.near_dups import NEAR_SQL, near_duplicates
+from tidepool.llm.passages import dedup_passages
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
 from tidepool.llm.shared import in_fold, small_batches
 from tidepool.llm.token_counts import count_tokens
@@ -49,7 +49,7 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+    return dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
