@@ -154,3 +154,18 @@ def test_mix_meets_its_targets(spark):
     again = mixed_totals(mix_sources(df.repartition(2))).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixed_totals(mix_sources(df.limit(0))).collect() == []
+
+
+def test_links_of_mixtures_across_borders(spark):
+    rng = np.random.default_rng(17)
+    topics = rng.normal(size=(40, 64))
+    topics /= np.linalg.norm(topics, axis=1, keepdims=True)
+    a, b = topics[rng.integers(40, size=(2, 900))]
+    share = rng.random((900, 1))
+    near = np.clip(share + rng.uniform(0.1, 0.3, (900, 1)), 0, 1)
+    v = np.concatenate([share * a + (1 - share) * b, near * a + (1 - near) * b])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in link_vectors(df, per_cell=45).collect()}
+    assert got == dict(enumerate(wanted.tolist()))

@@ -43,13 +43,13 @@ class Cells:
         )
 
 
-def fit_cells(sample: np.ndarray, total: int, cosine: float, per_cell: int = 1500, most_cells: int = 1024, sigmas: float = 4.0, rounds: int = 8, seed: int = 7) -> Cells:
+def fit_cells(sample: np.ndarray, total: int, cosine: float, per_cell: int = 1500, most_cells: int = 1024, sigmas: float | None = None, rounds: int = 8, seed: int = 7) -> Cells:
     """Spherical k-means on a bounded sample of vectors.
 
     Two vectors with at least ``cosine`` that fall in cells c and d are within
-    sin(angle) * |c - d| of the border; that reach finds every link. What a difference of
-    theirs adds along c - d has a deviation of 1 / sqrt(dimensions) of that in the worst
-    direction, so the reach taken is ``sigmas`` of those deviations, never over the full one.
+    sin(angle) * |c - d| of the border; that reach finds every link and is the default.
+    ``sigmas`` cuts it, for vectors whose differences point in random directions only: what
+    one adds along c - d then has a deviation of 1 / sqrt(dimensions) of that.
     """
     rng = np.random.default_rng(seed)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
@@ -62,7 +62,8 @@ def fit_cells(sample: np.ndarray, total: int, cosine: float, per_cell: int = 150
         size = np.linalg.norm(sums, axis=1)
         centroids = np.where((size > 1e-9)[:, None], sums / np.maximum(size, 1e-9)[:, None], centroids)
     full = math.sqrt(max(0.0, 1 - cosine * cosine))
-    return Cells(centroids, full * min(1.0, sigmas / math.sqrt(sample.shape[1]) / max(cosine, 1e-9)))
+    share = 1.0 if sigmas is None else min(1.0, sigmas / math.sqrt(sample.shape[1]) / max(cosine, 1e-9))
+    return Cells(centroids, full * share + 1e-9)
 
 
 def block_links(rows: pa.Table, cosine: float) -> pa.Table:
@@ -155,8 +156,9 @@ def link_vectors(
                     ["cell", "home", "id", "weight", "v"],
                 )
 
-    placed = distinct.where(F.size("e") == dim).select("id", "weight", v)
-    placed = placed.mapInArrow(place, "cell int, home boolean, id long, weight long, v array<double>")
+    # Vectors travel in their own type; a block makes doubles of them.
+    placed = distinct.where(F.size("e") == dim).select("id", "weight", F.col("e").alias("v"))
+    placed = placed.mapInArrow(place, f"cell int, home boolean, id long, weight long, v {distinct.schema['e'].dataType.simpleString()}")
     parts = lambda c: F.ceil(F.count_if(c) / block).cast("int")
     shape = placed.groupBy("cell").agg(parts(F.col("home")).alias("hb"), parts(~F.col("home")).alias("gb"))
     shape = F.broadcast(shape)  # a row for each cell: most_cells at most
