@@ -97,6 +97,20 @@ def test_top_k_is_the_head_of_a_full_sort(spark, k):
     assert got == {(r.query_id, r["rank"]): r.asset_id for r in full}
 
 
+def test_many_queries_meet_assets_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"p{i:03}", f"m{i % 3 // 2}", rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(157)]
+    rows = [r for r in rows if any(r[2])]
+    vectors = spark.createDataFrame(rows, "asset_id string, model_id string, embedding array<float>").repartition(5)
+    queries = vectors.limit(70).select(F.col("asset_id").alias("query_id"), "model_id", "embedding").localCheckpoint()
+    key = lambda df: sorted(map(tuple, df.select("query_id", "asset_id", "similarity", "rank").collect()))
+    want = key(S.top_k(S.cosine_scores(queries, vectors), 7, "similarity"))
+    monkeypatch.setattr(S, "MOST_BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(S, "MEET", 20)
+    monkeypatch.setattr(S, "cosine_scores", None)  # no join of all pairs
+    assert key(S.semantic_top_k(queries, vectors, 7)) == want
+
+
 def test_normalized_vectors(spark):
     v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [float("inf"), 1.0])], "id int, v array<float>")
     got = {r.id: r.u for r in v.select("id", V.normalized(F.col("v")).alias("u")).collect()}

@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 CANDIDATES, RESULTS, FUSION = 100, 50, 60
 #: Queries that meet a partition of assets at a time, and most that are broadcast at once.
 QUERY_BLOCK, MOST_BROADCAST_QUERIES = 256, 20_000
+#: Queries, and assets, of a block where more queries than that meet the assets block by block.
+MEET = 4096
 #: Most query terms that are broadcast; more join by a shuffle.
 MOST_BROADCAST_TERMS = 500_000
 
@@ -47,25 +49,71 @@ def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.select("query_id", "asset_id", V.cosine(F.col("_q"), F.col("_a")).alias("similarity"))
 
 
+def _nearest(ids: list, block: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[list[pa.Array]]:
+    """(query, asset, similarity) columns with the k nearest of ``matrix`` for each row of ``block``, or more at ties."""
+    order = np.argsort(names, kind="stable")
+    names, matrix = names[order], matrix[order]
+    few = min(k, len(names))
+    for at in range(0, len(ids), QUERY_BLOCK):
+        part_q = block[at : at + QUERY_BLOCK]
+        rough = part_q @ matrix.T
+        edge = np.partition(rough, -few, axis=1)[:, -few] - 1e-6
+        r, c = np.nonzero(rough >= edge[:, None])
+        exact = np.zeros(len(r))
+        for d in range(matrix.shape[1]):
+            exact += part_q[r, d] * matrix[c, d]
+        exact = np.clip(exact, -1, 1).astype(np.float32)
+        yield [pa.array([ids[at + x] for x in r]), pa.array(names[c]), pa.array(exact)]
+
+
+def _meet_in_blocks(q: DataFrame, a: DataFrame, k: int, schema: str) -> DataFrame:
+    """Candidates of each query from each block of assets: every block of queries meets every block of its model."""
+    q, a = (x.withColumn("dim", F.size("v")) for x in (q, a))
+    space = ["model_id", "dim"]
+    blocks = lambda x, name: x.groupBy(space).agg(F.ceil(F.count("*") / MEET).cast("int").alias(name))
+    shape = blocks(q, "qb").join(blocks(a, "ab"), space)
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    named = [F.col(c).alias(f"_{c}") for c in space]  # new columns: queries may come from the assets' own table
+    left = q.join(shape, space).select(*named, own("query_id", "qb").alias("i"), upto("ab").alias("j"), "query_id", "v")
+    right = a.join(shape, space).select(*named, upto("qb").alias("i"), own("asset_id", "ab").alias("j"), "asset_id", "v")
+    matrix = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    names = ["query_id", "asset_id", "similarity"]
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        kinds = [x.schema.field("query_id").type, y.schema.field("asset_id").type, pa.float32()]
+        empty = pa.table([pa.array([], t) for t in kinds], names)
+        if not x.num_rows or not y.num_rows:
+            return empty
+        ids, assets = x.column("query_id").to_pylist(), np.array(y.column("asset_id").to_pylist())
+        found = _nearest(ids, matrix(x.column("v")), assets, matrix(y.column("v")), k)
+        return pa.concat_tables([pa.table([c.cast(t) for c, t in zip(f, kinds, strict=True)], names) for f in found])
+
+    key = ["_model_id", "_dim", "i", "j"]
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(meet, schema)
+
+
 def semantic_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, asset_id, similarity, rank): the k nearest assets of each query by cosine.
 
     Each partition of assets multiplies Arrow blocks with the block of queries of its model
     and keeps k candidates per query; a window merges them. The product only picks
     candidates: similarities are summed in element order. Queries are sent to the
-    partitions while there are at most MOST_BROADCAST_QUERIES; more join by model.
+    partitions while there are at most MOST_BROADCAST_QUERIES; more meet the assets in
+    blocks, each a task that returns k candidates per query, never all pairs.
     """
     a = vectors.select("asset_id", "model_id", V.doubles(V.normalized(F.col("embedding"))).alias("v"))
     a = a.where(F.col("v").isNotNull())
     q = queries.select("query_id", "model_id", V.doubles(V.normalized(F.col("embedding"))).alias("v"))
     q = q.where(F.col("v").isNotNull())
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asset_kind = vectors.schema["asset_id"].dataType.simpleString()
+    schema = f"query_id {kind}, asset_id {asset_kind}, similarity float"
     if q.limit(MOST_BROADCAST_QUERIES + 1).count() > MOST_BROADCAST_QUERIES:
-        return top_k(cosine_scores(queries, vectors), k, "similarity")
+        return top_k(_meet_in_blocks(q, a, k, schema), k, "similarity")
     asked: dict[str, tuple[list, np.ndarray]] = {}
     for model, rows in pd.DataFrame(q.collect(), columns=["query_id", "model_id", "v"]).groupby("model_id"):
         asked[model] = (rows["query_id"].tolist(), np.array(rows["v"].tolist()))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    asset_kind = vectors.schema["asset_id"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,29 +123,13 @@ def semantic_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES)
                 if not len(rows):
                     continue
                 part = b.take(pa.array(rows))
-                names = np.array(part.column(0).to_pylist())
-                order = np.argsort(names, kind="stable")
-                v = part.column(2)
-                matrix = v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[order]
-                names = names[order]
+                matrix = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
                 if matrix.shape[1] != block.shape[1]:
                     continue
-                few = min(k, len(names))
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    part_q = block[at : at + QUERY_BLOCK]
-                    rough = part_q @ matrix.T
-                    edge = np.partition(rough, -few, axis=1)[:, -few] - 1e-6
-                    r, c = np.nonzero(rough >= edge[:, None])
-                    exact = np.zeros(len(r))
-                    for d in range(matrix.shape[1]):
-                        exact += part_q[r, d] * matrix[c, d]
-                    exact = np.clip(exact, -1, 1).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[at + x] for x in r]), pa.array(names[c]), pa.array(exact)],
-                        ["query_id", "asset_id", "similarity"],
-                    )
-
-    found = a.mapInArrow(search, f"query_id {kind}, asset_id {asset_kind}, similarity float")
+                for columns in _nearest(ids, block, np.array(part.column(0).to_pylist()), matrix, k):
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "asset_id", "similarity"])
+
+    found = a.mapInArrow(search, schema)
     return top_k(found, k, "similarity")
 
 
