@@ -83,6 +83,22 @@ def test_stream_ends_where_the_replay_ends(spark, tmp_path):
     assert last == {r.key: tuple(r) for r in M.replay_log(log).collect()}
 
 
+def test_replay_holds_no_whole_log(spark):
+    events = ["upsert", "begin", "fail", "retry", "begin", "complete"]
+    rows = [(k, i // 2, i, events[i % 6] if i else "upsert", i // 3 + 1) for k in (1, 2, None) for i in range(500)]
+    log = spark.createDataFrame(rows[::-1], "key long, ts long, seq long, event string, attempt int").repartition(3)
+    got = M.replay_log(log)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+    stage, yes, no = M.replay([r[3:] for r in rows[:500]])
+    want = (stage.status, stage.attempt, stage.generation, yes, no)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {tuple(r) for r in got.collect()} == {(k, *want) for k in (1, 2, None)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_counts_and_distinct_answers_of_a_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", F.col("event_type").alias("status"), "user_id")
     events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))

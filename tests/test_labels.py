@@ -176,3 +176,15 @@ def test_models_plug_in(spark, tmp_path):
     queries = spark.createDataFrame([(1, "кот спит"), (2, "cat"), (3, "  ")], "query_id int, text string")
     got = {r.query_id: r for r in encoders.prepare_queries(queries, encoders.upper_translator, encoders.hash_encoder, 16).collect()}
     assert got[1].english_text == "КОТ СПИТ" and got[1].original_text == "кот спит" and got[2].english_text == "cat" and 3 not in got
+
+
+def test_manifests_do_not_grow_with_their_source(spark, monkeypatch):
+    from tidepool.plans import label_queries as Q
+    from tidepool.plans.tables import Tables
+
+    monkeypatch.setattr(Q, "MANIFEST_IMAGES", 20)
+    t = Tables(spark, "/root/testdata/sf0.01")
+    sizes = [j.count('"hash"') for (j,) in Q.manifests(t.files).select("json").collect()]
+    assert sum(sizes) == t.files.count() and max(sizes) <= 60
+    got = sorted(map(tuple, Q.manifest_flatten(t).select("source", "relative_path", "sha256").collect()))
+    assert got == sorted(map(tuple, t.files.select("source", "relative_path", "sha256").collect()))

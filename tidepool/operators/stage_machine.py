@@ -63,15 +63,35 @@ OUTPUT = "key long, status string, attempt int, generation int, accepted long, r
 
 
 def replay_log(log: DataFrame) -> DataFrame:
-    """Final state per key of a log (key, ts, seq, event, attempt): the batch twin of the stream."""
+    """Final state per key of a log (key, ts, seq, event, attempt): the batch twin of the stream.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        attempts = (None if pd.isna(a) else int(a) for a in rows["attempt"])
-        stage, yes, no = replay(zip(rows["event"], attempts, strict=True))
-        return pd.DataFrame([[rows["key"].iloc[0], stage.status, stage.attempt, stage.generation, yes, no]], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    A partition is sorted by Spark, which spills, and read once in order: only the state of
+    one key and one Arrow batch are held, however long a key's log. A key stays one task.
+    """
 
-    return log.groupBy("key").applyInPandas(run, OUTPUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in OUTPUT.split(", ")]
+        key, stage, yes, no = None, None, 0, 0
+        row = lambda: [key, stage.status, stage.attempt, stage.generation, yes, no]
+        for rows in batches:
+            done = []
+            keys = (None if pd.isna(k) else int(k) for k in rows["key"])
+            attempts = (None if pd.isna(a) else int(a) for a in rows["attempt"])
+            for k, event, attempt in zip(keys, rows["event"], attempts, strict=True):
+                if stage is None or k != key:
+                    if stage is not None:
+                        done.append(row())
+                    key, stage, yes, no = k, Stage(), 0, 0
+                accepted = stage.apply(event, attempt)
+                yes, no = yes + accepted, no + (not accepted)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if stage is not None:
+            yield pd.DataFrame([row()], columns=names)
+
+    # Keys go as text: pandas would make floats of a column with nulls.
+    rows = log.select("key", "ts", "seq", "event", "attempt").repartition("key").sortWithinPartitions("key", "ts", "seq")
+    return rows.select(F.col("key").cast("string").alias("key"), "event", "attempt").mapInPandas(run, OUTPUT)
 
 
 def stage_stream(log: DataFrame) -> DataFrame:

@@ -58,15 +58,25 @@ def table_differences(t: Tables) -> DataFrame:
     return L.table_difference(rows.drop("doc_id"), rows.where("doc_id % 3 = 0").drop("doc_id"))
 
 
+#: Images of a manifest, about: a source with more has several.
+MANIFEST_IMAGES = 10_000
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """(source, part, json) of files: a source's images spread over as many manifests as their number asks for."""
+    image = F.struct(L.short_id(F.col("sha256")).alias("id"), F.col("relative_path").alias("path"), F.col("sha256").alias("hash"))
+    parts = files.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count("*") / MANIFEST_IMAGES).alias("_parts"))
+    rows = files.join(parts, F.col("source").eqNullSafe(F.col("_source")))
+    part = F.pmod(F.xxhash64("relative_path"), F.col("_parts"))
+    return rows.groupBy("source", part.alias("part")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(image).alias("images"))).alias("json"))
+
+
 @query(with_tables("files") + " SELECT source, 'img_' || substr(sha256, 1, 12) AS image_id, relative_path, sha256 FROM files")
 def manifest_flatten(t: Tables) -> DataFrame:
-    """Manifests, one a source, written as nested JSON and read back into image rows."""
+    """Manifests, one or more a source, written as nested JSON and read back into image rows."""
     from tidepool.sources.manifests import flatten_manifests
 
-    image = F.struct(L.short_id(F.col("sha256")).alias("id"), F.col("relative_path").alias("path"), F.col("sha256").alias("hash"))
-    part = F.floor(F.rand(7) * 16)  # a source's images spread over several manifests, so none grows without bound
-    texts = t.files.groupBy("source", part.alias("part")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(image).alias("images"))).alias("json"))
-    return flatten_manifests(texts, "json").select("source", F.col("image.id").alias("image_id"), F.col("image.path").alias("relative_path"), F.col("image.hash").alias("sha256"))
+    return flatten_manifests(manifests(t.files), "json").select("source", F.col("image.id").alias("image_id"), F.col("image.path").alias("relative_path"), F.col("image.hash").alias("sha256"))
 
 
 @query("SELECT quality, toxic, CASE WHEN doc_id % 10 < 7 THEN 'development' ELSE 'holdout' END AS split, count(*) AS n FROM labels GROUP BY ALL")
