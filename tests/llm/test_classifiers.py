@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import zstandard as zstd
 from pyspark.sql import functions as F
 
 from tidepool.llm.language_id import LanguageModel, fit_languages, identify_languages
 from tidepool.llm.shared import in_fold
-from tidepool.llm.toxicity import fit_toxicity, score_toxicity
+from tidepool.llm.toxicity import FILLER, PADDING, dictionaries, fit_toxicity, score_toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -60,3 +63,58 @@ def test_without_labels_nothing_is_toxic(spark):
     model = fit_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic").limit(0))
     assert all(r.score < 0.01 for r in score_toxicity(docs, model).collect())
     assert score_toxicity(docs.limit(0), model).collect() == []
+
+
+def plain_score(model, text):
+    """The score by one-shot compressions of windows that are cut word by word."""
+    def size(part, content):
+        params = zstd.ZstdCompressionParameters(
+            strategy=zstd.STRATEGY_LAZY, min_match=4, window_log=19, hash_log=17, chain_log=17, search_log=5,
+            target_length=16, write_checksum=False, write_content_size=False, write_dict_id=False,
+        )
+        d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        return len(zstd.ZstdCompressor(dict_data=d, compression_params=params).compress(part + PADDING))
+
+    raw, parts, now = (" " + text.lower()).encode(), [], b""
+    for i in range(len(raw)):
+        if (len(now) >= 64 and raw[i : i + 1] == b" ") or len(now) == 1024:
+            parts.append(now)
+            now = b""
+        now += raw[i : i + 1]
+    saved = sorted((size(p, model.ordinary) - size(p, model.toxic) for p in [*parts, now]), reverse=True)
+    x = [saved[0], sum(saved[:3]) / 3, 10 * sum(saved) / len(saved)]
+    x += [3 * math.log(1 + sum(g >= least for g in saved)) for least in (2, 4)] + [math.log(len(saved))]
+    return 1 / (1 + math.exp(-max(-30, min(30, model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))))))
+
+
+def test_scores_are_those_of_plain_compression(spark):
+    docs = corpus(spark, 300)
+    model = fit_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    texts = [None, "", " ", "grufnax", "ba do ke " * 700 + "blaspork wurgle", "x" * 5000, "é ü " * 300, "é ü " * 300, *[r.text for r in docs.limit(40).collect()]]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd = odd.withColumn("score", F.lit("clash")).withColumn("gains", F.lit(1)).withColumn("_c0", F.lit(2))
+    got = {r.doc_id: r.score for r in score_toxicity(odd, model).collect()}
+    assert len(got) == len(texts) and got[6] == got[7]
+    assert all(abs(got[i] - plain_score(model, t or "")) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_dictionaries_are_trained_alike():
+    toxic, ordinary = ["the grufnax of it"] * 30 + ["plain words"] * 5, ["the lantern of it"] * 30 + ["plain words"] * 5
+    a, b = dictionaries(toxic, ordinary)
+    c, d = dictionaries(ordinary, toxic)
+    assert len(a) == len(b) and b"grufnax" in b and b"grufnax" not in a and b"lantern" in a
+    assert b"lantern" in d and b"grufnax" in c
+    assert dictionaries([], []) == (b"", b"") and FILLER not in b"the grufnax of it"
+
+
+def test_recall_by_language(spark):
+    """Held-out rows of a small table, whose marks differ by language; Spanish has 31 toxic texts in all."""
+    sf = "/root/testdata/sf0.1"
+    docs, held = spark.read.parquet(f"{sf}/documents.parquet"), in_fold("doc_id", 5, 0)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit_toxicity(docs, labels.where(~held))
+    rows = score_toxicity(docs.where(held), model).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id")
+    share = {(r.lang, r.toxic): r.p for r in rows.groupBy("lang", "toxic").agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("p")).collect()}
+    assert share["en", 1] > 0.85 and share["de", 1] > 0.6 and share["fr", 1] > 0.6
+    assert max(p for (_, y), p in share.items() if not y) < 0.03
