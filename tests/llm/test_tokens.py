@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
+import time
 
 import public_tokenizers as P
 import pytest
@@ -106,3 +108,69 @@ def test_base_spans_are_those_of_the_patterns(spark):
         assert got == sorted(want)
     assert rows[6].s == "random:0:20"
     assert rows[7].s == "" and rows[8].s == ""
+
+
+def random_runs(text, enc, spans):
+    """The runs that the method adds, character by character, without numpy."""
+    key = set("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-")
+    taken = {i for s in spans for i in range(s[0], s[2])}
+    out, a = [], 0
+    while a < len(text):
+        b = a
+        while b < len(text) and text[b] in key:
+            b += 1
+        run = text[a:b]
+        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+        digest = len(run) in (32, 40, 56, 64, 96, 128) and all(c in "0123456789abcdefABCDEF" for c in run)
+        uuid = re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run)
+        if len(run) >= 16 and mixed and not digest and not uuid and not taken & set(range(a, b)):
+            if len(run) / len(enc.encode_ordinary(run)) <= 2.0:
+                out.append((a, 3, b))
+        a = max(b, a + 1)
+    return out
+
+
+def base_spans(text):
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+
+
+def test_all_spans_are_those_of_brute_force(spark, encoding):
+    rng = random.Random(5)
+    chars = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+    def piece():
+        k = rng.randrange(9)
+        if k == 0:
+            return "".join(rng.choice(chars) for _ in range(rng.randrange(10, 40)))
+        if k == 1:
+            return "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([20, 31, 32, 33, 40, 64])))
+        if k == 2:
+            return rng.choice(["token: ", "PASSWORD=", "api_key='", "é secret = ", "Apikey:"]) + "".join(rng.choice(chars) for _ in range(rng.randrange(5, 14)))
+        if k == 3:
+            return "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randrange(8, 20)))
+        if k == 4:
+            return "550E8400-e29b-41d4-a716-446655440000"
+        return rng.choice(["plain words", "überall", "日本 🙂", "internationalization2", "x_y_z_1_2_3_4_5_6_7", "the_quick_brown_fox_2024"])
+    texts = [rng.choice([" ", "\n", ", "]).join(piece() for _ in range(rng.randrange(0, 14))) for _ in range(300)] + [None, "", "\0 \0"]
+    texts += texts[:3]
+    rows = {r.doc_id: r.spans for r in scan_secrets(frame(spark, texts).withColumn("spans", F.lit("clash")), RANKS, P.PATTERN).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        base = base_spans(t or "")
+        want = sorted(base + random_runs(t or "", encoding, base))
+        some += sum(k == 3 for _, k, _ in want)
+        assert [(s.start, ("assign", "access", "hex", "random").index(s.kind), s.end) for s in rows[i]] == want
+    assert some > 50
+
+
+def test_a_very_long_text_full_of_secrets(spark):
+    """20 MB with a span every 40 characters: the time grows with the length, not with spans times length."""
+    unit = "é token=abcdefgh12345678 und mehr Text.. "
+    n = 20_000_000 // len(unit.encode())
+    began = time.perf_counter()
+    spans = scan_secrets(spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(unit), n).alias("text")), RANKS, P.PATTERN)
+    row = spans.select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert row.n == n and row.last.start == (n - 1) * len(unit) + 2
+    assert time.perf_counter() - began < 60
