@@ -55,6 +55,47 @@ def test_tables_can_be_emptied(spark):
     assert [small.count(data, cuts).tolist() for _ in range(2)] == [first, first]
 
 
+def long_pieces():
+    """Texts whose chunks lie within one piece, with maps that close at once, late, or in cycles."""
+    rng = random.Random(3)
+    for n in (0, 1, 255, 256, 257, 700, 5000):
+        yield "a" * n
+        yield "".join(rng.choices("ACGT", k=n))
+        yield "".join(rng.choices("漢字日本語一二三四五", k=n))
+        yield "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) + " the end, " + "=-" * n
+        yield "ab" * n + "'s"
+
+
+def test_long_pieces_are_counted_as_the_library_counts_them(spark):
+    texts, library = list(long_pieces()), Tokenizer.from_file(JSON)
+    rows = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, texts), JSON).collect()}
+    assert [rows[i] for i in range(len(texts))] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_a_piece_of_ten_megabytes_takes_seconds():
+    import numpy as np
+
+    counter = CountingTransducer(JSON)
+    text = "".join(random.Random(4).choices("ACGT", k=10_000_000)).encode()
+    data, cuts = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    began = time.perf_counter()
+    whole = int(counter.count(data, cuts)[0])
+    assert time.perf_counter() - began < 60
+    # Tokens of a long prefix are tokens of the whole up to the last few before the cut.
+    half = int(counter.count(data[:5_000_000], np.array([0, 5_000_000]))[0]) + int(counter.count(data[5_000_000:], np.array([0, 5_000_000]))[0])
+    assert abs(whole - half) < 5
+
+
+def test_states_in_use_survive_a_full_table():
+    import numpy as np
+
+    library, small = Tokenizer.from_file(JSON), CountingTransducer(JSON, max_cells=1)
+    texts = [t for t in long_pieces() if len(t) < 1500]
+    raw = [t.encode() for t in texts]
+    got = small.count(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).tolist()
+    assert got == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_no_rows(spark):
     none = frame(spark).limit(0)
     assert count_tokens(none, JSON).collect() == encode_texts(none, RANKS).collect() == scan_secrets(none, RANKS, P.PATTERN).collect() == []

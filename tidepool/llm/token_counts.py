@@ -5,8 +5,8 @@ bytes: a state is what any continuation can still see (the starts of unfinished
 the last token before each), and a transition is annotated with the tokens it emits. The
 number may be negative where a merge takes tokens back, and the sum over a piece is exactly
 its token count. Texts are cut into chunks that all advance at once; a chunk's state map is
-constant after its first piece start, so it is stored as (bytes before that start, tokens
-after it, exit state), and a scan over the chunks of a text composes the maps.
+constant after its first piece start, so only its head needs the entry state, and a chunk
+within one piece has a map of the entries that occur; a parallel prefix scan composes them.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from tidepool.llm.pretokens import piece_starts
 from tidepool.llm.shared import map_text
 
 CHUNK = 256
+#: Bytes before a chunk whose state, from a cold start, is the first guess of its entry.
+WARM = 96
 #: Cells (states x bytes seen) kept before the table is emptied and compiled anew, which bounds memory.
 MAX_CELLS = 40_000_000
 _SHIFT, _BIAS = 7, 64
@@ -56,6 +58,7 @@ class CountingTransducer:
         self.ids, self.states = {start: 0}, [start]
         self.table = np.full((1024, 64), -1, np.int32)
         self.column = np.full(256, -1, np.int64)  # of each byte seen
+        self.kept = 0  # states that the last emptying may grow to before the next
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The ranked merges themselves, for short byte strings."""
@@ -166,24 +169,111 @@ class CountingTransducer:
                 packed = self.step(state[on], data[at[on]])
                 state[on] = packed >> _SHIFT
                 total[on] += (packed & 127) - _BIAS
+            self.bound(state)
 
-        # Scan: a head runs once the chunk before it has an exit state.
-        known = running.copy()
-        todo = np.flatnonzero(head > 0)
-        while len(todo):
-            ready = known[prior[todo]]
-            now, todo = todo[ready], todo[~ready]
-            entry = state[prior[now]].copy()
-            for k in range(int(head[now].max())):
-                on = np.flatnonzero(head[now] > k)
-                packed = self.step(entry[on], data[lo[now[on]] + k])
-                entry[on] = packed >> _SHIFT
-                total[now[on]] += (packed & 127) - _BIAS
-            whole = ~running[now]
-            state[now[whole]] = entry[whole]
-            known[now] = True
+        total += self.scan(data, lo, head, state, running, prior)
         return np.bincount(text, total, n).astype(np.int64)
 
+    def run(self, data: np.ndarray, lo: np.ndarray, length: np.ndarray, entry: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(exit state, tokens) of stretches of bytes, each entered in its state; all advance at once."""
+        order = np.argsort(-length, kind="stable")
+        state, total = entry[order].copy(), np.zeros(len(order), np.int64)
+        at, length = lo[order], length[order]
+        alive = len(order)
+        for k in range(int(length[0]) if alive else 0):
+            while length[alive - 1] <= k:
+                alive -= 1
+            packed = self.step(state[:alive], data[at[:alive] + k])
+            state[:alive] = packed >> _SHIFT
+            total[:alive] += (packed & 127) - _BIAS
+            self.bound(state, *held)
+        out, tokens = np.empty_like(state), np.empty_like(total)
+        out[order], tokens[order] = state, total
+        return out, tokens
+
+    def scan(self, data: np.ndarray, lo: np.ndarray, head: np.ndarray, state: np.ndarray, running: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Tokens of the heads, by a parallel prefix scan over the chunks' state maps.
+
+        A map is held for the entry states that can occur: where the chunk before has a piece
+        start, its one exit state; else the state that a few bytes before the border lead to,
+        and whatever exit states the maps before turn out to have. Merges forget what is far
+        back, so maps are closed after a round or two; equal chunks share their maps. Closed
+        maps compose by doubling: after d steps a chunk knows its entry from d chunks before.
+        """
+        tokens = np.zeros(len(lo), np.int64)
+        lanes = np.flatnonzero(head > 0)
+        if not len(lanes):
+            return tokens
+        after_whole = ~running[prior[lanes]]
+        first = lanes[~after_whole]
+        entry = np.zeros(len(lo), np.int64)  # of the one entry known or guessed at first
+        entry[first] = state[prior[first]]
+        later = lanes[after_whole]
+        if not len(later):
+            tokens[first] = self.run(data, lo[first], head[first], entry[first], [])[1]
+            return tokens
+        guess = np.minimum(WARM, head[prior[later]])
+        entry[later] = self.run(data, lo[later] - guess, guess, np.zeros(len(later), np.int64), [entry])[0]
+
+        following = np.full(len(lo), -1)
+        following[prior[later]] = later
+        raw, contents = data.tobytes(), {}
+        same = np.array([contents.setdefault(raw[a : a + h], i) for i, a, h in zip(lanes.tolist(), lo[lanes].tolist(), head[lanes].tolist(), strict=True)])
+        content = np.full(len(lo), -1)
+        content[lanes] = same
+        lane_of, entry_of, exit_of, count_of = lanes, entry[lanes], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        done = 0
+        while done < len(lane_of):  # new entries of this round: each distinct pair of bytes and entry runs once
+            new_lane, new_entry = lane_of[done:], entry_of[done:]
+            _, once, which = np.unique(content[new_lane] << 32 | new_entry, return_index=True, return_inverse=True)
+            at = content[new_lane[once]]
+            out, many = self.run(data, lo[at], head[at], new_entry[once], [entry_of, exit_of])
+            exit_of, count_of = np.concatenate([exit_of, out[which]]), np.concatenate([count_of, many[which]])
+            new_exit = exit_of[done:]
+            done = len(lane_of)
+            to = following[new_lane]
+            asked = np.unique(to[to >= 0] << 32 | new_exit[to >= 0])
+            asked = np.setdiff1d(asked, lane_of << 32 | entry_of, assume_unique=True)
+            lane_of, entry_of = np.concatenate([lane_of, asked >> 32]), np.concatenate([entry_of, asked & 0xFFFFFFFF])
+
+        # The node (chunk, entry) that follows each node; the last place stands for none.
+        key = lane_of << 32 | entry_of
+        by_key = np.argsort(key)
+        to = following[lane_of]
+        wanted = np.where(to >= 0, to << 32 | exit_of, 0)
+        jump = np.append(by_key[np.minimum(np.searchsorted(key[by_key], wanted), len(key) - 1)], len(key))
+        jump[:-1][to < 0] = len(key)
+        reached = np.full(len(lo), len(key))
+        reached[first] = np.searchsorted(lanes, first)
+        back = np.where(np.isin(np.arange(len(lo)), later), prior, -1)  # the chunk d before, within a run of whole chunks
+        while True:
+            open_ = later[(reached[later] == len(key)) & (back[later] >= 0)]
+            ready = open_[reached[back[open_]] < len(key)]
+            if not len(ready):
+                break
+            reached[ready] = jump[reached[back[ready]]]
+            jump = jump[jump]
+            back = np.where(back >= 0, back[back], -1)
+        tokens[lanes] = count_of[reached[lanes]]
+        return tokens
+
+    def bound(self, *held: np.ndarray) -> None:
+        """Empties the table if it is too large, but for the states in use, which get new numbers in place."""
+        if self.table.size <= self.max_cells or len(self.states) <= self.kept:
+            return
+        used = [self.states[i] for i in np.unique(np.concatenate(held)).tolist()]
+        old = np.unique(np.concatenate(held))
+        column = self.column
+        self.reset()
+        self.column = column
+        new = np.array([self.ids.setdefault(s, len(self.ids)) for s in used])
+        self.states = list(self.ids)
+        size = max(1024, 2 * len(self.states))
+        self.table = np.full((size, int((column >= 0).sum()) + 16), -1, np.int32)
+        self.kept = 4 * len(self.states)
+        for x in held:
+            x[:] = new[np.searchsorted(old, x)]
+
     def count_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text; a special string in a text is one token, as the library has it."""
         found: list[tuple[int, int]] = []
@@ -225,8 +315,10 @@ def count_tokens(
 ) -> DataFrame:
     """n_bytes, n_tokens and over_limit of every whole text; one narrow stage, no shuffle.
 
-    Null and empty texts count 0 bytes and 0 tokens; repeated rows are counted each;
-    other columns of ``docs`` are not read. ``path`` must be readable on every executor.
+    Null and empty texts count 0 bytes and 0 tokens; repeated rows are counted each; null
+    ids stay null; a very long text, also one of a single piece, advances in all its chunks
+    at once. Other columns of ``docs``, whatever their names, are not read. ``path`` must
+    be readable on every executor.
     """
 
     def make():
