@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 
 import numpy as np
@@ -70,6 +72,23 @@ def test_near_duplicates_are_those_of_all_pairs(spark, k):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_null_and_repeated_ids_and_long_texts(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n=60: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    a, b, long_ = text(), text(), text(60_000)
+    near_long = long_ + " and a few words more"
+    rows = [(None, a), (None, text()), (None, None), (5, a), (3, a), (5, b), (8, b), (9, None), (20, long_), (21, near_long), (22, text(60_000)), (5, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("id", F.lit(0))
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(df.repartition(3), words=4).collect())
+    want = [("None", "None", True)] * 3 + [("3", "3", True), ("5", "3", False), ("5", "3", False), ("5", "3", False), ("8", "3", False), ("9", "9", True)]
+    assert got == sorted(want + [("20", "20", True), ("21", "20", False), ("22", "22", True)])
+
+
+def test_without_the_screen_by_signatures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert sorted(near_duplicates(docs, words=4, slack=None).collect()) == sorted(near_duplicates(docs, words=4).collect())
+
+
 def vectors(spark):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(30, 16))
@@ -127,13 +146,7 @@ def test_nearest_finds_what_all_pairs_find(spark):
     assert len(nearest(few, few.where("vec_id = 0")).collect()) == 3
 
 
-def test_mix_meets_its_targets(spark):
-    rng = np.random.default_rng(4)
-    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), [None, "a", "b", "c", "d"][min(4, int(rng.integers(9)))]) for i in range(500)]
-    rows += [(900, None, "a"), (901, "", "e"), (None, "x y", "a"), (3, rows[3][1], rows[3][2]), (902, "\t", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("rank", F.lit(1))
-    got = mixed_totals(mix_sources(df.repartition(6))).collect()
-    assert len(got) == len(rows)
+def targets_of(rows):
     sizes = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in {x for *_, x in rows}}
     left, targets = 1.5 * sum(sizes.values()), {}
     weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
@@ -145,15 +158,51 @@ def test_mix_meets_its_targets(spark):
         left -= sum(targets[s] for s in full)
         if not full:
             break
-    by_target = {}
-    for r in got:
-        assert 0 <= r.taken <= 2 * r.size
-        by_target.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
-    assert {k[1] for k in by_target} == {round(t, 6) for t in targets.values()}
-    assert sum(sum(v) for v in by_target.values()) == pytest.approx(sum(targets.values()), abs=len(targets))
+    return sizes, targets
+
+
+def queue_of(rows, sizes, targets, packet):
+    """Words taken by row, packet by packet from one sorted list."""
+    items, passed = [], {}
+    shuffled = sorted(range(len(rows)), key=lambda i: (hashlib.md5(("" if rows[i][0] is None else str(rows[i][0])).encode()).hexdigest()[:15], rows[i][0] or 0, len((rows[i][1] or "").split())))
+    for i in shuffled:
+        source, size = rows[i][2], len((rows[i][1] or "").split())
+        start, passed[source] = passed.get(source, 0), passed.get(source, 0) + size
+        each = max(1, min(packet, math.ceil(targets[source] / 128)))
+        for epoch in range(2):
+            for at in range(0, size, each):
+                end = min(size, at + each)
+                items.append(((start + sizes[source] * epoch + end) / targets[source], source is None, source or "", shuffled.index(i), epoch, end - at, i))
+    left, taken = math.floor(sum(targets.values()) + 1e-6), [0] * len(rows)
+    for *_, words, i in sorted(items):
+        taken[i] += min(words, left)
+        left -= min(words, left)
+    return taken
+
+
+def test_the_queue_decides_and_meets_the_targets(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), [None, "a", "b", "c", "d"][min(4, int(rng.integers(9)))]) for i in range(500)]
+    rows += [(900, None, "a"), (901, "", "e"), (None, "x y", "a"), (3, rows[3][1], rows[3][2]), (902, "\t", None), (903, "w " * 5000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("row", F.lit(1))
+    sizes, targets = targets_of(rows)
+    mixed = mix_sources(df.repartition(6))
+    got = mixed_totals(mixed).collect()
+    want = queue_of(rows, sizes, targets, 256)
+    key = lambda i, size, taken: (str(i), size, taken)
+    assert sorted(key(r.doc_id, r.size, r.taken) for r in got) == sorted(key(i, len((t or "").split()), n) for (i, t, _), n in zip(rows, want, strict=True))
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    for s in sizes:
+        taken = sum(n for (*_, x), n in zip(rows, want, strict=True) if x == s)
+        assert abs(taken - targets[s]) <= max(1, min(256, math.ceil(targets[s] / 128)))
+    assert sum(want) == math.floor(sum(targets.values()) + 1e-6)
     again = mixed_totals(mix_sources(df.repartition(2))).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    for r in mixed.collect():  # a second time only after the first
+        assert [t.epoch for t in r.takes] == [1, 2] and (r.takes[1].taken == 0 or r.takes[0].taken == r.size)
     assert mixed_totals(mix_sources(df.limit(0))).collect() == []
+    none = mixed_totals(mix_sources(df.where("doc_id in (900, 901, 902)"))).collect()
+    assert [r.taken for r in none] == [0, 0, 0]
 
 
 def test_links_of_mixtures_across_borders(spark):

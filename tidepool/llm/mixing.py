@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import Scratch
+from tidepool.llm.shared import Scratch, join_sized
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most words of a packet, and the packets that a source's target has at least, where it has as many words.
+PACKET, PACKETS_PER_TARGET = 256, 128
 
 
 def word_count(text: Column) -> Column:
@@ -45,22 +47,28 @@ def mix_sources(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     share: float = 1.5,
     repeats: int = 2,
+    packet: int = PACKET,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The queue of the mix: an item for each document and repeat, with the words it gives.
-
-    Documents of a source are shuffled by the md5 of their id. An item's virtual finish
-    time is the source's cumulative words over the source's target; the part of a document
-    beyond its source's target would finish after time 1 and is cut off. Items in order of
-    finish time fill the total budget. Running sums are two-level (sums of sqrt(n) ranges,
-    then rows of a range), for sources and for the whole queue, so no task holds a source.
-
-    Columns: doc_id, size, source, source_size, target, epoch, finish, taken; epoch 1
-    exists for every document, taken or not. Null text has size 0 and takes
-    nothing; null source is a source; null ids shuffle as ''; repeated rows are documents of
-    their own; ties of the shuffle go by id and size. Other columns are not read.
+    """What the mix takes of each document, by weighted fair queueing.
+
+    Documents of a source are shuffled by the md5 of their id and queue ``repeats`` times over,
+    in packets of at most ``packet`` words (fewer where a source's target is small), so that
+    a long document can't carry its source past its target. A packet's virtual finish time is
+    the source's words up to its end over the source's target. The queue of all sources is
+    ordered by finish time and cut at the budget, the sum of the targets; nothing else
+    decides. Its order is that of ranges of finish time, and within a range of the packets;
+    only the range that holds the cut has to be sorted, so the queue itself is never
+    shuffled, and no task holds a source.
+
+    Columns: doc_id, size, source, source_size, target, takes (a struct of epoch, taken
+    words and finish for each repeat; a document's taken words are its first ones). Null
+    and empty text has size 0 and takes nothing; null source is a source; null ids shuffle
+    as ''; repeated rows are documents of their own; ties of the shuffle go by id and size,
+    ties of the queue by source, shuffle, epoch and packet. A very long text is many packets.
+    Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -86,49 +94,59 @@ def mix_sources(
     spans = spans.join(targets, spans["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     s = spans.select(F.col("source").alias("_source"), F.col("span").alias("_span"), "ahead", "source_size", "target")
     placed = sized.join(s, sized["source"].eqNullSafe(s["_source"]) & (sized["span"] == s["_span"])).drop("_source", "_span")
-    within = Window.partitionBy("source", "span").orderBy("place", "doc_id", "size")
-    placed = placed.withColumn("nth", F.row_number().over(within)).withColumn(
-        "start", F.col("ahead") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    )
-
-    def item(epoch: int) -> Column:
-        start = F.col("start") + F.col("source_size") * (epoch - 1)
-        room = F.floor(F.col("target")) - start
-        words = F.greatest(F.lit(0), F.least(F.col("size"), room)).cast("long")
-        finish = F.least(F.lit(1.0), (start + F.col("size")) / F.col("target"))
-        return F.struct(F.lit(epoch).alias("epoch"), words.alias("words"), F.when(words > 0, finish).alias("finish"))
-
-    items = F.filter(F.array(*[item(e + 1) for e in range(repeats)]), lambda i: (i["epoch"] == 1) | (i["words"] > 0))
-    queue = placed.select("*", F.explode(items).alias("i")).select("*", "i.*").drop("i", "place", "ahead", "start")
-    # Items that give nothing stay spread over the ranges; they add nothing to the sums.
-    slot = F.coalesce(F.floor(F.col("finish") * ranges), F.pmod(F.xxhash64("doc_id"), F.lit(ranges))).cast("int")
-    queue = scratch.keep(queue.withColumn("slot", slot), "queue")
+    within = Window.partitionBy("source", "span").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("start", F.col("ahead") + F.sum("size").over(within) - F.col("size"))
+    quantum = F.greatest(F.lit(1), F.least(F.lit(packet), F.ceil(F.col("target") / PACKETS_PER_TARGET))).cast("long")
+    placed = placed.withColumn("quantum", quantum).withColumn("row", F.monotonically_increasing_id()).drop("span", "ahead")
+    placed = scratch.keep(placed, "placed")
     scratch.drop("sized")
+
+    size, each = F.col("size"), F.col("quantum")
+
+    def packets(epoch: Column | int) -> Column:
+        """Packets of a document's epoch, in order: number, words, finish."""
+        upto = lambda p: F.least(size, p * each)
+        one = lambda p: F.struct(
+            p.alias("packet"), (upto(p) - (p - 1) * each).alias("words"),
+            ((F.col("start") + F.col("source_size") * (epoch - 1) + upto(p)) / F.col("target")).alias("finish"),
+        )
+        return F.when(size > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(size / each)), one))
+
+    # Packets that finish after twice the time share the last range; the budget ends at time 1.
+    slot = lambda finish: F.floor(F.least(finish, F.lit(2.0)) * ranges).cast("long")
+    epochs = placed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    queue = epochs.withColumn("p", F.explode(packets(F.col("epoch")))).select("*", "p.*").withColumn("slot", slot(F.col("finish")))
     slots = queue.groupBy("slot").agg(F.sum("words").alias("slot_words"))
-    ahead = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select(
-        "slot",
-        F.coalesce(F.sum("slot_words").over(ahead), F.lit(0)).alias("before"),
-    )
+    before = F.sum("slot_words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slot_words")
     budget = F.broadcast(targets.agg(F.floor(F.sum("target") + 1e-6).alias("budget")))  # one row
-    slots = slots.crossJoin(budget)
-    order = Window.partitionBy("slot").orderBy(F.col("finish").asc_nulls_last(), "source", "doc_id", "epoch", "span", "nth")
+    crossed = slots.select("slot", "slot_words", before.alias("before")).crossJoin(budget)
+    crossed = crossed.where(F.col("before") + F.col("slot_words") >= F.col("budget")).orderBy("slot")
+    found = crossed.select("slot", (F.col("budget") - F.col("before")).alias("room")).first()  # the range that holds the cut
+    edge, room = found or (-1, 0)
+
+    order = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "place", "doc_id", "size", "row", "epoch", "packet")
     upto = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
-    queue = queue.join(slots, "slot").withColumn("upto", F.col("before") + upto)
-    taken = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("upto"))).cast("long")
-    return queue.select(
-        "doc_id", "size", "source", "source_size", "target", "epoch", "finish", taken.alias("taken"), "span", "nth",
-    )
+    last = queue.where(F.col("slot") == edge).withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), room - upto)))
+    last = last.groupBy("row", "epoch").agg(F.sum("taken").alias("taken"))
+    last = last.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("epoch", "taken"))).alias("last"))
+    last = scratch.keep(last, "last")
+
+    def take(epoch: Column) -> Column:
+        own = packets(epoch)
+        whole = F.filter(own, lambda p: slot(p["finish"]) < edge)
+        words = F.aggregate(F.coalesce(whole, F.array().cast("array<struct<packet:long,words:long,finish:double>>")), F.lit(0).cast("long"), lambda a, p: a + p["words"])
+        taken = words + F.coalesce(F.try_element_at("last", epoch), F.lit(0))
+        return F.struct(epoch.alias("epoch"), taken.cast("long").alias("taken"), F.element_at(own, -1)["finish"].alias("finish"))
 
+    rows = join_sized(placed, last, ["row"], "left")
+    takes = F.transform(F.sequence(F.lit(1), F.lit(repeats)), take).alias("takes")
+    return rows.select("doc_id", "size", "source", "source_size", "target", takes)
 
-def mixed_totals(queue: DataFrame) -> DataFrame:
+
+def mixed_totals(mix: DataFrame) -> DataFrame:
     """Per document what the mix takes of it: doc_id, size, source_size, target, taken."""
-    same = ["doc_id", "size", "source_size", "target"]
-    return (
-        queue.groupBy("source", "span", "nth")
-        .agg(*[F.first(c).alias(c) for c in same], F.sum("taken").alias("taken"))
-        .select(*same, "taken")
-    )
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t["taken"])
+    return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 #: DuckDB SQL for mixed_totals(mix_sources(documents)) with the default parameters.
@@ -148,11 +166,22 @@ levels AS (
   FROM weighed),
 targets AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels),
 placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(d.place, 1, 15), d.doc_id, d.size
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
-FROM placed
+  SELECT d.doc_id, d.size, d.source, substr(d.place, 1, 15) AS place, t.source_size, t.target, row_number() OVER () AS id,
+         greatest(1, least(256, ceil(target / 128)))::BIGINT AS quantum,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(d.place, 1, 15), d.doc_id, d.size
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+packets AS (
+  SELECT *, unnest(range(1, (size + quantum - 1) // quantum + 1)) AS packet
+  FROM placed, (VALUES (1), (2)) e(epoch) WHERE size > 0),
+queue AS (
+  SELECT *, least(size, packet * quantum) - (packet - 1) * quantum AS words,
+         (start + source_size * (epoch - 1) + least(size, packet * quantum)) / target AS finish FROM packets),
+cut AS (
+  SELECT id, greatest(0, least(words, (SELECT floor(sum(target) + 1e-6) FROM targets)
+             - (sum(words) OVER (ORDER BY finish, source NULLS LAST, place, doc_id, size, id, epoch, packet
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words))) AS taken
+  FROM queue),
+taken AS (SELECT id, sum(taken) AS taken FROM cut GROUP BY id)
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (id)
 """

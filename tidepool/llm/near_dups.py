@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.components import components
-from tidepool.llm.shared import Scratch, map_text
+from tidepool.llm.shared import Scratch, join_sized, map_text
 from tidepool.llm.shingles import mix, shingle_sets
 
 #: Two collections of SIDE sub-sketches, each of ROWS minhashes; every pair of sub-sketches is a
@@ -21,8 +21,6 @@ SIDE, ROWS = 8, 2
 BINS = 512
 #: Deviations below the threshold at which the screen drops a pair.
 SLACK = 4.0
-#: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Members of a bucket that meet in one piece of work.
 BLOCK = 512
 
@@ -65,7 +63,7 @@ def sketch(values: np.ndarray, sizes: np.ndarray) -> dict[str, object]:
     }
 
 
-def likely(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+def likely(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int, slack: float) -> np.ndarray:
     """Pairs that may reach the threshold, by their set sizes m, n and the signature bins that agree.
 
     The bins in use are a sample without replacement of the union, so for sets that are not
@@ -77,7 +75,9 @@ def likely(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, percent:
     union = np.maximum((m + n) / (1 + t), used)
     rest = (union - used) / np.maximum(union - 1, 1)
     fits = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
-    return fits & (same >= t * used - SLACK * np.sqrt(t * (1 - t) * np.maximum(used, 1) * rest) - 1)
+    if slack == float("inf"):
+        return fits
+    return fits & (same >= t * used - slack * np.sqrt(t * (1 - t) * np.maximum(used, 1) * rest) - 1)
 
 
 def _rows(column: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -86,7 +86,7 @@ def _rows(column: pa.Array, width: int, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
-def _screen(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _screen(pairs: DataFrame, signatures: DataFrame, percent: int, slack: float) -> DataFrame:
     """The pairs (a, b) whose signatures allow the threshold."""
     for side in "ab":
         own = [F.col(c).alias(f"{c[0]}{side}") for c in ("signature", "n_shingles")]
@@ -95,21 +95,16 @@ def _screen(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             a, b = (_rows(t.column(i), BINS, np.uint8) for i in (2, 3))
-            ok = likely(a, b, t.column(4).to_numpy(), t.column(5).to_numpy(), percent)
+            ok = likely(a, b, t.column(4).to_numpy(), t.column(5).to_numpy(), percent, slack)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(ok)), t.column(1).filter(pa.array(ok))], ["a", "b"])
 
     return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Joins by broadcast if ``small`` has at most BROADCAST_ROWS rows, else by a shuffle."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
 def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    """The pairs (a, b) whose full shingle sets reach the threshold; an id's texts are all tried."""
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    wanted = join_sized(docs, ids, ["id"], "left_semi").dropDuplicates(["id"])
+    wanted = join_sized(docs, ids, ["id"], "left_semi").dropDuplicates(["id", "text"])
 
     def make():
         def f(data, offsets):
@@ -136,10 +131,12 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratc
                 ok.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(ok)), t.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    found = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), name)
+    scratch.drop(f"{name}-ids", f"{name}-sets")
+    return found
 
 
-def bucket_pairs(rows: pa.Table, percent: int) -> pa.Table:
+def bucket_pairs(rows: pa.Table, percent: int, slack: float) -> pa.Table:
     """Pairs of different components within each bucket block, where they first meet, if likely."""
     if isinstance(rows, pa.RecordBatch):
         rows = pa.Table.from_batches([rows])
@@ -170,14 +167,14 @@ def bucket_pairs(rows: pa.Table, percent: int) -> pa.Table:
                 first = same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
                 ok = first == table[x]
                 x, y = x[ok], y[ok]
-                ok = likely(signature[x], signature[y], many[x], many[y], percent)
+                ok = likely(signature[x], signature[y], many[x], many[y], percent, slack)
                 found.append(np.column_stack([rep[x[ok]], rep[y[ok]]]))
     pairs = np.concatenate(found)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, slack: float | None = SLACK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document; linked where 100 * common >= percent * all.
 
@@ -190,11 +187,17 @@ def near_duplicates(
        in blocks, each pair in the first bucket it shares, screened by signature, confirmed.
 
     So no link between candidates is lost and copies are never expanded into all pairs. The
-    confirmation compares full sets of 64-bit shingle hashes. Repeated rows and rows of one
-    id with different texts belong together; other columns are not read.
+    confirmation compares full sets of 64-bit shingle hashes, of whole texts however long.
+    Repeated rows and rows of one id with different texts are one document, which links as
+    any of its texts does. A row without id can be nobody's copy and nobody's original: its
+    component is null and it is kept. Ties of sets go to the smaller id; no rows give no
+    rows; other columns, whatever their names, are not read. ``slack`` is in deviations: the
+    screen by signatures drops pairs that far below the threshold, and None screens by set
+    sizes alone, so that every candidate pair is confirmed on full sets.
     """
     scratch = Scratch(docs.sparkSession, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slack = float("inf") if slack is None else slack
 
     def make():
         return lambda data, offsets: sketch(*shingle_sets(data, offsets, words))
@@ -203,7 +206,7 @@ def near_duplicates(
     sketches = scratch.keep(
         map_text(docs, ["id"], "text", f"id long, n_shingles long, h1 long, h2 long, {keys}, signature binary", make), "sketches"
     )
-    real = sketches.where(F.col("n_shingles") > 0)
+    real = sketches.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     some = [F.any_value(c).alias(c) for c in ("left", "right", "signature")]
     reps = real.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"), *some)
     reps = scratch.keep(reps, "reps")
@@ -220,9 +223,9 @@ def near_duplicates(
     buckets = scratch.keep(join_sized(rows, shared, ["key"]).select("key", "table", "rep", "leader", "n"), "buckets")
 
     stars = buckets.where(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = scratch.keep(_screen(stars, reps, percent), "stars")
-    links = scratch.keep(_confirm(stars, docs, words, percent, scratch, "star"), "links")
-    first = components(links, scratch, "first")
+    stars = scratch.keep(_screen(stars, reps, percent, slack), "stars")
+    first = components(_confirm(stars, docs, words, percent, scratch, "star"), scratch, "first")
+    scratch.drop("shared", "stars", "star")
 
     placed = buckets.join(first.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
@@ -247,17 +250,22 @@ def near_duplicates(
     spots = spots.select(
         F.pmod("m.block", F.lit(groups)).alias("work"), "m.block", "m.side", "table", "rep", "component", "n_shingles", "subs", "signature"
     )
-    crossing = spots.groupBy("work").applyInArrow(lambda t: bucket_pairs(t, percent), "a long, b long")
+    crossing = spots.groupBy("work").applyInArrow(lambda t: bucket_pairs(t, percent, slack), "a long, b long")
     crossing = scratch.keep(crossing, "crossing")
+    scratch.drop("buckets", "open")
     more = _confirm(crossing, docs, words, percent, scratch, "cross")
     star = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    named = scratch.keep(components(star.unionByName(more), scratch, "all"), "named")
+    # Ids of several texts, of which there should be none, tie the representatives of these.
+    several = real.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where(F.col("lo") != F.col("hi")).select("id")
+    ties = real.join(several, "id").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    named = scratch.keep(components(star.unionByName(more).unionByName(ties), scratch, "all"), "named")
+    scratch.drop("crossing", "cross", "first", "all")
 
     member = sketches.select("id", "n_shingles", "h1", "h2").join(
         reps.select("h1", "h2", "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left"), ["h1", "h2"], "left"
     )
-    found: Column = F.coalesce("component", "rep", "id")
-    return member.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), (found == F.col("id")).alias("kept"))
+    found: Column = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
+    return member.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("id"), F.lit(True)).alias("kept"))
 
 
 #: DuckDB SQL for near_duplicates with four words: all pairs that share a shingle, then reach.

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: Most rows of a table that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
 #: Rows of an Arrow batch where rows hold whole texts or sets.
 BATCH_ROWS = 1000
 
@@ -25,13 +28,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder that spark.checkpoint.dir names; on one machine alone a temporary one where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidepool-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -60,6 +65,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins by broadcast if ``small`` has at most BROADCAST_ROWS rows, else by a shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def in_fold(id_col: str, mod: int, fold: int) -> Column:
     """True where crc32 of the id as text leaves ``fold``; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod == fold
