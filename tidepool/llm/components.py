@@ -31,14 +31,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     written to the shared folder, which cuts lineage. Self-links and nulls are ignored.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long")).distinct()
-    now, before = scratch.keep(edges, f"{name}-0"), None
+    now, before = scratch.keep(edges, f"{name}/0"), None
     for r in range(1, MOST_ROUNDS + 1):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
             break
         before = mark
-        now = scratch.keep(_small_star(_large_star(now)), f"{name}-{r}")
-        scratch.drop(f"{name}-{r - 1}")
+        now = scratch.keep(_small_star(_large_star(now)), f"{name}/{r}")
+        scratch.drop(f"{name}/{r - 1}")
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
