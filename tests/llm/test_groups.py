@@ -218,3 +218,50 @@ def test_links_of_mixtures_across_borders(spark):
     wanted = (unit @ unit.T >= 0.9).sum(1) - 1
     got = {r.vec_id: r.n_links for r in link_vectors(df, per_cell=45).collect()}
     assert got == dict(enumerate(wanted.tolist()))
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(23)
+    rows = []
+    for dim, n in ((16, 400), (8, 90), (3, 1), (5, 2)):
+        centers = rng.normal(size=(12, dim))
+        rows += [(len(rows) + i, (centers[i % 12] + 0.2 * rng.normal(size=dim)).tolist()) for i in range(n)]
+    rows += [(1000, rows[-1][1]), (1001, None), (None, rows[0][1]), (1002, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit("clash")).withColumn("v", F.lit(0))
+    fine = [(i, v) for i, v in sound(rows) if i is not None]
+    links = {i: set() for i, _ in rows if i is not None}
+    near = {}
+    for i, v in fine:
+        same = [(j, w) for j, w in fine if j != i and len(w) == len(v)]
+        links[i] = {j for j, w in same if v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9}
+        near[i] = [j for _, j in sorted((-(v @ w), j) for j, w in same)][:5]
+    got = {r.vec_id: r for r in link_vectors(df.repartition(5), per_cell=40, block=32).collect()}
+    assert len(got) == len(rows) and {i: got[i].n_links for i in links} == {i: len(x) for i, x in links.items()}
+    want = reach(links, [(a, b) for a, x in links.items() for b in x])
+    assert {i: got[i].component_id for i in links} == want and got[None].component_id is None and got[None].kept
+
+    found = {}
+    for r in nearest(df.repartition(4), df, k=5, leaf=40, sample_rows=300).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = sum(len(set(found.get(i, [])) & set(x)) for i, x in near.items())
+    assert hits >= 0.9 * sum(map(len, near.values())) and not {1001, 1002, None} & set(found)
+    assert all(len(found[i]) == len(x) for i, x in near.items() if x)
+
+
+def test_recall_on_structured_vectors(spark):
+    """Clusters of different widths, and vectors of low rank: recall by a plain count, deep trees."""
+    rng = np.random.default_rng(31)
+    topics = rng.normal(size=(50, 32))
+    clusters = topics[rng.integers(50, size=3000)] + rng.uniform(0.05, 1, (3000, 1)) * rng.normal(size=(3000, 32))
+    flat = rng.normal(size=(1000, 4)) @ rng.normal(size=(4, 32))
+    for m in (clusters, flat):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+        found = {}
+        for r in nearest(df, df.where("vec_id % 20 = 0"), k=10, leaf=64, sample_rows=1000).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q in range(0, len(m), 20):
+            score = m @ m[q]
+            score[q] = -np.inf
+            hits += len(found[q] & set(np.argsort(-score)[:10].tolist()))
+        assert hits >= 0.9 * 10 * len(found)

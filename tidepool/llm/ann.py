@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.shared import Scratch
-from tidepool.llm.vectors import hash_sample, matrix, usable
+from tidepool.llm.vectors import by_length, matrix, sample_by_length, usable
 
 
 @dataclass(frozen=True)
@@ -61,9 +61,10 @@ def fit_forest(
 ) -> Forest:
     """Fits on a bounded sample: each node cuts at the median along two random rows' difference.
 
-    The depth aims at ``leaf`` rows a leaf of ``total``, at ``most_depth`` at most. The
-    number of leaves to visit grows by quarters until 128 rows of the sample find ``recall``
-    of their k nearest in the sample, at most to every leaf of every tree.
+    The depth aims at ``leaf`` rows a leaf of ``total``, at ``most_depth`` at most. 128 rows
+    of the sample search all leaves; the place in the queue at which they have met ``recall``
+    of their k nearest in the sample is the number of leaves to visit. That is measured for
+    2, 4, ... up to ``trees`` trees, and the number that visits the fewest rows is taken.
     """
     rng = np.random.default_rng(seed)
     depth = max(0, min(most_depth, round(math.log2(max(1, total) / leaf)), int(math.log2(max(1, len(sample) / 16)))))
@@ -81,24 +82,26 @@ def fit_forest(
             p = sample[r] @ planes[t, node]
             cuts[t, node] = np.median(p) if len(p) else 0.0
             rows += [r[p <= cuts[t, node]], r[p > cuts[t, node]]]
-    forest, every = Forest(planes, cuts, depth, trees * 2**depth), trees * 2**depth
     if not depth:
-        return Forest(planes, cuts, 0, 1)
-    asked = sample[rng.choice(len(sample), min(128, len(sample)), replace=False)]
-    best = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, : k + 1]
-    where = forest.leaves(sample)
-    visits = 1
-    while visits < every:
-        hit = 0
+        return Forest(planes[:1], cuts[:1], 0, 1)
+    own = rng.choice(len(sample), min(128, len(sample)), replace=False)
+    asked = sample[own]
+    score = asked @ sample.T
+    score[np.arange(len(own)), own] = -np.inf  # a query is no candidate of its own
+    best = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    where = Forest(planes, cuts, depth, 0).leaves(sample)
+    found: Forest | None = None
+    for many in sorted({min(trees, 2 << i) for i in range(trees.bit_length())}):
+        forest = Forest(planes[:many], cuts[:many], depth, many << depth)
+        place, met = np.zeros((many, 1 << depth), np.int64), []
         for q, b in zip(asked, best, strict=True):
-            seen = np.zeros((trees, 2**depth), bool)
-            for t, x in forest.search(q, visits):
-                seen[t, x] = True
-            hit += seen[np.arange(trees)[:, None], where[:, b]].any(0).sum()
-        if hit >= recall * best.size:
-            break
-        visits = visits + max(1, visits // 4)
-    return Forest(planes, cuts, depth, min(visits, every))
+            for i, (t, x) in enumerate(forest.search(q)):
+                place[t, x] = i
+            met.append(place[np.arange(many)[:, None], where[:many, b]].min(0))
+        visits = int(np.quantile(np.concatenate(met), recall, method="higher")) + 1
+        if found is None or visits < found.visits:
+            found = Forest(forest.planes, forest.cuts, depth, visits)
+    return found
 
 
 def nearest(
@@ -120,7 +123,9 @@ def nearest(
     crowded leaf is many tasks; each gives the k best of a block, and the best of all are
     kept. Scores are double sums in element order; ties go to the smaller id. Vectors that
     are null, empty, zero, or hold null or non-finite components, and rows without id, take
-    no part; vectors of other lengths than the longest sample row never meet it.
+    no part. Vectors of several lengths are searched each among its own, with a forest for
+    each length. Repeated rows are one; no rows give no rows; other columns, whatever their
+    names, are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -132,49 +137,50 @@ def nearest(
     distinct = scratch.keep(kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "distinct")
     asked = clean(queries).distinct()
     schema = "query_id long, rank int, vec_id long, score double"
-    total = distinct.count()
-    sample = hash_sample(distinct.withColumn("id", F.col("ids")[0]), "id", sample_rows, total)
-    rows = matrix(pa.array([r["v"] for r in sample.select("v").collect()], pa.list_(pa.float64()))) if total else None
-    if rows is None:
+    counts, samples = sample_by_length(distinct.select(F.col("ids")[0].alias("id"), "v"), "id", "v", sample_rows)
+    if not counts:
         return spark.createDataFrame([], schema)
-    if not len(rows):
-        rows = matrix(pa.array([distinct.first()["v"]], pa.list_(pa.float64())))
     element = distinct.schema["v"].dataType.elementType.simpleString()
-    model = fit_forest(rows, total, k=k, **forest)
-    dim = rows.shape[1]
-    shared = spark.sparkContext.broadcast(model)  # trees x 2^depth planes: bounded by the parameters
+    models = {n: fit_forest(samples[n], counts[n], k=k, **forest) for n in counts}
+    shared = spark.sparkContext.broadcast(models)  # trees x 2^depth planes for each length: bounded by the parameters
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            where = shared.value.leaves(matrix(b.column(1))).T if b.num_rows else np.zeros((0, 0), np.int32)
-            flat = pa.array(where.ravel())
-            bounds = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * shared.value.trees)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(bounds, flat)], ["ids", "v", "leaf"])
+            for n, rows, v in by_length(b.column(1)):
+                model, part = shared.value[n], b.take(pa.array(rows))
+                bounds = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * model.trees)
+                leaves = pa.ListArray.from_arrays(bounds, pa.array(model.leaves(v).T.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), leaves], ["ids", "v", "leaf"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
         for b in batches:
-            hits = [shared.value.search(q) for q in matrix(b.column(1))]
-            kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
-            found = pa.array([[{"tree": t, "leaf": x} for t, x in h] for h in hits], kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["id", "v", "hits"])
-
-    same = F.size("v") == dim
-    members = distinct.where(same).select("ids", "v").mapInArrow(index, f"ids array<long>, v array<{element}>, leaf array<int>")
-    members = members.select("ids", "v", F.posexplode("leaf").alias("tree", "leaf"))
-    asked = asked.where(same).mapInArrow(probe, f"id long, v array<{element}>, hits array<struct<tree:int,leaf:int>>")
-    asked = scratch.keep(asked, "asked").select("id", "v", F.explode("hits").alias("h")).select("id", "v", "h.tree", "h.leaf")
-    # Blocks of a leaf, from counts: trees x 2^depth rows at most.
+            for n, rows, v in by_length(b.column(1)):
+                if n not in shared.value:  # no candidates of this length
+                    continue
+                part = b.take(pa.array(rows))
+                found = pa.array([[{"tree": t, "leaf": x} for t, x in shared.value[n].search(q)] for q in v], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["id", "v", "hits"])
+
+    members = distinct.select("ids", "v").mapInArrow(index, f"ids array<long>, v array<{element}>, leaf array<int>")
+    members = members.select("ids", "v", F.size("v").alias("dim"), F.posexplode("leaf").alias("tree", "leaf"))
+    kind = asked.schema["v"].dataType.elementType.simpleString()
+    asked = asked.mapInArrow(probe, f"id long, v array<{kind}>, hits array<struct<tree:int,leaf:int>>")
+    asked = scratch.keep(asked, "asked").select("id", "v", F.size("v").alias("dim"), F.explode("hits").alias("h"))
+    asked = asked.select("id", F.col("v").cast(f"array<{element}>").alias("v"), "dim", "h.tree", "h.leaf")
+    # Blocks of a leaf, from counts: trees x 2^depth rows at most, for each length.
+    spot = ["dim", "tree", "leaf"]
     parts = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / block).cast("int")
-    many = members.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-    shape = asked.groupBy("tree", "leaf").agg(F.count("*").alias("q")).join(many, ["tree", "leaf"])
-    shape = F.broadcast(shape.select("tree", "leaf", parts("n").alias("nb"), parts("q").alias("qb")))
+    many = members.groupBy(spot).agg(F.count("*").alias("n"))
+    shape = asked.groupBy(spot).agg(F.count("*").alias("q")).join(many, spot)
+    shape = F.broadcast(shape.select(*spot, parts("n").alias("nb"), parts("q").alias("qb")))
     none = F.lit(0)
-    left = members.join(shape, ["tree", "leaf"]).select(
-        "tree", "leaf", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("nb")).cast("int").alias("i"),
+    left = members.join(shape, spot).select(
+        *spot, F.pmod(F.xxhash64(F.col("ids")[0]), F.col("nb")).cast("int").alias("i"),
         F.explode(F.sequence(none, F.col("qb") - 1)).alias("j"), "ids", "v", F.lit(None).cast("long").alias("id"),
     )
-    right = asked.join(shape, ["tree", "leaf"]).select(
-        "tree", "leaf", F.explode(F.sequence(none, F.col("nb") - 1)).alias("i"),
+    right = asked.join(shape, spot).select(
+        *spot, F.explode(F.sequence(none, F.col("nb") - 1)).alias("i"),
         F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("j"), F.lit(None).cast("array<long>").alias("ids"), "v", "id",
     )
 
@@ -213,7 +219,7 @@ def nearest(
         hits = pa.StructArray.from_arrays([pa.array(np.concatenate(best_less)), pa.array(np.concatenate(best_id))], fields=list(out_kind.value_type))
         return pa.table({"query_id": qid, "best": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), hits)})
 
-    tasks = left.unionByName(right).groupBy("tree", "leaf", "i", "j")
+    tasks = left.unionByName(right).groupBy(*spot, "i", "j")
     found = tasks.applyInArrow(rank_block, "query_id long, best array<struct<less:double,vec_id:long>>")
     # At most k for each block visited; equal finds of several trees are one.
     merged = found.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("all"))
@@ -233,7 +239,7 @@ WITH fine AS (
     AND len([x FOR x IN embedding IF x <> 0]) > 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
-  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.components import components
 from tidepool.llm.shared import Scratch
-from tidepool.llm.vectors import hash_sample, matrix, usable
+from tidepool.llm.vectors import by_length, matrix, sample_by_length, usable
 
 
 @dataclass(frozen=True)
@@ -126,8 +126,9 @@ def link_vectors(
 
     Vectors that are null, empty, zero or hold null or non-finite components have 0 links
     and stand alone, kept; so does a row without id, with a null component. Repeated rows
-    are copies and link to each other. Vectors of other lengths than the sample's most
-    common one are compared only with equal ones. Other columns are not read.
+    are copies and link to each other. Vectors of several lengths are compared each among
+    its own, in cells fitted to that length. Ties of cells go to the lower number; no rows
+    give no rows; other columns, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "cells")
@@ -135,33 +136,33 @@ def link_vectors(
     fine = usable(F.col("e")) & F.col("vec_id").isNotNull()
     groups = rows.where(fine).groupBy("e").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
     distinct = scratch.keep(groups, "distinct")
-    total = distinct.count()
-    v = F.transform("e", lambda x: x.cast("double")).alias("v")
-    sample = [r["v"] for r in hash_sample(distinct, "id", sample_rows, total).select(v).collect()]
-    if total and not sample:
-        sample = [distinct.select(v).first()["v"]]
-    dim = max((len(x) for x in sample), key=[len(x) for x in sample].count, default=0)
-    model = fit_cells(np.array([x for x in sample if len(x) == dim] or [[1.0]], float), total, cosine, **cells)
-    shared = spark.sparkContext.broadcast(model)  # most_cells x dimensions: bounded by the parameters
+    counts, samples = sample_by_length(distinct, "id", "e", sample_rows)
+    models, begin = {}, 0
+    for n in sorted(counts):  # cells of all lengths are numbered through
+        fitted = fit_cells(samples[n], counts[n], cosine, **cells)
+        models[n] = begin, fitted
+        begin += len(fitted.centroids)
+    shared = spark.sparkContext.broadcast(models)  # most_cells x dimensions for each length: bounded by the parameters
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            row, cell, home = shared.value.assign(matrix(b.column(2)))
-            for at in range(0, len(row), 20_000):
-                part = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[part].astype(np.int32)), pa.array(home[part]), *(c.take(pa.array(row[part])) for c in b.columns)],
-                    ["cell", "home", "id", "weight", "v"],
-                )
+            for n, which, v in by_length(b.column(2)):
+                first, fitted = shared.value[n]
+                row, cell, home = fitted.assign(v)
+                row = which[row]
+                for at in range(0, len(row), 20_000):
+                    part = slice(at, at + 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((first + cell[part]).astype(np.int32)), pa.array(home[part]), *(c.take(pa.array(row[part])) for c in b.columns)],
+                        ["cell", "home", "id", "weight", "v"],
+                    )
 
     # Vectors travel in their own type; a block makes doubles of them.
-    placed = distinct.where(F.size("e") == dim).select("id", "weight", F.col("e").alias("v"))
+    placed = distinct.select("id", "weight", F.col("e").alias("v"))
     placed = placed.mapInArrow(place, f"cell int, home boolean, id long, weight long, v {distinct.schema['e'].dataType.simpleString()}")
     parts = lambda c: F.ceil(F.count_if(c) / block).cast("int")
     shape = placed.groupBy("cell").agg(parts(F.col("home")).alias("hb"), parts(~F.col("home")).alias("gb"))
-    shape = F.broadcast(shape)  # a row for each cell: most_cells at most
+    shape = F.broadcast(shape)  # a row for each cell: most_cells at most for each length
     where = placed.join(shape, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("gb"))).cast("int"))
     spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     zero, one = F.lit(0), F.lit(1)
@@ -185,6 +186,7 @@ def link_vectors(
         .select("e", "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     )
     known = scratch.keep(known, "known")
+    scratch.drop("distinct", "found", "star")
     usable_rows = rows.where(fine).join(known, "e").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     others = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return usable_rows.unionByName(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,29 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def hash_sample(df: DataFrame, id_col: str, rows: int, total: int) -> DataFrame:
-    """About ``rows`` rows, the same at every run, by a hash of the id; all if there are fewer."""
-    share = min(1.0, rows / max(1, total))
-    return df.where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix of these rows) for each length in a list column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        yield int(size), rows, matrix(column if len(rows) == len(column) else column.take(pa.array(rows)))
+
+
+def sample_by_length(df: DataFrame, id_col: str, vector_col: str, rows: int) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """(vectors of each length, about ``rows`` of them), the same at every run, by a hash of the id; all if there are fewer.
+
+    Lengths are those of the models that made the vectors, so few; the driver holds
+    ``rows`` vectors of each.
+    """
+    size = F.size(vector_col)
+    counts = {r["n"]: r["c"] for r in df.groupBy(size.alias("n")).agg(F.count("*").alias("c")).collect()}
+    if not counts:
+        return {}, {}
+    cuts = F.create_map(*[F.lit(int(x)) for n, c in counts.items() for x in (n, min(1.0, rows / c) * (1 << 30))])
+    picked = df.where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) < F.element_at(cuts, size))
+    found: dict[int, list] = {n: [] for n in counts}
+    for r in sorted(picked.select(F.col(id_col).alias("i"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).collect()):
+        found[len(r["v"])].append(r["v"])
+    return counts, {n: np.array(v, np.float64).reshape(len(v), n) for n, v in found.items()}
