@@ -17,7 +17,7 @@ def test_names():
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).columns == ["query_id", "asset_id", "similarity", "fused", "rank", "width", "height"]
+    assert entry.entry(spark).columns == ["query_id", "asset_id", "similarity", "fused", "rank", "width", "height", "creation_s", "modification_s", "text"]
 
 
 @pytest.mark.parametrize("name", ["search_combined", "snapshot_diff", "index_summary", "label_report", "retrieval_scores", "tile_plan"])

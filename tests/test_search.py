@@ -34,12 +34,12 @@ def test_bm25_is_that_of_sqlite(spark, query):
     want = dict(db.execute("SELECT id, bm25(t) FROM t WHERE t MATCH ?", (literal,)).fetchall())
     got = {r.asset_id: r.score for r in S.bm25_scores(asked(spark, query), texts(spark, rows)).collect()}
     assert got.keys() == want.keys()
-    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
 
 
 def test_operators_are_plain_words(spark):
     rows = texts(spark, [("a", "кот OR собака"), ("b", "кот собака"), ("c", "кот")])
-    found = S.literal_matches(asked(spark, '"кот" OR (собака*)', "кот NOT"), rows).collect()
+    found = S.literal_matches(asked(spark, '"кот" OR (собака*)', "кот NOT"), S.postings(rows)).collect()
     assert {(r.query_id, r.asset_id) for r in found} == {(0, "a")}
 
 
@@ -56,11 +56,58 @@ def test_a_published_index_scores_alike(spark, tmp_path):
     from tidepool.sources.tables import current, publish_index
 
     t, root = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path)
-    publish_index(t.assets, t.stages, t.texts, root)
-    known = S.bm25_from_index(t.text_queries, current(spark, f"{root}/postings"), current(spark, f"{root}/statistics"))
-    rounded = lambda df: {(r.query_id, r.asset_id, round(r.score, 9)) for r in df.collect()}
-    assert rounded(known) == rounded(S.bm25_scores(t.text_queries, t.texts)) != set()
+    index = publish_index(t.assets, t.stages, t.texts, t.vectors, root)
+    known = S.bm25_from_index(t.text_queries, index.postings, index.statistics)
+    rows = lambda df: {(r.query_id, r.asset_id, r.score) for r in df.collect()}
+    assert rows(known) == rows(S.bm25_scores(t.text_queries, t.texts)) != set()
     assert current(spark, f"{root}/stages").where("kind = 'ocr'").count() == t.documents.count()
+    assert index.statistics.first() == S.corpus_statistics(t.texts).first()
+    plan = index.vectors.where("version = 'clip-1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(version" in plan
+    empty = publish_index(t.assets.limit(0), t.stages.limit(0), t.texts.limit(0), t.vectors.limit(0), f"{root}/none")
+    assert S.bm25_from_index(t.text_queries, empty.postings, empty.statistics).collect() == []
+
+
+def unit(*v):
+    return [x / math.sqrt(sum(y * y for y in v)) for x in v]
+
+
+def library_index(spark, root):
+    """Five assets: words in one or many, stale vectors and texts, and one that only the visual channel knows."""
+    from tidepool.sources.tables import publish_index
+
+    names = ["concentrated", "diluted", "wrong-visual", "wrong-ocr", "visual-only"]
+    body = {"concentrated": "red ship", "diluted": "red ship " + "and other things " * 9, "wrong-visual": "red ship", "wrong-ocr": "red ship", "visual-only": "harbour"}
+    assets = spark.createDataFrame([(n, 640, 480) for n in names], "asset_id string, width int, height int")
+    stages = [(n, "embedding", "old" if n == "wrong-visual" else "clip-1", "complete") for n in names]
+    stages += [(n, "ocr", "old" if n == "wrong-ocr" else "ocr-1", "failed" if n == "visual-only" else "complete") for n in names]
+    vectors = [(n, "clip", unit(1.0, 0.2 * i)) for i, n in enumerate(["visual-only", "wrong-visual", "diluted", "wrong-ocr", "concentrated"])]
+    return publish_index(
+        assets, spark.createDataFrame(stages, "asset_id string, kind string, version string, status string"),
+        spark.createDataFrame(list(body.items()), "asset_id string, text string"),
+        spark.createDataFrame(vectors, "asset_id string, model_id string, embedding array<float>"), root,
+    )
+
+
+def test_each_channel_sees_complete_stages_of_its_own_version(spark, tmp_path):
+    from tidepool.operators.index_state import searchable
+
+    index = library_index(spark, str(tmp_path))
+    texts_ok, vectors_ok = searchable(index.stages, "ocr", "ocr-1"), index.vectors.where("version = 'clip-1'")
+    q = asked(spark, "red ship", "!?", "red " * 40)
+    found = S.search_text(q, index.postings, index.statistics, texts_ok, index.assets).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.asset_id, r.fused, r.width) for r in found] == [
+        (0, "concentrated", 1 / 61, 640), (0, "wrong-visual", 1 / 62, 640), (0, "diluted", 1 / 63, 640)
+    ]
+    wanted = spark.createDataFrame([(i, "clip", unit(1.0, 0.0)) for i in range(3)], "query_id long, model_id string, embedding array<float>")
+    both = S.search_combined(q, wanted, vectors_ok, index.postings, index.statistics, texts_ok)
+    rows = S.with_records(both, index.assets, index.texts).orderBy("query_id", "rank").collect()
+    names = [(r.asset_id, r.visual_rank, r.text_rank, r.text is not None) for r in rows if r.query_id == 0]
+    assert names[:2] == [("concentrated", 4, 1, True), ("diluted", 2, 3, True)]
+    assert {n for n, *_ in names} == {"concentrated", "diluted", "wrong-visual", "wrong-ocr", "visual-only"}
+    assert next(x for x in names if x[0] == "wrong-visual")[1] is None and next(x for x in names if x[0] == "wrong-ocr")[2:] == (None, False)
+    # Punctuation and too long a text search visually alone.
+    assert [r.asset_id for r in rows if r.query_id == 1] == [r.asset_id for r in rows if r.query_id == 2] == ["visual-only", "diluted", "wrong-ocr", "concentrated"]
 
 
 def ranked(spark, *rows):
@@ -102,7 +149,7 @@ def test_many_queries_meet_assets_in_blocks(spark, monkeypatch):
     rows = [(f"p{i:03}", f"m{i % 3 // 2}", rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(157)]
     rows = [r for r in rows if any(r[2])]
     vectors = spark.createDataFrame(rows, "asset_id string, model_id string, embedding array<float>").repartition(5)
-    queries = vectors.limit(70).select(F.col("asset_id").alias("query_id"), "model_id", "embedding").localCheckpoint()
+    queries = spark.createDataFrame(rows[:70], "query_id string, model_id string, embedding array<float>")
     key = lambda df: sorted(map(tuple, df.select("query_id", "asset_id", "similarity", "rank").collect()))
     want = key(S.top_k(S.cosine_scores(queries, vectors), 7, "similarity"))
     monkeypatch.setattr(S, "MOST_BROADCAST_QUERIES", 5)

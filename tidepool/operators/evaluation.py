@@ -19,7 +19,12 @@ def first_relevant(ranked: DataFrame, positives: DataFrame) -> DataFrame:
 
 
 def retrieval_scores(queries: DataFrame, ranked: DataFrame, positives: DataFrame) -> DataFrame:
-    """Per language: success at 1 and 5, MRR within ten, failed; failed and missing queries count as misses."""
+    """Per language: success at 1 and 5, MRR within ten, failed, for (query_id, language, failed).
+
+    ``failed`` is null for a query without a case, which counts as failed; failed queries
+    stay in every denominator, as misses.
+    """
+    queries = queries.withColumn("failed", F.coalesce("failed", F.lit(True)))
     known = queries.join(first_relevant(ranked.where(F.col("rank") <= RANKED), positives), "query_id", "left")
     hit = lambda k: F.coalesce(F.col("first_rank") <= k, F.lit(False)) & ~F.col("failed")
     reciprocal = F.when(hit(RANKED), 1.0 / F.col("first_rank")).otherwise(0.0)

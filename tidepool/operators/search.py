@@ -17,6 +17,8 @@ from tidepool.functions import vectors as V
 K1, B = 1.2, 0.75
 #: Candidates of each channel in a combined search, results of one, and the fusion constant.
 CANDIDATES, RESULTS, FUSION = 100, 50, 60
+#: Digits of a word score that don't depend on the order of its sum.
+SCORE_DIGITS = 12
 #: Queries that meet a partition of assets at a time, and most that are broadcast at once.
 QUERY_BLOCK, MOST_BROADCAST_QUERIES = 256, 20_000
 #: Queries, and assets, of a block where more queries than that meet the assets block by block.
@@ -50,7 +52,7 @@ def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _nearest(ids: list, block: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[list[pa.Array]]:
-    """(query, asset, similarity) columns with the k nearest of ``matrix`` for each row of ``block``, or more at ties."""
+    """(query, asset, similarity) columns with the k nearest of ``matrix`` for each row of ``block``, ties to the smaller id."""
     order = np.argsort(names, kind="stable")
     names, matrix = names[order], matrix[order]
     few = min(k, len(names))
@@ -63,6 +65,10 @@ def _nearest(ids: list, block: np.ndarray, names: np.ndarray, matrix: np.ndarray
         for d in range(matrix.shape[1]):
             exact += part_q[r, d] * matrix[c, d]
         exact = np.clip(exact, -1, 1).astype(np.float32)
+        best = np.lexsort((c, -exact, r))  # columns ascend by id
+        size = np.bincount(r, minlength=len(part_q))
+        best = best[np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size) < few]
+        r, c, exact = r[best], c[best], exact[best]
         yield [pa.array([ids[at + x] for x in r]), pa.array(names[c]), pa.array(exact)]
 
 
@@ -168,9 +174,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count("*").alias("times"), F.first("n_terms").alias("n_terms"))
 
 
-def literal_matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, asset_id) of texts that hold every term of the query as a whole word."""
-    found = _asked_postings(queries, texts)
+def literal_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, asset_id) of texts that hold every term of the query as a whole word, from their postings."""
+    asked = query_terms(queries)
+    found = _wanted(asked, index).join(asked, "term")
     hits = found.groupBy("query_id", "asset_id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
     return hits.where(F.col("n") == F.col("n_terms")).select("query_id", "asset_id")
 
@@ -201,7 +208,7 @@ def bm25_scores(queries: DataFrame, texts: DataFrame, searchable: DataFrame | No
     """(query_id, asset_id, score): BM25 of the matches, negative, smaller is better.
 
     The statistics cover all texts; only ``searchable`` (asset_id) may be found. The terms of
-    a hit are summed as they come, so scores agree to about fifteen digits between runs.
+    a hit are summed as they come, so scores are rounded to twelve digits, which all runs share.
     """
     return _bm25(_asked_postings(queries, texts), corpus_statistics(texts), searchable)
 
@@ -221,15 +228,11 @@ def _bm25(rows: DataFrame, statistics: DataFrame, searchable: DataFrame | None)
     length = 1 - B + B * F.col("n_tokens") / F.col("avg_tokens")
     part = F.col("times") * idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
     hits = rows.groupBy("query_id", "asset_id").agg(
-        F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), (-F.sum(part)).alias("score")
+        F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.round(-F.sum(part), SCORE_DIGITS).alias("score")
     )
     return hits.where(F.col("n") == F.col("n_terms")).select("query_id", "asset_id", "score")
 
 
-def bm25_top_k(queries: DataFrame, texts: DataFrame, k: int, searchable: DataFrame | None = None) -> DataFrame:
-    return top_k(bm25_scores(queries, texts, searchable), k, "score", ascending=True)
-
-
 def fuse(visual: DataFrame, words: DataFrame, limit: int = RESULTS) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, asset_id, rank, ...): score 1 / (60 + rank) summed.
 
@@ -247,17 +250,42 @@ def fuse(visual: DataFrame, words: DataFrame, limit: int = RESULTS) -> DataFrame
     return top_k(both.withColumn("fused", share("visual_rank") + share("text_rank")), limit, "fused")
 
 
-def search_text(queries: DataFrame, texts: DataFrame, searchable: DataFrame, limit: int) -> DataFrame:
-    """Text-only search: the caller's limit applies to the text channel; score 1 / (60 + rank)."""
-    hits = bm25_top_k(queries, texts, limit, searchable)
-    return hits.select("query_id", "asset_id", "rank", (1 / (FUSION + F.col("rank"))).alias("fused"))
+def search_text(
+    queries: DataFrame, index: DataFrame, statistics: DataFrame, searchable: DataFrame, assets: DataFrame, limit: int = RESULTS
+) -> DataFrame:
+    """Text-only search of a published index: (query_id, asset_id, rank, fused, the assets' metadata).
+
+    The caller's limit applies to the text channel; the score is 1 / (60 + rank). Queries
+    out of bounds find nothing.
+    """
+    hits = top_k(bm25_from_index(queries, index, statistics, searchable), limit, "score", ascending=True)
+    return hits.select("query_id", "asset_id", "rank", (1 / (FUSION + F.col("rank"))).alias("fused")).join(assets, "asset_id")
+
+
+def search_combined(
+    text_queries: DataFrame,
+    vector_queries: DataFrame,
+    vectors: DataFrame,
+    index: DataFrame,
+    statistics: DataFrame,
+    searchable: DataFrame,
+    limit: int = RESULTS,
+) -> DataFrame:
+    """Combined search: CANDIDATES of each channel, fused and cut; a channel may be missing.
+
+    ``vectors`` are those of complete stages of the current version, ``searchable`` the
+    assets whose recognised text is complete and current. A query out of the bounds of the
+    text channel still searches visually.
+    """
+    visual = semantic_top_k(vector_queries, vectors, CANDIDATES)
+    words = top_k(bm25_from_index(text_queries, index, statistics, searchable), CANDIDATES, "score", ascending=True)
+    return fuse(visual, words.withColumnRenamed("score", "bm25"), limit)
 
 
-def search_combined(queries: DataFrame, vectors: DataFrame, texts: DataFrame, searchable: DataFrame, limit: int = RESULTS) -> DataFrame:
-    """Combined search: CANDIDATES of each channel, fused and cut; a channel may be missing."""
-    visual = semantic_top_k(queries, vectors, CANDIDATES)
-    words = bm25_top_k(queries, texts, CANDIDATES, searchable).withColumnRenamed("score", "bm25")
-    return fuse(visual, words, limit)
+def with_records(matches: DataFrame, assets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Fused matches with the assets' metadata, and the recognised text of those that the text channel found."""
+    found = matches.where(F.col("text_rank").isNotNull()).select("query_id", "asset_id").join(texts.select("asset_id", "text"), "asset_id")
+    return matches.join(assets, "asset_id").join(found, ["query_id", "asset_id"], "left")
 
 
 def accessible(matches: DataFrame, indexed: DataFrame, visible: DataFrame, metadata: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from tidepool.operators import labels as L
 from tidepool.operators import lines as N
 from tidepool.operators import search as S
 from tidepool.plans.registry import query
-from tidepool.plans.search_queries import SIMILAR
+from tidepool.plans.search_queries import SIMILAR, VISUAL_TABLES, current_vectors
 from tidepool.plans.tables import Tables, with_tables
 
 CORPUS = "corpus AS (SELECT doc_id::VARCHAR AS image_id FROM documents)"
@@ -226,32 +226,35 @@ def label_template(t: Tables) -> DataFrame:
     return L.label_template(groups)
 
 
-POSITIVES = "positives AS (SELECT q.vec_id AS query_id, a.vec_id AS asset_id FROM embeddings q JOIN embeddings a ON q.label = a.label AND q.vec_id <> a.vec_id AND q.vec_id < 20)"
-ASKED = "asked AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 2 = 0 THEN 'ru' ELSE 'en' END AS language, vec_id % 9 = 8 AS failed FROM embeddings WHERE vec_id < 20)"
+POSITIVES = "positives AS (SELECT q.vec_id // 20 AS query_id, a.vec_id AS asset_id FROM embeddings q JOIN embeddings a ON q.label = a.label AND q.vec_id <> a.vec_id AND q.vec_id % 20 = 0)"
+#: Queries, and whether their case failed: null where there is no case, which counts as failed.
+ASKED = """asked AS (SELECT vec_id // 20 AS query_id, CASE WHEN vec_id % 40 = 0 THEN 'ru' ELSE 'en' END AS language,
+coalesce(CASE WHEN vec_id % 220 <> 200 THEN vec_id % 180 = 160 END, true) AS failed FROM embeddings WHERE vec_id % 20 = 0)"""
 FIRST = f"{SIMILAR}, {POSITIVES}, firsts AS (SELECT query_id, min(rank) AS first_rank FROM visual JOIN positives USING (query_id, asset_id) WHERE rank <= 10 GROUP BY query_id)"
 
 
 def positives(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    return t.embeddings.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("asset_id"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("_asked"), "label")
+    pairs = t.embeddings.join(q, "label").where("vec_id <> _asked")
+    return pairs.select(F.floor(F.col("_asked") / 20).alias("query_id"), F.col("vec_id").alias("asset_id"))
 
 
 def asked(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id < 20").select(
-        F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 2 == 0, "ru").otherwise("en").alias("language"), (F.col("vec_id") % 9 == 8).alias("failed")
-    )
+    v = F.col("vec_id")
+    language, failed = F.when(v % 40 == 0, "ru").otherwise("en"), F.when(v % 220 != 200, v % 180 == 160)
+    return t.embeddings.where("vec_id % 20 = 0").select(F.floor(v / 20).alias("query_id"), language.alias("language"), failed.alias("failed"))
 
 
-@query(with_tables("vectors", "vector_queries") + f", {FIRST} SELECT query_id, first_rank FROM firsts")
+@query(with_tables(*VISUAL_TABLES) + f", {FIRST} SELECT query_id, first_rank FROM firsts")
 def first_relevant_rank(t: Tables) -> DataFrame:
-    return E.first_relevant(S.semantic_top_k(t.vector_queries, t.vectors, 10), positives(t))
+    return E.first_relevant(S.semantic_top_k(t.vector_queries, current_vectors(t), 10), positives(t))
 
 
-@query(with_tables("vectors", "vector_queries") + f""", {FIRST}, {ASKED}, h AS (SELECT *, coalesce(first_rank <= 1, false) AND NOT failed AS h1, coalesce(first_rank <= 5, false) AND NOT failed AS h5,
+@query(with_tables(*VISUAL_TABLES) + f""", {FIRST}, {ASKED}, h AS (SELECT *, coalesce(first_rank <= 1, false) AND NOT failed AS h1, coalesce(first_rank <= 5, false) AND NOT failed AS h5,
 CASE WHEN NOT failed THEN coalesce(1.0::DOUBLE / first_rank, 0) ELSE 0 END AS rr FROM asked LEFT JOIN firsts USING (query_id))
 SELECT language, count(*) AS queries, count(*) FILTER (h1) AS hits_1, count(*) FILTER (h5) AS hits_5, avg(h1::INT) AS success_1, avg(h5::INT) AS success_5, round(avg(rr), 9) AS mrr_10, count(*) FILTER (failed) AS failed FROM h GROUP BY language""")
 def retrieval_scores(t: Tables) -> DataFrame:
-    ranked = S.semantic_top_k(t.vector_queries, t.vectors, 10)
+    ranked = S.semantic_top_k(t.vector_queries, current_vectors(t), 10)
     return E.retrieval_scores(asked(t), ranked, positives(t)).withColumn("mrr_10", F.round("mrr_10", 9))
 
 

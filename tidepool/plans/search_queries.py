@@ -13,17 +13,20 @@ from tidepool.plans.registry import query
 from tidepool.plans.tables import Tables, tokens_sql, with_tables
 
 UNIT = "list_transform({0}::DOUBLE[], lambda x: (x / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])))::FLOAT)::DOUBLE[]"
-SIMILAR = f"""pairs AS (
+PAIRS = f"""pairs AS (
   SELECT q.query_id, a.asset_id, greatest(-1, least(1, list_inner_product(q.v, a.v)))::FLOAT AS similarity
   FROM (SELECT query_id, model_id, {UNIT.format("embedding")} AS v FROM vector_queries) q
-  JOIN (SELECT asset_id, model_id, {UNIT.format("embedding")} AS v FROM vectors) a USING (model_id)),
+  JOIN (SELECT asset_id, model_id, {UNIT.format("embedding")} AS v FROM {{vectors}}) a USING (model_id))"""
+#: Only vectors of complete stages of the current version are searched.
+SIMILAR = f"""{PAIRS.format(vectors="current_vectors")},
 visual AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, asset_id) AS rank FROM pairs QUALIFY rank <= 100)"""
 BM25 = f"""indexed AS (SELECT asset_id, {tokens_sql("text")} AS t FROM texts),
 stats AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_tokens FROM indexed),
 rows AS (SELECT asset_id, len(t) AS n_tokens, unnest(t) AS term FROM indexed),
 posts AS (SELECT term, asset_id, count(*) AS tf, any_value(n_tokens) AS n_tokens FROM rows GROUP BY ALL),
 freq AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
-asked AS (SELECT query_id, unnest({tokens_sql("text")}) AS term FROM text_queries),
+asked AS (SELECT query_id, unnest({tokens_sql("text")}) AS term FROM text_queries
+  WHERE octet_length(encode(text)) <= 4096 AND len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}]*')) <= 32 AND trim(text) <> ''),
 wanted AS (SELECT query_id, term, count(*) AS times, count(*) OVER (PARTITION BY query_id) AS n_terms FROM asked GROUP BY query_id, term),
 scores AS (
   SELECT w.query_id, p.asset_id,
@@ -32,44 +35,49 @@ scores AS (
   GROUP BY w.query_id, p.asset_id, n_terms HAVING count(*) = n_terms)"""
 WORDS = f"""{BM25},
 found AS (SELECT s.* FROM scores s JOIN stages g ON s.asset_id = g.asset_id AND g.kind = 'ocr' AND g.version = 'ocr-1' AND g.status = 'complete'),
-words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), asset_id) AS rank FROM found QUALIFY rank <= 100)"""
+words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12), asset_id) AS rank FROM found QUALIFY rank <= 100)"""
 
 
-def ranked_words(t: Tables, k: int) -> DataFrame:
-    """Word matches by score rounded to nine digits, so that both engines break ties alike."""
-    return S.top_k(word_scores(t), k, "score", ascending=True)
+VISUAL_TABLES = ("vectors", "vector_queries", "stages", "current_vectors")
 
 
-def word_scores(t: Tables) -> DataFrame:
-    scores = S.bm25_scores(t.text_queries, t.texts, I.searchable(t.stages, "ocr", "ocr-1"))
-    return scores.withColumn("score", F.round("score", 9))
+def current_vectors(t: Tables) -> DataFrame:
+    """Vectors of complete embedding stages of the current version, from the index; the version prunes partitions."""
+    return t.index.vectors.where("version = 'clip-1'").select("asset_id", "model_id", "embedding")
 
 
-@query(with_tables("vectors", "vector_queries") + f", {SIMILAR} SELECT query_id, asset_id, similarity, rank FROM visual")
+def searchable_texts(t: Tables) -> DataFrame:
+    return I.searchable(t.index.stages, "ocr", "ocr-1")
+
+
+def word_scores(t: Tables, searchable: DataFrame | None = None) -> DataFrame:
+    return S.bm25_from_index(t.text_queries, t.index.postings, t.index.statistics, searchable)
+
+
+@query(with_tables(*VISUAL_TABLES) + f", {SIMILAR} SELECT query_id, asset_id, similarity, rank FROM visual")
 def semantic_topk(t: Tables) -> DataFrame:
-    return S.semantic_top_k(t.vector_queries, t.vectors)
+    return S.semantic_top_k(t.vector_queries, current_vectors(t))
 
 
-@query(with_tables("vectors", "vector_queries", "files") + f""", {SIMILAR}
+@query(with_tables(*VISUAL_TABLES, "files") + f""", {SIMILAR}
 SELECT query_id, asset_id, similarity, rank, relative_path FROM visual
 JOIN files ON relative_path = concat('docs/', lpad(asset_id::VARCHAR, 10, '0'), '.txt') WHERE rank <= 10""")
 def semantic_top10(t: Tables) -> DataFrame:
-    top = S.semantic_top_k(t.vector_queries, t.vectors, 10)
+    top = S.semantic_top_k(t.vector_queries, current_vectors(t), 10)
     path = F.concat(F.lit("docs/"), F.lpad(F.col("asset_id").cast("string"), 10, "0"), F.lit(".txt"))
     return top.withColumn("relative_path", path).join(t.files.select("relative_path"), "relative_path")
 
 
-@query(with_tables("vectors", "vector_queries") + ", old AS (SELECT * FROM vectors WHERE asset_id % 2 = 0), new AS (SELECT * FROM vectors WHERE asset_id % 2 = 1), "
-       + SIMILAR + " SELECT query_id, asset_id, similarity, rank FROM visual")
+@query(with_tables(*VISUAL_TABLES) + f", {SIMILAR} SELECT query_id, asset_id, similarity, rank FROM visual")
 def incremental_topk(t: Tables) -> DataFrame:
     """The best of the old page and of a new one, cut again, are the best of all."""
-    pages = [S.semantic_top_k(t.vector_queries, t.vectors.where(f"asset_id % 2 = {p}")).drop("rank") for p in (0, 1)]
+    pages = [S.semantic_top_k(t.vector_queries, current_vectors(t).where(f"asset_id % 2 = {p}")).drop("rank") for p in (0, 1)]
     return S.top_k(pages[0].unionByName(pages[1]), S.CANDIDATES, "similarity")
 
 
-@query(with_tables("vectors", "vector_queries") + " SELECT query_id, model_id FROM vector_queries WHERE model_id NOT IN (SELECT model_id FROM vectors)")
+@query(with_tables(*VISUAL_TABLES) + " SELECT query_id, model_id FROM vector_queries WHERE model_id NOT IN (SELECT model_id FROM current_vectors)")
 def incompatible_queries(t: Tables) -> DataFrame:
-    return S.compatible(t.vector_queries, t.vectors)[1].select("query_id", "model_id")
+    return S.compatible(t.vector_queries, current_vectors(t))[1].select("query_id", "model_id")
 
 
 @query(f"SELECT vec_id, {UNIT.format('embedding')}::FLOAT[] AS unit FROM embeddings")
@@ -77,14 +85,14 @@ def normalized_vectors(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", V.normalized(F.col("embedding")).alias("unit"))
 
 
-@query(with_tables("vectors", "vector_queries") + f", {SIMILAR} SELECT query_id, asset_id, similarity FROM pairs")
+@query(with_tables("vectors", "vector_queries") + f", {PAIRS.format(vectors='vectors')} SELECT query_id, asset_id, similarity FROM pairs")
 def cosine_pairs(t: Tables) -> DataFrame:
     return S.cosine_scores(t.vector_queries, t.vectors)
 
 
 @query(f"SELECT count(*) AS n_docs, avg(len({tokens_sql('text')})) AS avg_tokens FROM documents")
 def bm25_corpus_stats(t: Tables) -> DataFrame:
-    return S.corpus_statistics(t.texts)
+    return t.index.statistics
 
 
 @query(with_tables("texts") + f", r AS (SELECT asset_id, unnest({tokens_sql('text')}) AS term FROM texts) SELECT term, asset_id, count(*) AS tf FROM r GROUP BY ALL")
@@ -97,24 +105,32 @@ def document_frequencies(t: Tables) -> DataFrame:
     return S.document_frequencies(t.texts)
 
 
-@query(with_tables("texts", "text_queries") + f", {BM25} SELECT query_id, asset_id, round(score, 9) AS score FROM scores")
+@query(with_tables("texts", "text_queries") + f", {BM25} SELECT query_id, asset_id, round(score, 12) AS score FROM scores")
 def bm25_scores(t: Tables) -> DataFrame:
-    return S.bm25_scores(t.text_queries, t.texts).withColumn("score", F.round("score", 9))
+    return word_scores(t)
 
 
-@query(with_tables("texts", "text_queries", "stages") + f", {WORDS} SELECT query_id, asset_id, round(score, 9) AS score, rank FROM words")
+@query(with_tables("texts", "text_queries", "stages") + f", {WORDS} SELECT query_id, asset_id, round(score, 12) AS score, rank FROM words")
 def bm25_topk(t: Tables) -> DataFrame:
-    return ranked_words(t, S.CANDIDATES)
+    return S.top_k(word_scores(t, searchable_texts(t)), S.CANDIDATES, "score", ascending=True)
 
 
 @query(with_tables("texts", "text_queries") + f", {BM25} SELECT query_id, asset_id FROM scores")
 def literal_and_match(t: Tables) -> DataFrame:
-    return S.literal_matches(t.text_queries, t.texts)
+    return S.literal_matches(t.text_queries, t.index.postings)
+
+
+RECORD = ("width", "height", "creation_s", "modification_s")
+
+
+def records(t: Tables) -> DataFrame:
+    return t.index.assets.select("asset_id", *RECORD)
 
 
-@query(with_tables("texts", "text_queries", "stages") + f", {WORDS} SELECT query_id, asset_id, rank, 1.0::DOUBLE / (60 + rank) AS fused FROM words WHERE rank <= 20")
+@query(f"""{with_tables("texts", "text_queries", "stages", "assets")}, {WORDS}
+SELECT query_id, asset_id, rank, 1.0::DOUBLE / (60 + rank) AS fused, {", ".join(RECORD)} FROM words JOIN assets USING (asset_id) WHERE rank <= 20""")
 def search_text(t: Tables) -> DataFrame:
-    return ranked_words(t, 20).select("query_id", "asset_id", "rank", (1 / (S.FUSION + F.col("rank"))).alias("fused"))
+    return S.search_text(t.text_queries, t.index.postings, t.index.statistics, searchable_texts(t), records(t), limit=20)
 
 
 FUSED = f"""{SIMILAR}, {WORDS},
@@ -122,12 +138,13 @@ merged AS (SELECT coalesce(v.query_id, w.query_id) AS query_id, coalesce(v.asset
          coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + w.rank), 0) AS fused, v.rank AS visual_rank, w.rank AS text_rank
   FROM visual v FULL OUTER JOIN words w ON v.query_id = w.query_id AND v.asset_id = w.asset_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, asset_id) AS rank FROM merged QUALIFY rank <= 50)"""
-FUSED_TABLES = with_tables("vectors", "vector_queries", "texts", "text_queries", "stages")
+FUSED_TABLES = with_tables(*VISUAL_TABLES, "texts", "text_queries")
 
 
 def fused_results(t: Tables) -> DataFrame:
-    visual = S.semantic_top_k(t.vector_queries, t.vectors)
-    return S.fuse(visual, ranked_words(t, S.CANDIDATES))
+    return S.search_combined(
+        t.text_queries, t.vector_queries, current_vectors(t), t.index.postings, t.index.statistics, searchable_texts(t)
+    )
 
 
 @query(f"{FUSED_TABLES}, {FUSED} SELECT query_id, asset_id, visual_rank, text_rank, fused, rank FROM best")
@@ -135,12 +152,13 @@ def rrf_fuse(t: Tables) -> DataFrame:
     return fused_results(t).select("query_id", "asset_id", "visual_rank", "text_rank", "fused", "rank")
 
 
-@query(f"""{FUSED_TABLES}, {FUSED}, {{assets}}
-SELECT query_id, asset_id, similarity, fused, rank, width, height FROM best JOIN assets USING (asset_id)""".replace("{assets}", with_tables("assets")[5:]))
+@query(f"""{FUSED_TABLES}, {FUSED}, {with_tables("assets")[5:]}
+SELECT query_id, b.asset_id, similarity, fused, rank, {", ".join(RECORD)}, CASE WHEN text_rank IS NOT NULL THEN text END AS text
+FROM best b JOIN assets a ON b.asset_id = a.asset_id JOIN texts x ON b.asset_id = x.asset_id""")
 def search_combined(t: Tables) -> DataFrame:
-    """The flagship: both channels for a table of queries, fused, with the assets' metadata."""
-    metadata = t.assets.select("asset_id", "width", "height")
-    return fused_results(t).join(metadata, "asset_id").select("query_id", "asset_id", "similarity", "fused", "rank", "width", "height")
+    """The flagship: both channels for a table of queries, fused, with the assets' records and recognised texts."""
+    found = S.with_records(fused_results(t), records(t), t.index.texts)
+    return found.select("query_id", "asset_id", "similarity", "fused", "rank", *RECORD, "text")
 
 
 @query(f"""{FUSED_TABLES}, {FUSED}, {with_tables("assets", "snapshot")[5:]}
@@ -151,19 +169,20 @@ def access_filtered_results(t: Tables) -> DataFrame:
     return S.accessible(fused_results(t), t.visible, t.snapshot, same).select("query_id", "asset_id", "rank")
 
 
-@query(with_tables("vectors", "vector_queries") + f""", {SIMILAR},
+@query(with_tables(*VISUAL_TABLES) + f""", {SIMILAR},
 firsts AS (SELECT query_id, asset_id // 3 AS asset_id, min(rank) AS r FROM visual GROUP BY ALL)
 SELECT query_id, asset_id, 1.0::DOUBLE / (60 + r) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY r, asset_id) AS rank FROM firsts QUALIFY rank <= 50""")
 def rrf_duplicates(t: Tables) -> DataFrame:
     """Assets that occur several times in a channel count once, at the first rank; ranks aren't closed up."""
-    top = S.semantic_top_k(t.vector_queries, t.vectors).withColumn("asset_id", F.floor(F.col("asset_id") / 3).cast("long"))
+    top = S.semantic_top_k(t.vector_queries, current_vectors(t)).withColumn("asset_id", F.floor(F.col("asset_id") / 3).cast("long"))
     none = top.limit(0).select("query_id", "asset_id", "rank")
     return S.fuse(top.select("query_id", "asset_id", "rank"), none).select("query_id", "asset_id", "fused", "rank")
 
 
 @query()
 def search_snippets(t: Tables) -> DataFrame:
-    return S.snippets(ranked_words(t, 20), t.texts, t.text_queries)
+    found = S.search_text(t.text_queries, t.index.postings, t.index.statistics, searchable_texts(t), records(t), limit=20)
+    return S.snippets(found, t.index.texts, t.text_queries)
 
 
 @query(with_tables("texts") + f", r AS (SELECT asset_id, {tokens_sql('text')} AS t FROM texts) SELECT asset_id, len(t) AS n, array_to_string(t, ' ') AS folded FROM r")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.functions.text import _latin_fold
+from tidepool.sources.shared import shared_folder
+from tidepool.sources.tables import Index, publish_index, read_index
 
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -41,11 +44,21 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "texts": (("documents",), "SELECT doc_id AS asset_id, text FROM {documents}"),
     "vectors": (("embeddings",), "SELECT vec_id AS asset_id, CASE WHEN vec_id % 50 = 49 THEN 'old' ELSE 'clip' END AS model_id, embedding FROM {embeddings}"),
-    "vector_queries": (("embeddings",), "SELECT vec_id AS query_id, CASE WHEN vec_id = 7 THEN 'other' ELSE 'clip' END AS model_id, embedding FROM {embeddings} WHERE vec_id < 20"),
+    "current_vectors": (
+        ("vectors", "stages"),
+        """SELECT v.asset_id, v.model_id, v.embedding FROM {vectors} v JOIN {stages} g ON v.asset_id = g.asset_id
+           WHERE g.kind = 'embedding' AND g.version = 'clip-1' AND g.status = 'complete'""",
+    ),
+    "vector_queries": (
+        ("embeddings",),
+        """SELECT cast(vec_id / 20 AS bigint) AS query_id, CASE WHEN vec_id = 140 THEN 'other' ELSE 'clip' END AS model_id, embedding
+           FROM {embeddings} WHERE vec_id % 20 = 0""",
+    ),
+    # Whole items, many of which are too long for a query, and each of their sentences.
     "text_queries": (
         ("benchmark",),
-        """SELECT item_id AS query_id, array_join(slice(split(text, ' '), 1, 2), ' ') AS text FROM {benchmark}
-           UNION ALL SELECT item_id + 100000, array_join(slice(split(text, ' '), 2, 1), ' ') FROM {benchmark}""",
+        r"""SELECT item_id AS query_id, text FROM {benchmark}
+           UNION ALL SELECT 1000000 + 1000 * item_id + place, sentence FROM {benchmark} LATERAL VIEW posexplode(split(text, '[.\\n]')) s AS place, sentence""",
     ),
     "files": (
         ("documents",),
@@ -70,6 +83,10 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Folders of the indexes that this process has published, by session and state of the given tables.
+_PUBLISHED: dict[tuple, str] = {}
+
+
 class Tables:
     """Given tables of a folder, and the derived ones, as attributes."""
 
@@ -90,14 +107,30 @@ class Tables:
                 raise AttributeError(name)
         return self._known[name]
 
+    @cached_property
+    def index(self) -> Index:
+        """The index of this folder, published once in the session to the shared folder and searched from there."""
+        marks = []
+        for name in ("documents", "embeddings"):
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            marks += [fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()]
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, *marks)
+        if key not in _PUBLISHED:
+            root = f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"
+            publish_index(self.assets, self.stages, self.texts, self.vectors, root)
+            _PUBLISHED[key] = root
+        return read_index(self.spark, _PUBLISHED[key])
+
     @cached_property
     def visible(self) -> DataFrame:
         return self.assets.where("NOT hidden")
 
 
 _DUCK = {
-    "text_queries": """SELECT item_id AS query_id, array_to_string((string_split(text, ' '))[1:2], ' ') AS text FROM benchmark
-                       UNION ALL SELECT item_id + 100000, array_to_string((string_split(text, ' '))[2:2], ' ') FROM benchmark""",
+    "text_queries": r"""SELECT item_id AS query_id, text FROM benchmark
+                        UNION ALL SELECT 1000000 + 1000 * item_id + generate_subscripts(s, 1) - 1, unnest(s)
+                        FROM (SELECT item_id, string_split_regex(text, '[.\n]') AS s FROM benchmark)""",
     "files": "SELECT concat('docs/', lpad(doc_id::VARCHAR, 10, '0'), '.txt') AS relative_path, sha256(text) AS sha256, n_chars AS bytes, source FROM documents",
 }
 

@@ -2,57 +2,91 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidepool.operators.labels import fingerprint
-from tidepool.operators.search import corpus_statistics, postings
+from tidepool.operators.search import postings
+
+POINTER = "number long, version string, columns string"
 
 
 def publish(df: DataFrame, root: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet") -> str:
     """Writes a new version of a table and then points to it; readers see the old or the new one.
 
     The pointer is a one-row table whose name sorts by version, so nothing that is read is
-    ever overwritten, and a writer that dies leaves no trace in what readers see.
+    ever overwritten, and a writer that dies leaves no trace in what readers see. A table
+    has one writer at a time: of two that publish at once, readers see one.
     """
     spark = df.sparkSession
     version = f"{_latest(spark, root)[0] + 1:08d}-{uuid.uuid4().hex[:8]}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.format(fmt).option("header", True).save(f"{root}/{version}")
-    pointer = spark.createDataFrame([(int(version[:8]), version)], "number long, version string")
+    pointer = spark.createDataFrame([(int(version[:8]), version, df.schema.json())], POINTER)
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/_current_versions")
     return f"{root}/{version}"
 
 
-def _latest(spark: SparkSession, root: str) -> tuple[int, str | None]:
+def _latest(spark: SparkSession, root: str) -> tuple[int, str | None, str | None]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_current_versions")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return 0, None
-    row = spark.read.schema("number long, version string").parquet(str(path)).orderBy(F.desc("number"), F.desc("version")).first()
-    return (row["number"], row["version"]) if row else (0, None)
+        return 0, None, None
+    row = spark.read.schema(POINTER).parquet(str(path)).orderBy(F.desc("number"), F.desc("version")).first()
+    return tuple(row) if row else (0, None, None)
 
 
 def current(spark: SparkSession, root: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """The latest published version of a table."""
-    version = _latest(spark, root)[1]
+    """The latest published version of a table, with the columns it was written with (so an empty one has them too)."""
+    _, version, kinds = _latest(spark, root)
     if version is None:
         raise FileNotFoundError(f"nothing is published in {root}")
     reader = spark.read.format(fmt).option("header", True)
-    return (reader.schema(schema) if schema else reader).load(f"{root}/{version}")
+    return reader.schema(schema or StructType.fromJson(json.loads(kinds))).load(f"{root}/{version}")
+
+
+@dataclass(frozen=True)
+class Index:
+    """The derived index: assets, stages, texts, vectors of complete stages, postings and their one-row statistics."""
+
+    assets: DataFrame
+    stages: DataFrame
+    texts: DataFrame
+    vectors: DataFrame
+    postings: DataFrame
+    statistics: DataFrame
 
 
-def publish_index(assets: DataFrame, stages: DataFrame, texts: DataFrame, root: str) -> None:
-    """The derived index: assets, stages by kind and version, texts, their postings and statistics.
+def publish_index(assets: DataFrame, stages: DataFrame, texts: DataFrame, vectors: DataFrame, root: str) -> Index:
+    """Publishes the derived index and reads it back.
 
-    Postings are sorted by term within files, so a search reads the row groups of its terms.
+    Stages lie by kind and version, vectors by the version of their stage, so a search reads
+    the current ones only. Texts are tokenized once: postings are written as their grouping
+    leaves them, spread by term and asset, so a term that every text has is many files'
+    share, and sorted by term within a file, so a search reads the row groups of its terms.
+    The statistics come from the postings.
     """
+    spark = assets.sparkSession
     publish(assets, f"{root}/assets")
     publish(stages, f"{root}/stages", ("kind", "version"))
     publish(texts, f"{root}/texts")
-    publish(postings(texts).repartition("term").sortWithinPartitions("term", "asset_id"), f"{root}/postings")
-    publish(corpus_statistics(texts), f"{root}/statistics")
+    done = stages.where((F.col("kind") == "embedding") & (F.col("status") == "complete")).select("asset_id", "version")
+    publish(vectors.join(done, "asset_id"), f"{root}/vectors", ("version",))
+    publish(postings(texts).sortWithinPartitions("term", "asset_id"), f"{root}/postings")
+    tokens = current(spark, f"{root}/postings").agg(F.sum("tf").alias("tokens"))
+    counted = current(spark, f"{root}/texts").agg(F.count("*").alias("n_docs")).crossJoin(tokens)  # one row each
+    mean = F.when(F.col("n_docs") > 0, F.coalesce("tokens", F.lit(0)) / F.col("n_docs"))
+    publish(counted.select("n_docs", mean.alias("avg_tokens")), f"{root}/statistics")
+    return read_index(spark, root)
+
+
+def read_index(spark: SparkSession, root: str) -> Index:
+    """The latest published version of each table of an index."""
+    return Index(*(current(spark, f"{root}/{f.name}") for f in fields(Index)))
 
 
 def export_splits(labels: DataFrame, root: str, key: str = "query_id") -> DataFrame:
