@@ -99,6 +99,36 @@ def test_replay_holds_no_whole_log(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_results_are_stale_by_the_attempt_in_force_when_they_arrive(spark):
+    base = 1_700_000_000
+    events = [("begin", None), ("complete", 1), ("begin", None), ("complete", 1), ("complete", 2), ("begin", None), ("fail", 2), ("cancel", 3), ("complete", None)]
+    rows = [(1, base + 1801 * i, i, e, a) for i, (e, a) in enumerate(events)] + [(None, base, 50, "complete", 0), (2, base, 60, "complete", 1)]
+    log = spark.createDataFrame(rows, "key long, ts long, seq long, event string, attempt int").withColumn("ts", F.timestamp_seconds("ts")).repartition(3)
+    # An attempt that was in force on arrival stays valid, though later ones follow.
+    assert {r.seq for r in M.stale(log).collect()} == {3, 6, 8, 60}
+    assert M.stale(log.limit(0)).collect() == []
+
+
+def test_the_first_answer_of_a_request_wins(spark):
+    rows = [(1, 5, 2, "late"), (1, 5, 1, "first"), (1, 9, 0, "later"), (2, 1, 1, None), (2, 1, 2, "second"), (None, 1, 1, "x")]
+    df = spark.createDataFrame(rows, "request long, ts long, seq long, answer string").repartition(3)
+    got = {r.request: r.answer for r in M.first_answers(df, ["request"], ["ts", "seq"]).collect()}
+    assert got == {1: "first", 2: None, None: "x"}
+
+
+def test_unanswered_requests_are_those_of_a_sorted_log(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(4), 1_700_000_000 + rng.randrange(4000) + rng.choice([0.0, 0.25, 0.5]), i, rng.random() < 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "key long, at double, seq long, ask boolean").withColumn("ts", F.col("at").cast("timestamp"))
+    want = set()
+    for k in range(4):
+        log = sorted(r[1:] for r in rows if r[0] == k)
+        want |= {seq for (at, seq, ask), after in zip(log, [*log[1:], None], strict=True) if ask and (after is None or after[0] - at > 30)}
+    assert {r.seq for r in M.unanswered(df, F.col("ask")).collect()} == want and want
+
+
 def test_counts_and_distinct_answers_of_a_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", F.col("event_type").alias("status"), "user_id")
     events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))

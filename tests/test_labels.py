@@ -56,7 +56,7 @@ def test_samples_and_fingerprints_ignore_the_order(spark):
     mixed = df.orderBy(F.rand(3)).repartition(9)
     ids = lambda d: sorted(r.id for r in L.seeded_sample(d, "id", 20, "s").collect())
     assert ids(df) == ids(mixed) and len(set(ids(df))) == 20
-    mark = lambda d: L.fingerprint(d, "id").first()[0]
+    mark = lambda d: L.fingerprint(d).first()[0]
     assert mark(df) == mark(mixed) != mark(df.withColumn("v", F.when(F.col("id") == 3, None).otherwise(F.col("v"))))
 
 
@@ -68,10 +68,11 @@ def test_differences_of_inventories(spark):
 
 
 def test_image_files_by_content(spark, tmp_path):
+    folder = tmp_path / "a+b (c) it's"  # nothing of a folder's name is a pattern
     for name, body in (("a.JPG", b"x"), ("sub/b.png", b"x"), ("sub/c.heic", b"y"), ("note.txt", b"x")):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(body)
-    rows = L.inventory(R.read_image_files(spark, str(tmp_path))).collect()
+        (folder / name).parent.mkdir(exist_ok=True, parents=True)
+        (folder / name).write_bytes(body)
+    rows = L.inventory(R.read_image_files(spark, str(folder))).collect()
     assert {(r.relative_path, r.copies) for r in rows} == {("a.JPG", 2), ("sub/c.heic", 1)}
 
 
@@ -91,6 +92,10 @@ def test_manifests_and_annotations(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(manifest, indent=1))
     images, queries = R.read_manifest(spark, str(tmp_path / "m.json"))
     assert images.first().path == "p" and queries.first().expected == ["i"]
+    for body in ('{"version": 1, "version": 2, "images": []}', '{"version": 1, "images": [{"id": "i", "id": "j"}]}', '{"version": 1'):
+        (tmp_path / "bad.json").write_text(body)
+        with pytest.raises(Exception):  # noqa: B017 - Spark wraps the error
+            R.read_manifest(spark, str(tmp_path / "bad.json"))[0].collect()
     coco = {"licenses": [{"id": 1, "name": "BY", "url": "http://x/licenses/by/2.0/"}, {"id": 2, "name": "NC", "url": "http://x/licenses/nc/"}], "images": [{"id": 5, "file_name": "f", "license": 1}, {"id": 6, "file_name": "g", "license": 2}, {"id": 7, "file_name": "h", "license": 1}], "annotations": [{"image_id": 5, "caption": "one"}, {"image_id": 5, "caption": "another"}]}
     (tmp_path / "c.json").write_text(json.dumps(coco))
     licenses, images, captions = R.read_captions(spark, str(tmp_path / "c.json"))
@@ -108,6 +113,42 @@ def test_split_export_and_report(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).first().run.model == "m"
 
 
+def test_questions_are_the_first_of_their_image_and_a_seeded_sample(spark):
+    questions = [(f"q{i:02}", f"img{i // 3}") for i in range(60)]
+    given = [(q, " Red Bus " if n < 8 + (i % 3 > 0) else "other", n) for i, (q, _) in enumerate(questions) for n in range(10) if not (i % 3 == 0 and i % 2 and n < 4)]
+    q = spark.createDataFrame(questions, "question_id string, image_id string")
+    a = spark.createDataFrame(given, "question_id string, answer string, place int").repartition(3)
+    rows = L.sampled_questions(q, a, 7, "s").collect()
+    assert rows == L.sampled_questions(q.orderBy(F.desc("question_id")), a, 7, "s").collect() and len({r.image_id for r in rows}) == 7
+    every = {r.image_id: r.question_id for r in L.sampled_questions(q, a, 100, "s").collect()}
+    # Odd images' first question lacks the votes, so their second one stands for them.
+    assert every == {f"img{k}": f"q{3 * k + k % 2:02}" for k in range(20)} and all(r.answer == "red bus" for r in rows)
+
+
+def test_missing_and_failed_cases_stay_in_the_denominator(spark):
+    queries = [("r1", "ru", False), ("r2", "ru", None), ("e1", "en", False), ("e2", "en", True)]
+    ranked = [(q, "x", 1) for q, *_ in queries]
+    rows = E.retrieval_scores(
+        spark.createDataFrame(queries, "query_id string, language string, failed boolean"),
+        spark.createDataFrame(ranked, "query_id string, asset_id string, rank int"),
+        spark.createDataFrame([(q, "x") for q, *_ in queries], "query_id string, asset_id string"),
+    ).collect()
+    assert {r.language: (r.queries, r.hits_1, r.success_1, r.mrr_10, r.failed) for r in rows} == {"ru": (2, 1, 0.5, 0.5, 1), "en": (2, 1, 0.5, 0.5, 1)}
+
+
+def test_drift_in_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(E, "MEET", 7)
+    rng = np.random.default_rng(2)
+    v, w = rng.normal(size=(2, 40, 5))
+    rows = spark.createDataFrame([(i, v[i].tolist(), w[i].tolist()) for i in range(40)] + [(90, None, None), (91, [1.0], [1.0])], "id long, v array<double>, w array<double>")
+    want = np.abs(v @ v[:9].T - w @ w[:9].T).max(0)
+    got = {r.text_id: r.drift for r in E.similarity_drift(rows, rows.where("id < 9")).collect()}
+    assert got == pytest.approx(dict(enumerate(want.tolist())))
+    assert E.similarity_drift(rows, rows.limit(0)).collect() == []
+
+
 def test_scores(spark):
     queries = spark.createDataFrame([("r1", "ru", False), ("r2", "ru", False), ("e1", "en", False), ("e2", "en", True)], "query_id string, language string, failed boolean")
     ranked = spark.createDataFrame([("r1", "a", 1), ("r2", "x", 1), ("r2", "b", 2), ("e1", "c", 1), ("e2", "d", 1)] + [("e1", "z", i) for i in range(2, 5)], "query_id string, asset_id string, rank int")

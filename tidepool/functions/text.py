@@ -109,6 +109,15 @@ _ENTITY = re.compile(r"&#?[0-9A-Za-z]{1,24};")
 _ESCAPE = re.compile(r"\x1b\[[\d;]*[a-zA-Z]")
 
 
+def decoded(match: re.Match) -> str:
+    """The character of an entity; an upper-case name that stands for none takes the lower-case one's, in upper case."""
+    found = html.unescape(match[0])
+    if found == match[0] and match[0] == match[0].upper():
+        low = html.unescape(match[0].lower())
+        found = low.upper() if low != match[0].lower() else found
+    return found
+
+
 def clean_description(text: str | None) -> str | None:
     """A description as its encoder wants it: entities, quotes, widths, controls, blanks, lower case."""
     if text is None:
@@ -116,8 +125,8 @@ def clean_description(text: str | None) -> str | None:
     table, out, decode = _controls(), [], True
     for line in text.split("\n"):
         decode = decode and "<" not in line  # markup from here on: entities are meant literally
-        for _ in range(50):
-            fixed = _ENTITY.sub(lambda m: html.unescape(m[0]), line) if decode else line
+        while True:  # each round shortens the line or leaves it in a normal form
+            fixed = _ENTITY.sub(decoded, line) if decode else line
             fixed = unicodedata.normalize("NFC", _ESCAPE.sub("", fixed).translate(table))
             if fixed == line:
                 break

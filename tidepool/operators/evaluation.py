@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,15 +73,38 @@ def vector_parity(actual: DataFrame, reference: DataFrame, least_cosine: float =
     return rows.withColumn("passed", F.col("cosine") >= least_cosine)
 
 
+#: Images, and texts, that meet in one piece of work.
+MEET = 4096
+
+
 def similarity_drift(images: DataFrame, texts: DataFrame) -> DataFrame:
-    """(text_id, drift): largest change of any image-text cosine between two model versions.
+    """(text_id, drift): largest change of any image-text inner product between two model versions.
 
-    Both tables have (id, v, w), the vectors of the two versions; texts are the short side,
-    and Spark decides how to send them.
+    Both tables have (id, v, w), the vectors of the two versions. Blocks of images meet
+    blocks of texts in matrix products, and a block gives one row a text, never pairs.
+    Vectors of other lengths than the image's meet nothing.
     """
-    pairs = images.select(F.col("v").alias("iv"), F.col("w").alias("iw")).crossJoin(texts.select(F.col("id").alias("text_id"), "v", "w"))
-    change = F.abs(V.dot(F.col("iv"), F.col("v")) - V.dot(F.col("iw"), F.col("w")))
-    return pairs.groupBy("text_id").agg(F.max(change).alias("drift"))
+    shaped = lambda x: x.select("id", V.doubles(F.col("v")).alias("v"), V.doubles(F.col("w")).alias("w"), F.size("v").alias("dim")).where(F.size("v") == F.size("w"))
+    i, t = shaped(images), shaped(texts)
+    blocks = lambda x, n: x.groupBy("dim").agg(F.ceil(F.count("*") / MEET).cast("int").alias(n))
+    shape = F.broadcast(blocks(i, "ib").join(blocks(t, "tb"), "dim"))  # a row for each length
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dim = F.col("dim").alias("_dim")
+    left = i.join(shape, "dim").select(dim, own("ib").alias("i"), each("tb").alias("j"), "v", "w")
+    right = t.join(shape, "dim").select(dim, each("ib").alias("i"), own("tb").alias("j"), "id", "v", "w")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = lambda x, c: x.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"text_id": b.column("id").slice(0, 0), "drift": pa.array([], pa.float64())})
+        change = np.abs(rows(b, "v") @ rows(a, "v").T - rows(b, "w") @ rows(a, "w").T)
+        return pa.table({"text_id": b.column("id"), "drift": change.max(1)})
+
+    key = ["_dim", "i", "j"]
+    kind = texts.schema["id"].dataType.simpleString()
+    met = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(meet, f"text_id {kind}, drift double")
+    return met.groupBy("text_id").agg(F.max("drift").alias("drift"))
 
 
 def latency_summary(calls: DataFrame) -> DataFrame:

@@ -146,6 +146,13 @@ def consensus(answers: DataFrame, least_votes: int = 8) -> DataFrame:
     )
 
 
+def sampled_questions(questions: DataFrame, answers: DataFrame, n: int, seed: str, least_votes: int = 8) -> DataFrame:
+    """(image_id, question_id, answer, votes): of each image the question (question_id, image_id) with the lowest id
+    that has a consensus answer, and of these images a seeded sample of ``n``."""
+    agreed = questions.join(consensus(answers, least_votes), "question_id")
+    return seeded_sample(first_per_key(agreed, "image_id", "question_id"), "image_id", n, seed)
+
+
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The row with the lowest order value of each key."""
     rest = [c for c in rows.columns if c != key]
@@ -164,18 +171,18 @@ def with_captions(images: DataFrame, captions: DataFrame) -> DataFrame:
     return images.join(lists, "image_id", "left").withColumn("captions", F.coalesce("captions", F.array().cast("array<string>")))
 
 
-def fingerprint(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+def fingerprint(rows: DataFrame) -> DataFrame:
     """One row, fingerprint: the same for the same rows in any order and partitioning.
 
-    Rows hash by themselves, sorted hashes of a bucket make its digest, the buckets' digests
-    the table's, so no task holds the hashes of all rows.
+    Each row is hashed as compact JSON of its columns in name order; the digest's four
+    quarters, of fifteen hex digits each, are summed over all rows, and the row count and
+    sums are hashed. Sums are pre-aggregated, so no task holds more than one row's hash.
     """
     digest = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
-    hashed = rows.select(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets)).alias("bucket"), digest.alias("h"))
-    joined = F.array_join(F.array_sort(F.collect_list("h")), "")
-    each = hashed.groupBy("bucket").agg(F.sha2(joined, 256).alias("h"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "")
-    return each.agg(F.sha2(whole, 256).alias("fingerprint"))
+    quarter = lambda i: F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(quarter(i)), F.lit(0)).cast("string") for i in range(4)]
+    whole = F.concat_ws(":", F.count("*").cast("string"), *sums)
+    return rows.select(digest.alias("h")).agg(F.sha2(whole, 256).alias("fingerprint"))
 
 
 def label_template(groups: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: States in which an event is accepted, and the state after it. Ticket events need the current attempt.
@@ -121,6 +121,52 @@ def stage_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("key").transformWithStateInPandas(Machine(), OUTPUT, "Update", "None")
 
 
+def attempts_in_force(events: DataFrame, begins: Column, span: str = "1 hour") -> DataFrame:
+    """``events`` (key, ts, seq, ...) with ``in_force``: how many begins of the key came up to each event.
+
+    Counts run over spans of time first and then within a span, so that a key with a third
+    of all events is many small windows. Events of one time go by seq.
+    """
+    rows = events.withColumn("_span", F.date_trunc(span.split()[1], F.col("ts").cast("timestamp"))).withColumn("_begin", begins.cast("long"))
+    spans = rows.groupBy("key", "_span").agg(F.sum("_begin").alias("_begins"))
+    before = Window.partitionBy("key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("key", "_span", F.coalesce(F.sum("_begins").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("key", "_span").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("_upto", F.sum("_begin").over(within)).join(spans, ["key", "_span"])
+    return counted.withColumn("in_force", (F.col("_before") + F.col("_upto")).cast("int")).drop("_span", "_begin", "_upto", "_before")
+
+
+def stale(log: DataFrame) -> DataFrame:
+    """Results of a log (key, ts, seq, event, attempt) whose attempt is not the one in force when they arrive."""
+    counted = attempts_in_force(log, F.col("event") == "begin")
+    return counted.where(F.col("event").isin(*TICKETS) & ~F.col("attempt").eqNullSafe(F.col("in_force"))).select("key", "seq", "attempt")
+
+
+def first_answers(answers: DataFrame, request: list[str], order: list[str]) -> DataFrame:
+    """The first answer of each request, with its payload; a later one doesn't count, whatever it says."""
+    rest = [c for c in answers.columns if c not in request]
+    first = answers.groupBy(*request).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    return first.select(*request, "r.*")
+
+
+def unanswered(events: DataFrame, asks: Column, seconds: int = 30) -> DataFrame:
+    """Requests among events (key, ts, seq) that no later event of the key follows within ``seconds``.
+
+    Time is cut in slots of ``seconds``: a request is answered by the last event of its own
+    slot or by the first of the next, so a key's events are pre-aggregated by slot and never
+    sorted as a whole.
+    """
+    at = F.col("ts").cast("timestamp").cast("double")
+    rows = events.withColumn("_at", at).withColumn("_slot", F.floor(at / seconds))
+    slots = rows.groupBy("key", "_slot").agg(F.max(F.struct("_at", "seq")).alias("_last"), F.min("_at").alias("_first"))
+    own = slots.select("key", "_slot", "_last")
+    after = slots.select("key", (F.col("_slot") - 1).alias("_slot"), F.col("_first").alias("_next"))
+    asked = rows.where(asks).join(own, ["key", "_slot"]).join(after, ["key", "_slot"], "left")
+    same = F.struct("_at", "seq") < F.col("_last")
+    soon = F.coalesce(F.col("_next") - F.col("_at") <= seconds, F.lit(False))
+    return asked.where(~same & ~soon).drop("_at", "_slot", "_last", "_next")
+
+
 def running_summary(changes: DataFrame) -> DataFrame:
     """(status, n) from state changes (before, after): each adds one and takes one."""
     both = changes.select(F.explode(F.array(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import vectors as V
@@ -169,21 +169,21 @@ def latest_stage_state(t: Tables) -> DataFrame:
     return I.latest_by(t.events.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) = ts AS whole_hour FROM events")
+@query("""SELECT user_id, event_type, epoch(date_trunc('hour', ts))::BIGINT AS hour_s, arg_min(value, (ts, event_id)) AS value, arg_min(event_id, (ts, event_id)) AS event_id
+FROM events GROUP BY ALL""")
 def deduplicated_results(t: Tables) -> DataFrame:
-    """Answers by request; a second answer for one request doesn't count."""
-    answers = t.events.select("user_id", "event_type", (F.date_trunc("hour", F.col("ts").cast("timestamp")) == F.col("ts").cast("timestamp")).alias("whole_hour"))
-    return answers.dropDuplicates(["user_id", "event_type", "whole_hour"])
+    """Answers by request (user, kind, hour): the first one's payload; a second answer for one request doesn't count."""
+    hour = F.unix_timestamp(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("hour_s")
+    answers = t.events.select("user_id", "event_type", hour, "ts", "event_id", "value")
+    return M.first_answers(answers, ["user_id", "event_type", "hour_s"], ["ts", "event_id"]).drop("ts")
 
 
 @query("""WITH n AS (SELECT event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, ts FROM events)
 SELECT event_id FROM n WHERE event_type = 'click' AND (after IS NULL OR epoch(after) - epoch(ts) > 30)""")
 def timed_out_requests(t: Tables) -> DataFrame:
     """Requests without an answer within thirty seconds."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("after", F.lead("ts").over(order))
-    late = F.col("after").isNull() | (F.col("after").cast("double") - F.col("ts").cast("double") > 30)
-    return rows.where((F.col("event_type") == "click") & late).select("event_id")
+    rows = t.events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), "event_type")
+    return M.unanswered(rows, F.col("event_type") == "click").select(F.col("seq").alias("event_id"))
 
 
 @query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -231,13 +231,11 @@ def stage_state_machine(t: Tables) -> DataFrame:
     return M.replay_log(t.log)
 
 
-@query(with_tables("log") + """, n AS (SELECT *, sum(CASE WHEN event = 'begin' THEN 1 ELSE 0 END) OVER (PARTITION BY "key") AS last FROM log)
-SELECT "key", seq, attempt FROM n WHERE event IN ('complete', 'fail') AND attempt <> last""")
+@query(with_tables("begun", "log") + """, n AS (SELECT *, sum(CASE WHEN event = 'begin' THEN 1 ELSE 0 END) OVER (PARTITION BY "key" ORDER BY ts, seq) AS in_force FROM log)
+SELECT "key", seq, attempt FROM n WHERE event IN ('complete', 'fail') AND attempt <> in_force""")
 def stale_events(t: Tables) -> DataFrame:
-    """Results of an attempt that a later one of the same stage has replaced."""
-    last = t.log.groupBy("key").agg(F.count_if(F.col("event") == "begin").alias("last"))
-    rows = t.log.join(last, "key")
-    return rows.where(F.col("event").isin("complete", "fail") & (F.col("attempt") != F.col("last"))).select("key", "seq", "attempt")
+    """Results of an attempt that a later one of the same stage had replaced when they arrived."""
+    return M.stale(t.log)
 
 
 @query(with_tables("stages") + """, c AS (SELECT status, CASE WHEN status = 'processing' THEN 'pending' ELSE status END AS later FROM stages)

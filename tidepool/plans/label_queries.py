@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tidepool.operators import search as S
 from tidepool.plans.registry import query
 from tidepool.plans.search_queries import SIMILAR, VISUAL_TABLES, current_vectors
 from tidepool.plans.tables import Tables, with_tables
+from tidepool.sources.shared import shared_folder
+from tidepool.sources.tables import export_splits
 
 CORPUS = "corpus AS (SELECT doc_id::VARCHAR AS image_id FROM documents)"
 LABELS = with_tables("evaluation_labels") + f", {CORPUS}"
@@ -79,10 +83,24 @@ def manifest_flatten(t: Tables) -> DataFrame:
     return flatten_manifests(manifests(t.files), "json").select("source", F.col("image.id").alias("image_id"), F.col("image.path").alias("relative_path"), F.col("image.hash").alias("sha256"))
 
 
-@query("SELECT quality, toxic, CASE WHEN doc_id % 10 < 7 THEN 'development' ELSE 'holdout' END AS split, count(*) AS n FROM labels GROUP BY ALL")
+DIGEST = """digests AS (SELECT sha256(to_json({row})) AS h FROM {table}),
+quarters AS (SELECT count(*) AS n, {sums} FROM digests),
+print AS (SELECT sha256(concat_ws(':', n::VARCHAR, {names})) AS fingerprint FROM quarters)"""
+
+
+def fingerprint_sql(table: str, columns: list[str]) -> str:
+    """``print``, the fingerprint of a table in one row."""
+    row = "{" + ", ".join(f"'{c}': {c}" for c in sorted(columns)) + "}"
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 16 * i}, 15))::BIGINT), 0) AS s{i}" for i in range(4))
+    return DIGEST.format(row=row, table=table, sums=sums, names=", ".join(f"s{i}::VARCHAR" for i in range(4)))
+
+
+@query("WITH parts AS (SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'development' ELSE 'holdout' END AS split FROM labels), "
+       + fingerprint_sql("parts", ["doc_id", "quality", "toxic", "split"]) + " SELECT split, count(*) AS rows, any_value(fingerprint) AS fingerprint FROM parts, print GROUP BY split")
 def split_counts(t: Tables) -> DataFrame:
-    split = F.when(F.col("doc_id") % 10 < 7, "development").otherwise("holdout").alias("split")
-    return t.labels.groupBy("quality", "toxic", split).agg(F.count("*").alias("n"))
+    """The label set exported by split, and the sizes and fingerprint of what was written."""
+    split = F.when(F.col("doc_id") % 10 < 7, "development").otherwise("holdout")
+    return export_splits(t.labels.withColumn("split", split), f"{shared_folder(t.spark)}/splits-{uuid.uuid4().hex}")
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages), s AS (SELECT *, string_split(path, '/') AS parts FROM p)
@@ -172,31 +190,42 @@ def seeded_sample(t: Tables) -> DataFrame:
     return L.seeded_sample(t.documents.select("doc_id"), "doc_id", 25, "7")
 
 
-ANSWERS = "SELECT source AS question_id, concat(' ', substring_index(text, ' ', 1)) AS answer, doc_id AS place FROM {documents}"
-VOTES = """answers AS (SELECT source AS question_id, lower(trim(split_part(text, ' ', 1))) AS answer, doc_id AS place FROM documents),
+#: A question is a source and language, its image the source; each word of a text is an answer.
+ANSWERS = r"SELECT concat(source, '-', lang) AS question_id, source AS image_id, concat(' ', word) AS answer, doc_id * 100000 + place AS place FROM {documents} LATERAL VIEW posexplode(split(text, '[ \\n]')) w AS place, word"
+VOTES = r"""words AS (SELECT source || '-' || lang AS question_id, source AS image_id, doc_id, string_split_regex(text, '[ \n]') AS w FROM documents),
+answers AS (SELECT question_id, image_id, lower(trim(unnest(w))) AS answer, doc_id * 100000 + generate_subscripts(w, 1) - 1 AS place FROM words),
 votes AS (SELECT question_id, answer, count(*) AS votes, min(place) AS seen FROM answers GROUP BY ALL),
-modal AS (SELECT question_id, answer, votes FROM votes QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, seen) = 1)"""
+modal AS (SELECT question_id, answer, votes FROM votes QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, seen) = 1),
+agreed AS (SELECT question_id, answer, votes FROM modal WHERE votes >= 8 AND length(answer) >= 3 AND regexp_matches(answer, '\p{L}') AND answer NOT IN """ + f"{L.EMPTY_ANSWERS})"
+QUESTIONS = """images AS (SELECT image_id, min(a.question_id) AS question_id FROM agreed a JOIN (SELECT DISTINCT question_id, image_id FROM answers) q ON a.question_id = q.question_id GROUP BY image_id),
+questions AS (SELECT image_id, question_id, answer FROM images JOIN agreed USING (question_id) ORDER BY sha256('seed' || image_id) LIMIT 12)"""
 
 
-@query(f"WITH {VOTES} SELECT question_id, answer, votes FROM modal WHERE votes >= 2 AND length(answer) >= 3 AND regexp_matches(answer, '\\p{{L}}') AND answer NOT IN {L.EMPTY_ANSWERS}".replace("{{L}}", "{L}"))
+def answers(t: Tables) -> DataFrame:
+    return t.spark.sql(ANSWERS, documents=t.documents)
+
+
+@query(f"WITH {VOTES} SELECT question_id, answer, votes FROM agreed")
 def consensus_answers(t: Tables) -> DataFrame:
-    return L.consensus(t.spark.sql(ANSWERS, documents=t.documents), least_votes=2)
+    return L.consensus(answers(t))
 
 
-@query(f"""WITH {VOTES}, licensed AS (SELECT doc_id AS image_id, upper(source) AS name, {LICENSE} AS url FROM documents WHERE {LICENSE} LIKE '%/licenses/by/%'),
-sample AS ({SEEDED}) SELECT 'images' AS dataset, image_id::VARCHAR AS source_id, url, NULL::VARCHAR AS answer FROM sample
-UNION ALL SELECT 'questions', question_id, NULL, answer FROM modal WHERE votes >= 2 AND length(answer) >= 3 AND regexp_matches(answer, '\\p{{L}}') AND answer NOT IN {L.EMPTY_ANSWERS}""".replace("{{L}}", "{L}"))
+@query(f"""WITH {VOTES}, {QUESTIONS}, licensed AS (SELECT doc_id AS image_id, upper(source) AS name, {LICENSE} AS url FROM documents WHERE {LICENSE} LIKE '%/licenses/by/%'),
+sample AS ({SEEDED}) SELECT 'images' AS dataset, image_id::VARCHAR AS source_id, url, NULL::VARCHAR AS question_id, NULL::VARCHAR AS answer FROM sample
+UNION ALL SELECT 'questions', image_id, NULL, question_id, answer FROM questions""")
 def evaluation_sample(t: Tables) -> DataFrame:
+    """Both halves: licensed images, and images by the first question that people agree on, each a seeded sample."""
     none = F.lit(None).cast("string")
-    images = licensed_sample(t).select(F.lit("images").alias("dataset"), F.col("image_id").cast("string").alias("source_id"), "url", none.alias("answer"))
-    questions = consensus_answers(t).select(F.lit("questions").alias("dataset"), F.col("question_id").alias("source_id"), none.alias("url"), "answer")
-    return images.unionByName(questions)
+    images = licensed_sample(t).select(F.lit("images").alias("dataset"), F.col("image_id").cast("string").alias("source_id"), "url", none.alias("question_id"), none.alias("answer"))
+    given = answers(t)
+    chosen = L.sampled_questions(given.select("question_id", "image_id").distinct(), given, 12, "seed")
+    return images.unionByName(chosen.select(F.lit("questions").alias("dataset"), F.col("image_id").alias("source_id"), none.alias("url"), "question_id", "answer"))
 
 
-@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn, text) AS captions FROM conversations WHERE turn < 3 GROUP BY conv_id)
+@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn, text) AS captions FROM conversations GROUP BY conv_id)
 SELECT doc_id AS image_id, coalesce(len(captions), 0) AS n, coalesce(array_to_string(captions, '|'), '') AS captions FROM documents LEFT JOIN c ON doc_id = conv_id""")
 def captions_per_image(t: Tables) -> DataFrame:
-    captions = t.conversations.where("turn < 3").select(F.col("conv_id").alias("image_id"), F.col("turn").alias("place"), F.col("text").alias("caption"))
+    captions = t.conversations.select(F.col("conv_id").alias("image_id"), F.col("turn").alias("place"), F.col("text").alias("caption"))
     rows = L.with_captions(t.documents.select(F.col("doc_id").alias("image_id")), captions)
     return rows.select("image_id", F.size("captions").alias("n"), F.array_join("captions", "|").alias("captions"))
 
@@ -206,9 +235,9 @@ def first_per_key(t: Tables) -> DataFrame:
     return L.first_per_key(t.documents.select("source", "doc_id", "n_chars"), "source", "doc_id")
 
 
-@query()
+@query("WITH " + fingerprint_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]) + " SELECT fingerprint FROM print")
 def dataset_fingerprint(t: Tables) -> DataFrame:
-    return L.fingerprint(t.documents, "doc_id")
+    return L.fingerprint(t.documents)
 
 
 @query(with_tables("files") + " SELECT sum(bytes)::BIGINT AS total_bytes, max(bytes) AS largest, sum(bytes) > 2621440000 OR max(bytes) > 5242880 AS over FROM files")
@@ -289,11 +318,11 @@ def vector_parity(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, {NUDGED} AS w FROM embeddings)
-SELECT t.vec_id AS text_id, round(max(abs(list_inner_product(i.v, t.v) - list_inner_product(i.w, t.w))), 9) AS drift FROM p i, p t WHERE t.vec_id < 12 GROUP BY t.vec_id""")
+SELECT t.vec_id AS text_id, round(max(abs(list_inner_product(i.v, t.v) - list_inner_product(i.w, t.w))), 9) AS drift FROM p i, p t WHERE t.vec_id % 20 = 0 GROUP BY t.vec_id""")
 def similarity_drift(t: Tables) -> DataFrame:
     moved = F.transform(F.col("embedding"), lambda x, i: x.cast("double") + 0.001 * ((F.col("vec_id") + i) % 7))
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), moved.alias("w"))
-    return E.similarity_drift(rows, rows.where("id < 12")).withColumn("drift", F.round("drift", 9))
+    return E.similarity_drift(rows, rows.where("id % 20 = 0")).withColumn("drift", F.round("drift", 9))
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)
@@ -352,6 +381,13 @@ def ocr_lines_quality(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(N.result_problems((d % 5).cast("int"), F.array(F.lit("ru"), F.lit("en")), lines)).alias("rule"))
 
 
+@query("SELECT doc_id, text AS joined FROM documents")
+def joined_texts(t: Tables) -> DataFrame:
+    """Recognised lines joined again: the lines of a text give the text."""
+    lines = F.transform(F.split("text", "\n", -1), lambda s: F.struct(s.alias("text")))
+    return t.documents.select("doc_id", N.joined_text(lines).alias("joined"))
+
+
 TILES = """axis AS (SELECT doc_id, n_chars AS width, 3000 AS height FROM documents WHERE n_chars > 0),
 tx AS (SELECT doc_id, width, unnest(range(0, (greatest(ceil((width - 2048) / 1792), 0) * 1792 + 1)::BIGINT, 1792)) AS x FROM axis),
 ty AS (SELECT doc_id, height, unnest(range(0, (greatest(ceil((height - 2048) / 1792), 0) * 1792 + 1)::BIGINT, 1792)) AS y FROM axis),

@@ -6,8 +6,10 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepool.functions.text import _latin_fold
+from tidepool.operators.stage_machine import attempts_in_force
 from tidepool.sources.shared import shared_folder
 from tidepool.sources.tables import Index, publish_index, read_index
 
@@ -73,12 +75,12 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN doc_id % 45 = 44 THEN ' ' ELSE lang END AS query,
            array(cast(doc_id - doc_id % 2 AS string), cast((doc_id * 7) % 1009 AS string)) AS expected FROM {documents}""",
     ),
+    # Every fifth result comes late: it carries the attempt before the one in force. ``begun`` counts the clicks so far.
     "log": (
-        ("events",),
+        ("begun",),
         """SELECT user_id AS `key`, ts, event_id AS seq,
            CASE event_type WHEN 'signup' THEN 'upsert' WHEN 'click' THEN 'begin' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'retry' END AS event,
-           CASE WHEN event_type IN ('purchase', 'error') THEN cast(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)
-             OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) END AS attempt FROM {events}""",
+           CASE WHEN event_type IN ('purchase', 'error') THEN in_force - CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END END AS attempt FROM {begun}""",
     ),
 }
 
@@ -122,6 +124,12 @@ class Tables:
             _PUBLISHED[key] = root
         return read_index(self.spark, _PUBLISHED[key])
 
+    @cached_property
+    def begun(self) -> DataFrame:
+        """Events with the number of their user's clicks so far."""
+        rows = self.events.withColumns({"key": F.col("user_id"), "seq": F.col("event_id")})
+        return attempts_in_force(rows, F.col("event_type") == "click").drop("key", "seq")
+
     @cached_property
     def visible(self) -> DataFrame:
         return self.assets.where("NOT hidden")
@@ -131,6 +139,8 @@ _DUCK = {
     "text_queries": r"""SELECT item_id AS query_id, text FROM benchmark
                         UNION ALL SELECT 1000000 + 1000 * item_id + generate_subscripts(s, 1) - 1, unnest(s)
                         FROM (SELECT item_id, string_split_regex(text, '[.\n]') AS s FROM benchmark)""",
+    "begun": """SELECT *, cast(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) AS in_force
+                FROM events""",
     "files": "SELECT concat('docs/', lpad(doc_id::VARCHAR, 10, '0'), '.txt') AS relative_path, sha256(text) AS sha256, n_chars AS bytes, source FROM documents",
 }
 

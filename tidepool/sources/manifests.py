@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +26,44 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return reader.option("multiLine", True).option("escape", '"').csv(path)
 
 
+def _distinct_keys(pairs: list[tuple[str, object]]) -> dict:
+    if len({k for k, _ in pairs}) != len(pairs):
+        raise ValueError("a key occurs twice")
+    return dict(pairs)
+
+
+def repeats_a_key(text: Column) -> Column:
+    """Whether an object in a JSON text names a key twice, which Spark's reader would take in silence."""
+
+    @F.pandas_udf("boolean")
+    def check(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> bool:
+            try:
+                json.loads(t, object_pairs_hook=_distinct_keys)
+            except ValueError as e:
+                return not isinstance(e, json.JSONDecodeError)  # broken JSON is the reader's to refuse
+            return False
+
+        return texts.map(one, na_action="ignore")
+
+    return check(text)
+
+
+def parsed_manifests(manifests: DataFrame, json_col: str) -> DataFrame:
+    """``manifests`` with the parsed manifest ``_m``; a repeated key or broken JSON is an error."""
+    once = F.when(repeats_a_key(F.col(json_col)), F.raise_error(F.lit("a manifest names a key twice"))).otherwise(F.col(json_col))
+    return manifests.withColumn("_m", F.from_json(once, MANIFEST, {"mode": "FAILFAST"}))
+
+
 def flatten_manifests(manifests: DataFrame, json_col: str) -> DataFrame:
     """A row for each image of JSON manifests; other columns stay."""
-    parsed = manifests.withColumn("_m", F.from_json(json_col, MANIFEST, {"mode": "FAILFAST"}))
+    parsed = parsed_manifests(manifests, json_col)
     return parsed.select(*[c for c in manifests.columns if c != json_col], F.explode("_m.images").alias("image"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(images, queries) of manifest files."""
-    m = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    m = parsed_manifests(spark.read.text(path, wholetext=True), "value").select("_m.*")
     images = m.select("version", "model_id", F.explode("images").alias("i")).select("version", "model_id", "i.*")
     return images, m.select("version", "model_id", F.explode("queries").alias("q")).select("version", "model_id", "q.*")
 
@@ -52,9 +84,14 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def read_image_files(spark: SparkSession, folder: str) -> DataFrame:
     """(relative_path, sha256, bytes, path, content) of image files below a folder; the extension decides."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGE_EXTENSIONS))
-    inside = F.regexp_replace("path", F.concat(F.lit("^.*?"), F.lit(folder.rstrip("/").replace(".", r"\.")), F.lit("/")), F.lit(""))
+    top = folder.rstrip("/") + "/"
+    inside = F.expr(f"substring(path, locate({_quoted(top)}, path) + {len(top)})")
     return files.select(inside.alias("relative_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "path", "content")

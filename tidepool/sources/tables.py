@@ -89,11 +89,11 @@ def read_index(spark: SparkSession, root: str) -> Index:
     return Index(*(current(spark, f"{root}/{f.name}") for f in fields(Index)))
 
 
-def export_splits(labels: DataFrame, root: str, key: str = "query_id") -> DataFrame:
-    """Writes one partition for each split; returns (split, rows) and the set's fingerprint."""
+def export_splits(labels: DataFrame, root: str) -> DataFrame:
+    """Writes one partition for each split; returns (split, rows) of what was written, with the set's fingerprint."""
     path = publish(labels, root, ("split",))
-    saved = labels.sparkSession.read.parquet(path)
-    return saved.groupBy("split").agg(F.count("*").alias("rows")).crossJoin(fingerprint(saved, key))
+    saved = labels.sparkSession.read.schema(labels.schema).parquet(path)
+    return saved.groupBy("split").agg(F.count("*").alias("rows")).crossJoin(fingerprint(saved))
 
 
 def write_report(cases: DataFrame, run: dict[str, str], path: str) -> None:
