@@ -214,9 +214,18 @@ def test_models_plug_in(spark, tmp_path):
     assert [r.error for r in rows if not r.lines] == ["ValueError"]
     detect = encoders.detector_udf(lambda: lambda t: {"xx": float(len(t))})
     assert spark.createDataFrame([("abc",), (None,)], "t string").select(detect("t").alias("m")).collect()[0].m == {"xx": 3.0}
-    queries = spark.createDataFrame([(1, "кот спит"), (2, "cat"), (3, "  ")], "query_id int, text string")
-    got = {r.query_id: r for r in encoders.prepare_queries(queries, encoders.upper_translator, encoders.hash_encoder, 16).collect()}
-    assert got[1].english_text == "КОТ СПИТ" and got[1].original_text == "кот спит" and got[2].english_text == "cat" and 3 not in got
+
+
+def test_queries_are_routed_translated_and_encoded(spark):
+    said = {"кот спит": {"ru": 0.9, "en": 0.05}, "a cat sleeps": {"en": 0.85, "de": 0.1}, "die Katze": {"de": 0.95}, "кіт спить": {"uk": 0.9}, "ship dock": {"en": 0.85, "de": 0.7}, "lorem ipsum": {"en": 0.7}, "рыба идёт": {"en": 0.95}, "odd odds": {"en": float("nan"), "und": 0.9}}
+    cases = [(t, None) for t in said] + [("cat", None), ("cat", "en"), ("кот dog mixed", None), ("кот dog mixed", "ru"), ("日本語の猫", None), (" \n", "en"), ("x" * 4097, "en"), (None, "ru"), ("blank", "ru")]
+    queries = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "query_id int, text string, choice string")
+    translate = lambda: lambda t: " " if t == "blank" else t.upper()
+    got = {r.query_id: r for r in encoders.prepare_queries(queries, lambda: lambda t: said.get(t, {}), translate, encoders.hash_encoder, 16).collect()}
+    want = ["ru", "en", "unsupportedLanguage", "unsupportedLanguage", "ambiguousLanguage", "ambiguousLanguage", "ambiguousLanguage", "ambiguousLanguage", "ambiguousLanguage", "en", "ambiguousLanguage", "ru", "unsupportedLanguage", "empty", "tooLong", "empty", "invalidTranslation"]
+    assert [got[i].status for i in range(len(cases))] == want
+    assert got[0].english_text == "КОТ СПИТ" and got[0].original_text == "кот спит" and got[1].english_text == "a cat sleeps"
+    assert {i for i, r in got.items() if r.embedding} == {i for i, r in got.items() if r.english_text} == {0, 1, 9, 11}
 
 
 def test_manifests_do_not_grow_with_their_source(spark, monkeypatch):

@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.text import query_status, script
+from tidepool.functions.text import MOST_QUERY_BYTES, script
 
 Encoder = Callable[[list[str]], np.ndarray]
+#: Most bytes of a translation.
+MOST_TEXT_BYTES = 16_384
 
 
 def encoder_udf(make: Callable[[], Encoder], dimension: int, batch_size: int = 256):
@@ -71,13 +73,62 @@ def translator_udf(make: Callable[[], Callable[[str], str]]):
     return translate
 
 
-def prepare_queries(queries: DataFrame, translator, encoder, dimension: int) -> DataFrame:
-    """(query_id, original_text, english_text, embedding) of usable queries; only Cyrillic text is translated."""
-    usable = queries.where(query_status(F.col("text")) == "ok")
-    text = F.trim("text")
-    english = F.when(script(F.col("text")) == "cyrillic", translator_udf(translator)(text)).otherwise(text)
-    rows = usable.select("query_id", F.col("text").alias("original_text"), english.alias("english_text"))
-    return rows.withColumn("embedding", encoder_udf(encoder, dimension)("english_text"))
+def route(text: Column, choice: Column, hypotheses: Column, least: float = 0.8, margin: float = 0.2) -> Column:
+    """The status of a query: ru or en where it has a language, else what is wrong with it.
+
+    A text of more than 4096 bytes is tooLong, a blank one empty. A choice of ru or en
+    decides alone. Otherwise the letters must be all Latin or all Cyrillic and the
+    detector's winner (a map of confidences) must have ``least`` and lead by ``margin``;
+    fewer than four letters, a mix of both scripts, an unclear winner or one that the script
+    contradicts are ambiguousLanguage, other scripts and languages unsupportedLanguage.
+    """
+    valid = F.filter(F.map_entries(hypotheses), lambda e: ~F.isnan(e["value"]) & e["value"].between(0, 1))
+    ranked = F.sort_array(F.transform(valid, lambda e: F.struct(e["value"].alias("p"), e["key"].alias("l"))), asc=False)
+    best, second = F.get(ranked, F.lit(0)), F.coalesce(F.get(ranked, F.lit(1))["p"], F.lit(0.0))
+    clear = F.coalesce((best["p"] >= least) & (best["p"] - second >= margin), F.lit(False))
+    kind, ambiguous = script(text), F.lit("ambiguousLanguage")
+    return (
+        F.when(F.octet_length(text) > MOST_QUERY_BYTES, "tooLong")
+        .when(F.coalesce(F.regexp_replace(text, r"[\s\p{Z}]+", ""), F.lit("")) == "", "empty")
+        .when(choice.isin("ru", "en"), choice)
+        .when(kind.isin("short", "mixed"), ambiguous)
+        .when(kind == "other", "unsupportedLanguage")
+        .when(~clear | (best["l"] == "und"), ambiguous)
+        .when((best["l"] == "ru") & (kind == "cyrillic"), "ru")
+        .when((best["l"] == "en") & (kind == "latin"), "en")
+        .when(best["l"].isin("ru", "en"), ambiguous)
+        .otherwise("unsupportedLanguage")
+    )
+
+
+def prepare_queries(queries: DataFrame, detector, translator, encoder, dimension: int) -> DataFrame:
+    """(query_id, original_text, status, english_text, embedding) of queries (query_id, text, and choice if there is one).
+
+    Russian is translated, English goes as it is; a translation that is blank or of more
+    than 16,384 bytes is invalidTranslation. Queries with another status than ru or en have
+    no English text and no embedding: they can only be searched by their words. The
+    original text stays.
+    """
+    choice = F.col("choice") if "choice" in queries.columns else F.lit(None).cast("string")
+    trimmed = F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    rows = queries.select("query_id", F.col("text").alias("original_text"), trimmed.alias("_t"), route(F.col("text"), choice, detector_udf(detector)("text")).alias("status"))
+    english = F.when(F.col("status") == "ru", F.trim(translator_udf(translator)(F.col("_t")))).when(F.col("status") == "en", F.col("_t"))
+    rows = rows.withColumn("english_text", english).drop("_t")
+    bad = (F.col("status") == "ru") & ~F.coalesce(F.octet_length("english_text").between(1, MOST_TEXT_BYTES), F.lit(False))
+    rows = rows.withColumn("status", F.when(bad, "invalidTranslation").otherwise(F.col("status")))
+    rows = rows.withColumn("english_text", F.when(F.col("status").isin("ru", "en"), F.col("english_text")))
+    return rows.withColumn("embedding", F.when(F.col("english_text").isNotNull(), encoder_udf(encoder, dimension)("english_text")))
+
+
+def script_detector() -> Callable[[str], dict[str, float]]:
+    """A stand-in for a language model: the share of Cyrillic and of Latin letters."""
+
+    def detect(text: str) -> dict[str, float]:
+        letters = [c for c in text if c.isalpha()]
+        cyrillic = sum("\u0400" <= c <= "\u04ff" for c in letters)
+        return {"ru": cyrillic / len(letters), "en": 1 - cyrillic / len(letters)} if letters else {}
+
+    return detect
 
 
 def hash_encoder() -> Encoder:

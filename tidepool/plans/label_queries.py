@@ -431,5 +431,6 @@ def embed_documents(t: Tables) -> DataFrame:
 
 @query()
 def prepared_queries(t: Tables) -> DataFrame:
-    """Queries routed by script, translated where needed, and encoded; the original text stays."""
-    return encoders.prepare_queries(t.text_queries, encoders.upper_translator, encoders.hash_encoder, 16).withColumn("script", script_of(F.col("original_text")))
+    """Queries routed by language, translated where needed, and encoded; the original text stays."""
+    prepared = encoders.prepare_queries(t.text_queries, encoders.script_detector, encoders.upper_translator, encoders.hash_encoder, 16)
+    return prepared.withColumn("script", script_of(F.col("original_text")))
