@@ -33,6 +33,37 @@ def test_texts_without_letters_are_undetermined(spark):
     assert {r.lang_pred for r in identify_languages(odd, fit_languages(odd.limit(0).withColumn("lang", F.lit("x")))).collect()} == {"und"}
 
 
+def plain_language(model, text):
+    """(language, score, rejected) by one-shot compressions of 1 KB pieces."""
+    if text is None or not any(c.isalpha() for c in text) or not model.names:
+        return "und", 0.0, True
+    raw, sizes = text.lower().encode(), []
+    for content in model.contents:
+        params = zstd.ZstdCompressionParameters(
+            strategy=zstd.STRATEGY_LAZY, min_match=4, window_log=19, hash_log=16, chain_log=16, search_log=3,
+            target_length=16, write_checksum=False, write_content_size=False, write_dict_id=False,
+        )
+        d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        sizes.append(sum(len(zstd.ZstdCompressor(dict_data=d, compression_params=params).compress(raw[i : i + 1024] + bytes(64))) for i in range(0, len(raw), 1024)))
+    ranked = sorted((x, n) for n, x in zip(model.names, sizes, strict=True))
+    score = 1 / sum(math.exp(max(-700, (ranked[0][0] - x) / 4)) for x in sizes)
+    return ranked[0][1], score, len(ranked) > 1 and ranked[1][0] - ranked[0][0] <= 0.002 * ranked[0][0]
+
+
+def test_languages_are_those_of_plain_compression(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_languages(docs)
+    texts = [None, "", "12 !", *[r.text for r in docs.orderBy("doc_id").limit(60).collect()]]
+    texts += ["und der die nicht " * 20_000, "ß", texts[5], texts[5]]
+    odd = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[6])], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "_c0", "lang_pred")})
+    got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in identify_languages(odd.repartition(3), model).collect()}
+    assert len(got) == len(texts) + 1
+    for i, t in [*enumerate(texts), (None, texts[6])]:
+        want = plain_language(model, t)
+        assert got[i][0] == want[0] and got[i][2] == want[2] and abs(got[i][1] - want[1]) < 1e-9
+
+
 def corpus(spark, n=900):
     rng = np.random.default_rng(1)
     syllables = ["ba", "do", "ke", "lu", "mi", "ra", "so", "ti", "vu", "zen"]

@@ -97,7 +97,9 @@ def identify_languages(
     the smallest sum wins, ties to the first name. score is the winner's share of
     exp(-bytes / 4). A text is rejected if it is null, has no letter (both 'und', score 0) or
     if the runner-up is within ``narrow`` of the winner's bytes. A model of one language
-    takes everything; of none, nothing. Repeated rows get equal answers.
+    takes everything; of none, nothing. Repeated rows get equal answers, null ids stay null;
+    a very long text is one row whose windows are read one by one; no rows give no rows.
+    Columns that are not named, whatever their names, are not read.
     """
 
     def make():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.sources.shared import shared_folder
+
 #: Bytes of text that a Python worker handles at a time, whatever the size of an Arrow batch.
 SLICE_BYTES = 2 << 20
 
@@ -27,20 +28,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; on one machine alone a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidepool-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 class Scratch:
     """Intermediate tables in the shared folder, which survive a lost executor.
 
@@ -50,7 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
