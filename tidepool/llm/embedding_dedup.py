@@ -43,7 +43,7 @@ class Cells:
         )
 
 
-def fit_cells(sample: np.ndarray, total: int, cosine: float, per_cell: int = 1500, most_cells: int = 1024, sigmas: float | None = None, rounds: int = 8, seed: int = 7) -> Cells:
+def fit_cells(sample: np.ndarray, total: int, cosine: float, per_cell: int = 6000, most_cells: int = 1024, sigmas: float | None = None, rounds: int = 8, seed: int = 7) -> Cells:
     """Spherical k-means on a bounded sample of vectors.
 
     Two vectors with at least ``cosine`` that fall in cells c and d are within
@@ -66,26 +66,47 @@ def fit_cells(sample: np.ndarray, total: int, cosine: float, per_cell: int = 150
     return Cells(centroids, full * share + 1e-9)
 
 
-def block_links(rows: pa.Table, cosine: float) -> pa.Table:
-    """Links within a block, or between its two sides: per vector their weight and a smaller id of its group."""
+#: Rows of a block that meet all others at a time.
+STRIP = 256
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of a and b, pair by pair, in place; root[i] is the smallest member of i's group."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root[:] = further
+
+
+def block_links(rows: pa.Table, cosine: float, alone: bool) -> pa.Table:
+    """Links within a block, if it is ``alone``, else between its two sides: per vector their weight and a smaller id of its group."""
     v, ids = matrix(rows.column("v")), rows.column("id").to_numpy()
     weight, side = rows.column("weight").to_numpy(), rows.column("side").to_numpy()
     order = np.argsort(ids, kind="stable")
     v, ids, weight, side = v[order], ids[order], weight[order], side[order]
     size = np.sqrt((v * v).sum(1))
     n = len(ids)
-    alone = bool((side == 0).all())
     # Single precision decides all pairs but those at the threshold, which doubles decide.
     unit = (v / size[:, None]).astype(np.float32)
-    group = np.arange(n)
-    at, to = [], []
-    for lo in range(0, n, 512):  # rows of a strip against all
-        near = unit[lo : lo + 512] @ unit.T
+    root, linked = np.arange(n), np.zeros(n, np.int64)
+    here, there = (np.flatnonzero(side == s) for s in (0, 1))
+    for lo in range(0, len(here), STRIP):  # each pair once: with the other side, or with what follows on the own one
+        some, others = here[lo : lo + STRIP], here[lo:] if alone else there
+        near = unit[some] @ unit[others].T
         a, b = np.nonzero(near >= cosine - 1e-4)
         close = near[a, b]
-        a += lo
-        fits = a != b if alone else side[a] != side[b]
-        a, b, close = a[fits], b[fits], close[fits]
+        if alone:
+            once = b > a
+            a, b, close = a[once], b[once], close[once]
+        a, b = some[a], others[b]
         edge = np.flatnonzero(close < cosine + 1e-4)
         if len(edge):
             x, y = a[edge], b[edge]
@@ -93,19 +114,11 @@ def block_links(rows: pa.Table, cosine: float) -> pa.Table:
             keep = np.ones(len(a), bool)
             keep[edge] = exact >= cosine
             a, b = a[keep], b[keep]
-        at.append(a)
-        to.append(b)
-    a, b = np.concatenate(at), np.concatenate(to)
-    linked = np.bincount(a, weight[b], n).astype(np.int64)
-    while len(a):  # smallest label of each group, by links and jumps
-        least = group.copy()
-        np.minimum.at(least, a, group[b])
-        least = least[least]
-        if (least == group).all():
-            break
-        group = least
+        for x, y in ((a, b), (b, a)):
+            linked += np.bincount(x, weight[y], n).astype(np.int64)
+        unite(root, a, b)  # so a strip's links are all that is held, however dense a block
     has = linked > 0
-    return pa.table({"id": ids[has], "links": linked[has], "to": ids[group[has]]})
+    return pa.table({"id": ids[has], "links": linked[has], "to": ids[root[has]]})
 
 
 def link_vectors(
@@ -114,7 +127,7 @@ def link_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 16384,
-    block: int = 1024,
+    block: int = 4096,
     **cells,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: its near-duplicates by cosine.
@@ -175,9 +188,11 @@ def link_vectors(
     visits = F.transform(upto("hb"), lambda j: spot("visit", j, own, one))
     spots = F.when(F.col("home"), F.concat(homes, visited)).otherwise(visits)
     tasks = where.select("cell", F.explode(spots).alias("s"), "id", "weight", "v").select("cell", "s.*", "id", "weight", "v")
-    found = tasks.groupBy("cell", "kind", "i", "j").applyInArrow(
-        lambda t: block_links(t.select(["side", "id", "weight", "v"]), cosine), "id long, links long, to long"
-    )
+    def meet(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _, kind, i, j = (k.as_py() for k in key)
+        return block_links(t, cosine, kind == "home" and i == j)
+
+    found = tasks.groupBy("cell", "kind", "i", "j").applyInArrow(meet, "id long, links long, to long")
     found = scratch.keep(found, "found")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")), scratch, "star")
