@@ -33,7 +33,9 @@ def reach(ids, links):
     return {i: find(i) for i in ids}
 
 
-def test_components_of_chains_stars_and_rings(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_components_of_chains_stars_and_rings(spark, monkeypatch, most):
+    monkeypatch.setattr("tidepool.llm.components.BROADCAST_ROWS", most)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     got = {r.id: r.component for r in components(df, Scratch(spark, "test"), "c").collect()}
