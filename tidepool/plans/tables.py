@@ -112,17 +112,19 @@ class Tables:
     @cached_property
     def index(self) -> Index:
         """The index of this folder, published once in the session to the shared folder and searched from there."""
+        at = lambda name: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        files = lambda path: path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         marks = []
         for name in ("documents", "embeddings"):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
-            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            marks += [fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()]
+            path = at(f"{self.sf_dir}/{name}.parquet")
+            marks += [files(path).getContentSummary(path).getLength(), files(path).getFileStatus(path).getModificationTime()]
         key = (self.spark.sparkContext.applicationId, self.sf_dir, *marks)
-        if key not in _PUBLISHED:
+        root = _PUBLISHED.get(key)
+        if not root or not files(at(root)).exists(at(f"{root}/statistics")):  # the folder may have been cleared
             root = f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"
             publish_index(self.assets, self.stages, self.texts, self.vectors, root)
             _PUBLISHED[key] = root
-        return read_index(self.spark, _PUBLISHED[key])
+        return read_index(self.spark, root)
 
     @cached_property
     def begun(self) -> DataFrame:
