@@ -255,10 +255,13 @@ def near_duplicates(
     scratch.drop("buckets", "open")
     more = _confirm(crossing, docs, words, percent, scratch, "cross")
     star = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    edges = star.unionByName(more)
     # Ids of several texts, of which there should be none, tie the representatives of these.
     several = real.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where(F.col("lo") != F.col("hi")).select("id")
-    ties = real.join(several, "id").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    named = scratch.keep(components(star.unionByName(more).unionByName(ties), scratch, "all"), "named")
+    if not several.isEmpty():
+        ties = real.join(several, "id").join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
+        edges = edges.unionByName(ties.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    named = scratch.keep(components(edges, scratch, "all"), "named")
     scratch.drop("crossing", "cross", "first", "all")
 
     member = sketches.select("id", "n_shingles", "h1", "h2").join(
