@@ -22,9 +22,13 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit float vector; null for a zero or non-finite norm."""
-    size = norm(v)
-    fine = (size > 0) & ~F.isnan(size) & (size < float("inf"))
-    return F.when(fine, F.transform(v, lambda x: (x.cast("double") / size).cast("float")))
+
+    def divided(size: Column) -> Column:
+        fine = (size > 0) & ~F.isnan(size) & (size < float("inf"))
+        return F.when(fine, F.transform(v, lambda x: (x.cast("double") / size).cast("float")))
+
+    # The norm is bound as the element of an array, or Spark would sum it anew for every component.
+    return F.get(F.transform(F.array(norm(v)), divided), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -76,7 +76,9 @@ def publish_index(assets: DataFrame, stages: DataFrame, texts: DataFrame, vector
     publish(texts, f"{root}/texts")
     done = stages.where((F.col("kind") == "embedding") & (F.col("status") == "complete")).select("asset_id", "version")
     publish(vectors.join(done, "asset_id"), f"{root}/vectors", ("version",))
-    publish(postings(texts).sortWithinPartitions("term", "asset_id"), f"{root}/postings")
+    cores = spark.sparkContext.defaultParallelism
+    spread = texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts  # a short table in few files
+    publish(postings(spread).sortWithinPartitions("term", "asset_id"), f"{root}/postings")
     tokens = current(spark, f"{root}/postings").agg(F.sum("tf").alias("tokens"))
     counted = current(spark, f"{root}/texts").agg(F.count("*").alias("n_docs")).crossJoin(tokens)  # one row each
     mean = F.when(F.col("n_docs") > 0, F.coalesce("tokens", F.lit(0)) / F.col("n_docs"))
