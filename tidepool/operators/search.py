@@ -139,22 +139,20 @@ def semantic_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES)
     return top_k(found, k, "similarity")
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
-    """(asset_id, n_tokens, term) for every token of (asset_id, text)."""
-    counted = texts.select("asset_id", T.tokens(F.col("text")).alias("t"))
-    # An inner explode would make the optimizer filter on the tokens first, and tokenize twice.
-    rows = counted.select("asset_id", F.size("t").alias("n_tokens"), F.explode_outer("t").alias("term"))
-    return rows.where(F.col("term").isNotNull())
-
-
-def _grouped(occurrences: DataFrame) -> DataFrame:
-    """(term, asset_id, tf, n_tokens); a text's tokens are counted where they are, before the shuffle."""
-    return occurrences.groupBy("term", "asset_id").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens"))
-
-
 def postings(texts: DataFrame) -> DataFrame:
-    """(term, asset_id, tf, n_tokens) of every indexed text (asset_id, text)."""
-    return _grouped(_occurrences(texts))
+    """(term, asset_id, tf, n_tokens) of every indexed text (asset_id, text); ids are unique.
+
+    A text's tokens are sorted and counted within its row, so nothing is shuffled.
+    """
+    sorted_ = texts.select("asset_id", F.array_sort(T.tokens(F.col("text"))).alias("t"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = sorted_.select("asset_id", "t", F.size("t").alias("n_tokens"), begins.alias("at"))
+    counted = F.transform("at", lambda i, k: F.struct(
+        F.get("t", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("n_tokens")) - i).cast("long").alias("tf")
+    ))
+    # An inner explode would make the optimizer filter on the tokens first, and tokenize twice.
+    each = rows.select("asset_id", "n_tokens", F.explode_outer(counted).alias("p"))
+    return each.select("p.term", "asset_id", "p.tf", "n_tokens").where(F.col("term").isNotNull())
 
 
 def corpus_statistics(texts: DataFrame) -> DataFrame:
@@ -183,12 +181,9 @@ def literal_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _asked_postings(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, term, times, n_terms, asset_id, tf, n_tokens, df) where query terms occur.
-
-    Tokens that no query asks for are dropped before anything is grouped or shuffled.
-    """
+    """(query_id, term, times, n_terms, asset_id, tf, n_tokens, df) where query terms occur; others are dropped at once."""
     asked = query_terms(queries)
-    return _with_frequencies(asked, _grouped(_wanted(asked, _occurrences(texts))))
+    return _with_frequencies(asked, _wanted(asked, postings(texts)))
 
 
 def _wanted(asked: DataFrame, rows: DataFrame) -> DataFrame:

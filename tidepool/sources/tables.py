@@ -65,10 +65,10 @@ def publish_index(assets: DataFrame, stages: DataFrame, texts: DataFrame, vector
     """Publishes the derived index and reads it back.
 
     Stages lie by kind and version, vectors by the version of their stage, so a search reads
-    the current ones only. Texts are tokenized once: postings are written as their grouping
-    leaves them, spread by term and asset, so a term that every text has is many files'
-    share, and sorted by term within a file, so a search reads the row groups of its terms.
-    The statistics come from the postings.
+    the current ones only. Texts are tokenized once, without a shuffle: each file has the
+    postings of a share of the texts, so a term that every text has is all files' share, and
+    is sorted by term, so a search reads the row groups of its terms. The statistics come
+    from the postings.
     """
     spark = assets.sparkSession
     publish(assets, f"{root}/assets")
