@@ -26,6 +26,7 @@ def publish(df: DataFrame, root: str, partition_by: tuple[str, ...] = (), fmt: s
     spark = df.sparkSession
     version = f"{_latest(spark, root)[0] + 1:08d}-{uuid.uuid4().hex[:8]}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = writer.option("compression", "zstd") if fmt == "parquet" else writer
     writer.format(fmt).option("header", True).save(f"{root}/{version}")
     pointer = spark.createDataFrame([(int(version[:8]), version, df.schema.json())], POINTER)
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/_current_versions")
