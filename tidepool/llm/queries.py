@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.ann import NEAREST_SQL, nearest
 from tidepool.llm.bpe import decode_ids, encode_texts
+from tidepool.llm.divergence import AUDIT_SQL, audit_sources
 from tidepool.llm.embedding_dedup import LINKS_SQL, link_vectors
 from tidepool.llm.language_id import fit_languages, identify_languages
 from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
 from tidepool.llm.near_dups import NEAR_SQL, near_duplicates
 from tidepool.llm.passages import dedup_passages
+from tidepool.llm.quality import fit_quality, score_quality
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
 from tidepool.llm.shared import in_fold, small_batches
 from tidepool.llm.token_counts import count_tokens
@@ -90,6 +92,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold("doc_id", 5, 0)
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -102,8 +115,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": op8_nearest,
         "op9_mixing": op9_mixing,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_quality": op13_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dups": NEAR_SQL, "op8_nearest": NEAREST_SQL, "op9_mixing": MIX_SQL, "op10_embedding_dedup": LINKS_SQL}
+    return {"op4_near_dups": NEAR_SQL, "op8_nearest": NEAREST_SQL, "op9_mixing": MIX_SQL, "op10_embedding_dedup": LINKS_SQL, "op12_source_divergence": AUDIT_SQL}

@@ -62,8 +62,8 @@ def in_fold(id_col: str, mod: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod == fold
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into runs of rows of about SLICE_BYTES.
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a string column into runs of rows of about ``size`` bytes.
 
     Yields (first row, end row, bytes, offsets); null counts as empty. A row is never
     cut: a text longer than a slice gets a slice of its own.
@@ -81,7 +81,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
         end = min(n, max(end, row + 1))
         lo, hi = int(offsets[row]), int(offsets[end])
         yield row, end, raw[lo:hi], offsets[row : end + 1] - lo
