@@ -16,6 +16,7 @@ from tidepool.llm.language_id import fit_languages, identify_languages
 from tidepool.llm.mixing import MIX_SQL, mix_sources, mixed_totals
 from tidepool.llm.near_dups import NEAR_SQL, near_duplicates
 from tidepool.llm.passages import dedup_passages
+from tidepool.llm.prefix_trie import TRIE_SQL, prefix_trie
 from tidepool.llm.quality import fit_quality, score_quality
 from tidepool.llm.secrets import KINDS, scan_secrets, spans_text
 from tidepool.llm.shared import in_fold, small_batches
@@ -92,6 +93,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
@@ -115,10 +120,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": op8_nearest,
         "op9_mixing": op9_mixing,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_source_divergence": op12_source_divergence,
         "op13_quality": op13_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dups": NEAR_SQL, "op8_nearest": NEAREST_SQL, "op9_mixing": MIX_SQL, "op10_embedding_dedup": LINKS_SQL, "op12_source_divergence": AUDIT_SQL}
+    return {"op4_near_dups": NEAR_SQL, "op8_nearest": NEAREST_SQL, "op9_mixing": MIX_SQL, "op10_embedding_dedup": LINKS_SQL, "op11_prefix_trie": TRIE_SQL, "op12_source_divergence": AUDIT_SQL}
