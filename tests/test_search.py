@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidepool.functions import text as T
 from tidepool.functions import vectors as V
 from tidepool.operators import search as S
+from tidepool.operators import word_index as W
+from tidepool.sources import word_segments as G
+from tidepool.sources.word_segments import build_words
 
 
 def texts(spark, rows):
@@ -37,9 +40,13 @@ def test_bm25_is_that_of_sqlite(spark, query):
     assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
 
 
-def test_operators_are_plain_words(spark):
-    rows = texts(spark, [("a", "кот OR собака"), ("b", "кот собака"), ("c", "кот")])
-    found = S.literal_matches(asked(spark, '"кот" OR (собака*)', "кот NOT"), S.postings(rows)).collect()
+def search(queries, index, k=100, searchable=None):
+    return W.bounded_top_k(queries, index.blocks, index.frequencies, index.statistics, index.tombstones, searchable, k)[0]
+
+
+def test_operators_are_plain_words(spark, tmp_path):
+    index = build_words(texts(spark, [("a", "кот OR собака"), ("b", "кот собака"), ("c", "кот")]), str(tmp_path))
+    found = W.all_matches(asked(spark, '"кот" OR (собака*)', "кот NOT"), index.blocks, index.frequencies, index.statistics, index.tombstones).collect()
     assert {(r.query_id, r.asset_id) for r in found} == {(0, "a")}
 
 
@@ -56,16 +63,74 @@ def test_a_published_index_scores_alike(spark, tmp_path):
     from tidepool.sources.tables import current, publish_index
 
     t, root = Tables(spark, "/root/testdata/sf0.001"), str(tmp_path)
-    index = publish_index(t.assets, t.stages, t.texts, t.vectors, root)
-    known = S.bm25_from_index(t.text_queries, index.postings, index.statistics)
+    index, words = publish_index(t.assets, t.stages, t.texts, t.vectors, root), build_words(t.texts, f"{root}/words")
+    known = W.all_matches(t.text_queries, words.blocks, words.frequencies, words.statistics, words.tombstones)
     rows = lambda df: {(r.query_id, r.asset_id, r.score) for r in df.collect()}
     assert rows(known) == rows(S.bm25_scores(t.text_queries, t.texts)) != set()
     assert current(spark, f"{root}/stages").where("kind = 'ocr'").count() == t.documents.count()
-    assert index.statistics.first() == S.corpus_statistics(t.texts).first()
+    assert words.statistics.first() == S.corpus_statistics(t.texts).first()
     plan = index.vectors.where("version = 'clip-1'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(version" in plan
-    empty = publish_index(t.assets.limit(0), t.stages.limit(0), t.texts.limit(0), t.vectors.limit(0), f"{root}/none")
-    assert S.bm25_from_index(t.text_queries, empty.postings, empty.statistics).collect() == []
+    empty = build_words(t.texts.limit(0), f"{root}/none")
+    assert search(t.text_queries, empty).collect() == []
+
+
+def zipf_texts(spark, n, seed):
+    """Texts of very different lengths over words of very different frequency."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 4) ** 4), p=share / share.sum()))) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, None), (n + 1, "")], "asset_id long, text string")
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_skipped_blocks_change_no_result(spark, tmp_path, monkeypatch, k):
+    monkeypatch.setattr(W, "BUCKET_TEXTS", 8)
+    rows = zipf_texts(spark, 900, k).repartition(3)
+    index = build_words(rows, str(tmp_path))
+    queries = asked(spark, "w0 w1", "w0", "w3 w3 w9", "w40 w0 w2", "w59", "nowhere w0", "w1 w2 w3 w4 w5 w6", "!?", "w7 " * 40)
+    some = rows.where("asset_id % 5 > 0").select("asset_id")
+    every = S.bm25_scores(queries, rows, some)
+    want = {(r.query_id, r["rank"]): (r.asset_id, r.score) for r in S.top_k(every, k, "score", ascending=True).collect()}
+    found, read = W.bounded_top_k(queries, index.blocks, index.frequencies, index.statistics, index.tombstones, some, k)
+    assert {(r.query_id, r["rank"]): (r.asset_id, r.score) for r in found.collect()} == want != {}
+    terms = W.weighted_terms(queries, index.frequencies, index.statistics)
+    work = {r.query_id: (r.postings, r.postings_read) for r in W.work_report(read, terms, index.blocks).collect()}
+    assert all(used <= every for every, used in work.values()) and set(work) == {0, 1, 2, 3, 4, 6}
+    if k == 1:
+        assert sum(w[1] for w in work.values()) < 0.85 * sum(w[0] for w in work.values())  # a quarter is not read even of these few
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_segments_of_changes_equal_a_full_build(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BUCKET_TEXTS", 8)
+    tokenized = []
+    blocks = G.posting_blocks
+    monkeypatch.setattr(G, "posting_blocks", lambda rows, segment: tokenized.append(rows.count()) or blocks(rows, segment))
+    queries = asked(spark, "w0 w1", "w3", "w40 w0", "fresh w0", "w9 w9 w2")
+    rows = {r.asset_id: r.text for r in zipf_texts(spark, 400, 3).collect()}
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "asset_id long, text string")
+    stored, root = frame(rows), str(tmp_path / "words")
+    G.build_words(stored, root)
+    for step in range(3):
+        now = {i: (f"{t} fresh w{step}" if i % 17 == step else t) for i, t in rows.items() if i % 23 != step}
+        now |= {1000 * (step + 1): "w0 w1 fresh", 7: None}
+        diff = [(i, "removed" if i not in now else "added" if i not in rows else "changed" if now[i] != rows[i] else "unchanged") for i in {*rows, *now}]
+        after = frame(now)
+        index = G.update_words(stored, after, spark.createDataFrame(diff, "asset_id long, change string"), root)
+        assert tokenized[-1] == sum(c in ("added", "changed") for _, c in diff) and index.segments == tuple(range(step + 2))
+        whole = G.build_words(after, str(tmp_path / f"whole{step}"))
+        assert sorted(map(tuple, index.frequencies.collect())) == sorted(map(tuple, whole.frequencies.collect()))
+        assert index.statistics.first() == whole.statistics.first()
+        key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "asset_id", "score").collect()))
+        assert key(search(queries, index, 30)) == key(search(queries, whole, 30)) == key(S.top_k(S.bm25_scores(queries, after), 30, "score", ascending=True))
+        rows, stored = now, after
+    same = spark.createDataFrame([(i, "unchanged") for i in rows], "asset_id long, change string")
+    assert G.update_words(stored, stored, same, root).segments == (0, 1, 2, 3)  # nothing changed, nothing written
+    merged = G.update_words(stored, stored, same, root, most=4)
+    assert merged.segments == (4,) and merged.tombstones.isEmpty() and key(search(queries, merged, 30)) == key(search(queries, whole, 30))
 
 
 def unit(*v):
@@ -95,12 +160,13 @@ def test_each_channel_sees_complete_stages_of_its_own_version(spark, tmp_path):
     index = library_index(spark, str(tmp_path))
     texts_ok, vectors_ok = searchable(index.stages, "ocr", "ocr-1"), index.vectors.where("version = 'clip-1'")
     q = asked(spark, "red ship", "!?", "red " * 40)
-    found = S.search_text(q, index.postings, index.statistics, texts_ok, index.assets).orderBy("query_id", "rank").collect()
+    hits = search(q, build_words(index.texts, str(tmp_path / "words")), 100, texts_ok)
+    found = S.search_text(hits, index.assets).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.asset_id, r.fused, r.width) for r in found] == [
         (0, "concentrated", 1 / 61, 640), (0, "wrong-visual", 1 / 62, 640), (0, "diluted", 1 / 63, 640)
     ]
     wanted = spark.createDataFrame([(i, "clip", unit(1.0, 0.0)) for i in range(3)], "query_id long, model_id string, embedding array<float>")
-    both = S.search_combined(q, wanted, vectors_ok, index.postings, index.statistics, texts_ok)
+    both = S.search_combined(wanted, vectors_ok, hits)
     rows = S.with_records(both, index.assets, index.texts).orderBy("query_id", "rank").collect()
     names = [(r.asset_id, r.visual_rank, r.text_rank, r.text is not None) for r in rows if r.query_id == 0]
     assert names[:2] == [("concentrated", 4, 1, True), ("diluted", 2, 3, True)]
@@ -152,12 +218,40 @@ def test_many_queries_meet_assets_in_blocks(spark, monkeypatch):
     queries = spark.createDataFrame(rows[:70], "query_id string, model_id string, embedding array<float>")
     key = lambda df: sorted(map(tuple, df.select("query_id", "asset_id", "similarity", "rank").collect()))
     want = key(S.top_k(S.cosine_scores(queries, vectors), 7, "similarity"))
-    monkeypatch.setattr(S, "MOST_BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(S, "MOST_BROADCAST_BYTES", 5 * 8 * 8)
     monkeypatch.setattr(S, "MEET", 20)
     monkeypatch.setattr(S, "cosine_scores", None)  # no join of all pairs
     assert key(S.semantic_top_k(queries, vectors, 7)) == want
 
 
+def test_a_partition_returns_k_of_a_query_whatever_its_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"m{i % 2}", rng.normal(size=4 + 2 * (i % 3 // 2)).tolist()) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "asset_id long, model_id string, embedding array<float>").repartition(2)
+    queries = spark.createDataFrame(rows[:12], "query_id long, model_id string, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        counts = [r["count"] for r in S.nearest_in_partitions(queries, vectors, 3)[0].groupBy(F.spark_partition_id(), "query_id").count().collect()]
+        assert len(counts) == 24 and max(counts) == 3
+        got = sorted(map(tuple, S.semantic_top_k(queries, vectors, 3).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(tuple, S.semantic_top_k(queries, vectors, 3).collect()))
+
+
+def test_a_missing_record_is_an_error(spark):
+    hits, assets = ranked(spark, (1, "a", 1), (1, "b", 2)), spark.createDataFrame([("a", 1)], "asset_id string, width int")
+    assert S.with_metadata(hits.where("asset_id = 'a'"), assets).first().width == 1
+    with pytest.raises(Exception, match="no record of asset b"):
+        S.with_metadata(hits, assets).collect()
+
+
+@pytest.mark.parametrize("limit", [0, -1, 101, True, 2.0])
+def test_limits_are_checked_before_the_search(limit):
+    with pytest.raises(ValueError, match="from 1 to 100"):
+        S.search_combined(None, None, None, limit)
+
+
 def test_normalized_vectors(spark):
     v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [float("inf"), 1.0])], "id int, v array<float>")
     got = {r.id: r.u for r in v.select("id", V.normalized(F.col("v")).alias("u")).collect()}

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
@@ -17,10 +18,12 @@ from tidepool.functions import vectors as V
 K1, B = 1.2, 0.75
 #: Candidates of each channel in a combined search, results of one, and the fusion constant.
 CANDIDATES, RESULTS, FUSION = 100, 50, 60
-#: Digits of a word score that don't depend on the order of its sum.
+#: Most results that a caller may ask for.
+RESULTS_LIMIT = 100
+#: Digits of a word score that don't depend on how a logarithm is rounded.
 SCORE_DIGITS = 12
-#: Queries that meet a partition of assets at a time, and most that are broadcast at once.
-QUERY_BLOCK, MOST_BROADCAST_QUERIES = 256, 20_000
+#: Queries that meet a batch of assets at a time, and most bytes of query vectors that are broadcast.
+QUERY_BLOCK, MOST_BROADCAST_BYTES = 256, 64 << 20
 #: Queries, and assets, of a block where more queries than that meet the assets block by block.
 MEET = 4096
 #: Most query terms that are broadcast; more join by a shuffle.
@@ -51,25 +54,30 @@ def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.select("query_id", "asset_id", V.cosine(F.col("_q"), F.col("_a")).alias("similarity"))
 
 
-def _nearest(ids: list, block: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[list[pa.Array]]:
-    """(query, asset, similarity) columns with the k nearest of ``matrix`` for each row of ``block``, ties to the smaller id."""
+def _nearest(block: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of ``block``, asset, similarity) of the k nearest of ``matrix`` for each row, ties to the smaller id."""
     order = np.argsort(names, kind="stable")
     names, matrix = names[order], matrix[order]
-    few = min(k, len(names))
-    for at in range(0, len(ids), QUERY_BLOCK):
+    for at in range(0, len(block), QUERY_BLOCK):
         part_q = block[at : at + QUERY_BLOCK]
         rough = part_q @ matrix.T
+        few = min(k, len(names))
         edge = np.partition(rough, -few, axis=1)[:, -few] - 1e-6
         r, c = np.nonzero(rough >= edge[:, None])
         exact = np.zeros(len(r))
         for d in range(matrix.shape[1]):
             exact += part_q[r, d] * matrix[c, d]
-        exact = np.clip(exact, -1, 1).astype(np.float32)
-        best = np.lexsort((c, -exact, r))  # columns ascend by id
-        size = np.bincount(r, minlength=len(part_q))
-        best = best[np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size) < few]
-        r, c, exact = r[best], c[best], exact[best]
-        yield [pa.array([ids[at + x] for x in r]), pa.array(names[c]), pa.array(exact)]
+        yield _cut(r + at, names[c], np.clip(exact, -1, 1).astype(np.float32), k)
+
+
+def _cut(rows: np.ndarray, names: np.ndarray, similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row by similarity, then by name."""
+    best = np.lexsort((names, -similarity, rows))
+    rows = rows[best]
+    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(begins, np.diff(np.append(begins, len(rows))))
+    best = best[place < k]
+    return rows[place < k], names[best], similarity[best]
 
 
 def _meet_in_blocks(q: DataFrame, a: DataFrame, k: int, schema: str) -> DataFrame:
@@ -92,8 +100,9 @@ def _meet_in_blocks(q: DataFrame, a: DataFrame, k: int, schema: str) -> DataFram
         if not x.num_rows or not y.num_rows:
             return empty
         ids, assets = x.column("query_id").to_pylist(), np.array(y.column("asset_id").to_pylist())
-        found = _nearest(ids, matrix(x.column("v")), assets, matrix(y.column("v")), k)
-        return pa.concat_tables([pa.table([c.cast(t) for c, t in zip(f, kinds, strict=True)], names) for f in found])
+        ids = pa.array(ids, kinds[0])
+        found = _nearest(matrix(x.column("v")), assets, matrix(y.column("v")), k)
+        return pa.concat_tables([pa.table([ids.take(pa.array(r)), pa.array(n, kinds[1]), pa.array(v)], names) for r, n, v in found])
 
     key = ["_model_id", "_dim", "i", "j"]
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(meet, schema)
@@ -103,11 +112,17 @@ def semantic_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES)
     """(query_id, asset_id, similarity, rank): the k nearest assets of each query by cosine.
 
     Each partition of assets multiplies Arrow blocks with the block of queries of its model
-    and keeps k candidates per query; a window merges them. The product only picks
-    candidates: similarities are summed in element order. Queries are sent to the
-    partitions while there are at most MOST_BROADCAST_QUERIES; more meet the assets in
+    and keeps k candidates per query over all its batches; a window merges the partitions.
+    The product only picks candidates: similarities are summed in element order. Queries are
+    broadcast while their vectors take at most MOST_BROADCAST_BYTES; more meet the assets in
     blocks, each a task that returns k candidates per query, never all pairs.
     """
+    found, schema = nearest_in_partitions(queries, vectors, k)
+    return top_k(found, k, "similarity")
+
+
+def nearest_in_partitions(queries: DataFrame, vectors: DataFrame, k: int) -> tuple[DataFrame, str]:
+    """Candidates of each query: at most k from a partition of assets, or from a block of them."""
     a = vectors.select("asset_id", "model_id", V.doubles(V.normalized(F.col("embedding"))).alias("v"))
     a = a.where(F.col("v").isNotNull())
     q = queries.select("query_id", "model_id", V.doubles(V.normalized(F.col("embedding"))).alias("v"))
@@ -115,28 +130,42 @@ def semantic_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES)
     kind = queries.schema["query_id"].dataType.simpleString()
     asset_kind = vectors.schema["asset_id"].dataType.simpleString()
     schema = f"query_id {kind}, asset_id {asset_kind}, similarity float"
-    if q.limit(MOST_BROADCAST_QUERIES + 1).count() > MOST_BROADCAST_QUERIES:
-        return top_k(_meet_in_blocks(q, a, k, schema), k, "similarity")
-    asked: dict[str, tuple[list, np.ndarray]] = {}
-    for model, rows in pd.DataFrame(q.collect(), columns=["query_id", "model_id", "v"]).groupby("model_id"):
-        asked[model] = (rows["query_id"].tolist(), np.array(rows["v"].tolist()))
+    if (q.agg(F.sum(8 * F.size("v").cast("long"))).first()[0] or 0) > MOST_BROADCAST_BYTES:
+        return _meet_in_blocks(q, a, k, schema), schema
+    table = q.withColumn("dim", F.size("v")).toArrow()
+    spaces: dict[tuple[str, int], tuple[pa.Array, np.ndarray]] = {}
+    for space in {(m, d) for m, d in zip(table["model_id"].to_pylist(), table["dim"].to_pylist(), strict=True)}:
+        own = table.filter(pa.compute.and_(pa.compute.equal(table["model_id"], space[0]), pa.compute.equal(table["dim"], space[1])))
+        spaces[space] = (own["query_id"].combine_chunks(), own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+    shared = queries.sparkSession.sparkContext.broadcast(spaces)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[tuple[np.ndarray, ...]]] = {}
+        names_type = None
+
+        def cut(space: tuple[str, int]) -> None:
+            held[space] = [_cut(*(np.concatenate(c) for c in zip(*held[space], strict=True)), k)]
+
         for b in batches:
-            models = np.array(b.column(1).to_pylist(), object)
-            for model, (ids, block) in asked.items():
-                rows = np.flatnonzero(models == model)
-                if not len(rows):
-                    continue
-                part = b.take(pa.array(rows))
-                matrix = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-                if matrix.shape[1] != block.shape[1]:
-                    continue
-                for columns in _nearest(ids, block, np.array(part.column(0).to_pylist()), matrix, k):
-                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "asset_id", "similarity"])
-
-    found = a.mapInArrow(search, schema)
-    return top_k(found, k, "similarity")
+            names_type = b.column(0).type
+            models, sizes = np.array(b.column(1).to_pylist(), object), b.column(2).value_lengths().to_numpy()
+            for space, (_, block) in shared.value.items():
+                rows = np.flatnonzero((models == space[0]) & (sizes == space[1]))
+                if len(rows):
+                    part = b.take(pa.array(rows))
+                    matrix = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                    held.setdefault(space, []).extend(_nearest(block, np.array(part.column(0).to_pylist()), matrix, k))
+                    if sum(len(x[0]) for x in held[space]) > 4 * k * len(block):
+                        cut(space)
+        for space in held:
+            cut(space)
+            r, names, similarity = held[space][0]
+            for i in range(0, len(r), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                columns = [shared.value[space][0].take(pa.array(r[part])), pa.array(names[part], names_type), pa.array(similarity[part])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "asset_id", "similarity"])
+
+    return a.mapInArrow(search, schema), schema
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -172,14 +201,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count("*").alias("times"), F.first("n_terms").alias("n_terms"))
 
 
-def literal_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, asset_id) of texts that hold every term of the query as a whole word, from their postings."""
-    asked = query_terms(queries)
-    found = _wanted(asked, index).join(asked, "term")
-    hits = found.groupBy("query_id", "asset_id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
-    return hits.where(F.col("n") == F.col("n_terms")).select("query_id", "asset_id")
-
-
 def _asked_postings(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, term, times, n_terms, asset_id, tf, n_tokens, df) where query terms occur; others are dropped at once."""
     asked = query_terms(queries)
@@ -202,16 +223,20 @@ def _with_frequencies(asked: DataFrame, found: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, texts: DataFrame, searchable: DataFrame | None = None) -> DataFrame:
     """(query_id, asset_id, score): BM25 of the matches, negative, smaller is better.
 
-    The statistics cover all texts; only ``searchable`` (asset_id) may be found. The terms of
-    a hit are summed as they come, so scores are rounded to twelve digits, which all runs share.
+    The statistics cover all texts; only ``searchable`` (asset_id) may be found. This is the
+    plain form, which reads every posting of every term; word_index.py searches an index.
     """
     return _bm25(_asked_postings(queries, texts), corpus_statistics(texts), searchable)
 
 
-def bm25_from_index(queries: DataFrame, index: DataFrame, statistics: DataFrame, searchable: DataFrame | None = None) -> DataFrame:
-    """bm25_scores from published postings (term, asset_id, tf, n_tokens) and their one-row statistics."""
-    asked = query_terms(queries)
-    return _bm25(_with_frequencies(asked, _wanted(asked, index)), statistics, searchable)
+def term_sum(part: Column) -> Column:
+    """The negative sum of the parts of a hit, the same in whatever order they come.
+
+    The part of each number that is a multiple of 2^-20 sums up exactly, and what is left is too small
+    for the order to matter.
+    """
+    coarse = F.rint(part * (1 << 20)) / (1 << 20)
+    return F.round(-(F.sum(coarse) + F.sum(part - coarse)), SCORE_DIGITS)
 
 
 def _bm25(rows: DataFrame, statistics: DataFrame, searchable: DataFrame | None) -> DataFrame:
@@ -223,7 +248,7 @@ def _bm25(rows: DataFrame, statistics: DataFrame, searchable: DataFrame | None)
     length = 1 - B + B * F.col("n_tokens") / F.col("avg_tokens")
     part = F.col("times") * idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length))
     hits = rows.groupBy("query_id", "asset_id").agg(
-        F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.round(-F.sum(part), SCORE_DIGITS).alias("score")
+        F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), term_sum(part).alias("score")
     )
     return hits.where(F.col("n") == F.col("n_terms")).select("query_id", "asset_id", "score")
 
@@ -245,42 +270,47 @@ def fuse(visual: DataFrame, words: DataFrame, limit: int = RESULTS) -> DataFrame
     return top_k(both.withColumn("fused", share("visual_rank") + share("text_rank")), limit, "fused")
 
 
-def search_text(
-    queries: DataFrame, index: DataFrame, statistics: DataFrame, searchable: DataFrame, assets: DataFrame, limit: int = RESULTS
-) -> DataFrame:
-    """Text-only search of a published index: (query_id, asset_id, rank, fused, the assets' metadata).
+def search_text(words: DataFrame, assets: DataFrame) -> DataFrame:
+    """Text-only search from ranked word hits: (query_id, asset_id, rank, fused, the assets' metadata).
 
-    The caller's limit applies to the text channel; the score is 1 / (60 + rank). Queries
-    out of bounds find nothing.
+    The caller's limit applied to the hits; the score is 1 / (60 + rank). Queries out of
+    bounds find nothing, and a hit without a record is an error.
     """
-    hits = top_k(bm25_from_index(queries, index, statistics, searchable), limit, "score", ascending=True)
-    return hits.select("query_id", "asset_id", "rank", (1 / (FUSION + F.col("rank"))).alias("fused")).join(assets, "asset_id")
-
-
-def search_combined(
-    text_queries: DataFrame,
-    vector_queries: DataFrame,
-    vectors: DataFrame,
-    index: DataFrame,
-    statistics: DataFrame,
-    searchable: DataFrame,
-    limit: int = RESULTS,
-) -> DataFrame:
+    hits = words.select("query_id", "asset_id", "rank", (1 / (FUSION + F.col("rank"))).alias("fused"))
+    return with_metadata(hits, assets)
+
+
+def search_combined(vector_queries: DataFrame, vectors: DataFrame, words: DataFrame, limit: int = RESULTS) -> DataFrame:
     """Combined search: CANDIDATES of each channel, fused and cut; a channel may be missing.
 
-    ``vectors`` are those of complete stages of the current version, ``searchable`` the
-    assets whose recognised text is complete and current. A query out of the bounds of the
-    text channel still searches visually.
+    ``vectors`` are those of complete stages of the current version, ``words`` the ranked
+    hits among assets whose recognised text is complete and current. A query out of the
+    bounds of the text channel still searches visually.
     """
+    check_limit(limit, RESULTS_LIMIT)
     visual = semantic_top_k(vector_queries, vectors, CANDIDATES)
-    words = top_k(bm25_from_index(text_queries, index, statistics, searchable), CANDIDATES, "score", ascending=True)
     return fuse(visual, words.withColumnRenamed("score", "bm25"), limit)
 
 
+def check_limit(limit: int, most: int) -> None:
+    """Refuses a number of results outside 1 to ``most``, before anything is read."""
+    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= most:
+        raise ValueError(f"a limit is a whole number from 1 to {most}, not {limit!r}")
+
+
+def with_metadata(matches: DataFrame, assets: DataFrame) -> DataFrame:
+    """Matches with their assets' columns; a match whose asset is missing fails the query that reads it."""
+    there = assets.withColumn("_there", F.lit(True))
+    joined = matches.join(there, "asset_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no record of asset "), F.col("asset_id").cast("string")))
+    # The check is a column that the filter needs, so no plan can leave it out.
+    return joined.where(F.when(F.col("_there"), F.lit(True)).otherwise(missing.cast("boolean"))).drop("_there")
+
+
 def with_records(matches: DataFrame, assets: DataFrame, texts: DataFrame) -> DataFrame:
     """Fused matches with the assets' metadata, and the recognised text of those that the text channel found."""
     found = matches.where(F.col("text_rank").isNotNull()).select("query_id", "asset_id").join(texts.select("asset_id", "text"), "asset_id")
-    return matches.join(assets, "asset_id").join(found, ["query_id", "asset_id"], "left")
+    return with_metadata(matches, assets).join(found, ["query_id", "asset_id"], "left")
 
 
 def accessible(matches: DataFrame, indexed: DataFrame, visible: DataFrame, metadata: list[str]) -> DataFrame:

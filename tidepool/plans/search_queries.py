@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from tidepool.functions import text as T
 from tidepool.functions import vectors as V
 from tidepool.operators import index_state as I
 from tidepool.operators import search as S
+from tidepool.operators import word_index as W
 from tidepool.plans.registry import query
 from tidepool.plans.tables import Tables, tokens_sql, with_tables
+from tidepool.sources.shared import shared_folder
+from tidepool.sources.word_segments import WordIndex, update_words
 
 UNIT = "list_transform({0}::DOUBLE[], lambda x: (x / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])))::FLOAT)::DOUBLE[]"
 PAIRS = f"""pairs AS (
@@ -50,8 +55,16 @@ def searchable_texts(t: Tables) -> DataFrame:
     return I.searchable(t.index.stages, "ocr", "ocr-1")
 
 
-def word_scores(t: Tables, searchable: DataFrame | None = None) -> DataFrame:
-    return S.bm25_from_index(t.text_queries, t.index.postings, t.index.statistics, searchable)
+def word_scores(t: Tables) -> DataFrame:
+    w = t.words
+    return W.all_matches(t.text_queries, w.blocks, w.frequencies, w.statistics, w.tombstones)
+
+
+def word_hits(t: Tables, k: int = S.CANDIDATES, words: WordIndex | None = None, searchable: DataFrame | None = None) -> DataFrame:
+    """The k best texts of each query among those that are complete and current."""
+    S.check_limit(k, S.RESULTS_LIMIT)
+    w = words or t.words
+    return W.bounded_top_k(t.text_queries, w.blocks, w.frequencies, w.statistics, w.tombstones, searchable or searchable_texts(t), k)[0]
 
 
 @query(with_tables(*VISUAL_TABLES) + f", {SIMILAR} SELECT query_id, asset_id, similarity, rank FROM visual")
@@ -92,7 +105,7 @@ def cosine_pairs(t: Tables) -> DataFrame:
 
 @query(f"SELECT count(*) AS n_docs, avg(len({tokens_sql('text')})) AS avg_tokens FROM documents")
 def bm25_corpus_stats(t: Tables) -> DataFrame:
-    return t.index.statistics
+    return t.words.statistics
 
 
 @query(with_tables("texts") + f", r AS (SELECT asset_id, unnest({tokens_sql('text')}) AS term FROM texts) SELECT term, asset_id, count(*) AS tf FROM r GROUP BY ALL")
@@ -102,7 +115,7 @@ def term_frequencies(t: Tables) -> DataFrame:
 
 @query(with_tables("texts") + f", r AS (SELECT DISTINCT asset_id, unnest({tokens_sql('text')}) AS term FROM texts) SELECT term, count(*) AS df FROM r GROUP BY ALL")
 def document_frequencies(t: Tables) -> DataFrame:
-    return S.document_frequencies(t.texts)
+    return t.words.frequencies
 
 
 @query(with_tables("texts", "text_queries") + f", {BM25} SELECT query_id, asset_id, round(score, 12) AS score FROM scores")
@@ -112,12 +125,32 @@ def bm25_scores(t: Tables) -> DataFrame:
 
 @query(with_tables("texts", "text_queries", "stages") + f", {WORDS} SELECT query_id, asset_id, round(score, 12) AS score, rank FROM words")
 def bm25_topk(t: Tables) -> DataFrame:
-    return S.top_k(word_scores(t, searchable_texts(t)), S.CANDIDATES, "score", ascending=True)
+    """The k best by words; blocks that cannot hold one of them are not read."""
+    return word_hits(t)
+
+
+@query()
+def word_search_work(t: Tables) -> DataFrame:
+    """How many postings the terms of each query have, and how many its search read."""
+    w = t.words
+    terms = W.weighted_terms(t.text_queries, w.frequencies, w.statistics)
+    read = W.bounded_top_k(t.text_queries, w.blocks, w.frequencies, w.statistics, w.tombstones, searchable_texts(t), 10)[1]
+    return W.work_report(read, terms, w.blocks)
+
+
+@query(with_tables("next_texts", "text_queries") + f""", {BM25.replace("FROM texts)", "FROM next_texts)")}
+SELECT query_id, asset_id, round(score, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12), asset_id) AS rank FROM scores QUALIFY rank <= 100""")
+def updated_topk(t: Tables) -> DataFrame:
+    """Word search after a snapshot: only texts that it changed are tokenized, into a segment of their own."""
+    diff = I.snapshot_diff(t.assets, t.snapshot, t.invalidated, list(RECORD))
+    root = f"{shared_folder(t.spark)}/words-{uuid.uuid4().hex}"
+    words = update_words(t.texts, t.next_texts, diff, root, f"{t.index_root}/words")
+    return word_hits(t, words=words, searchable=t.next_texts.select("asset_id"))
 
 
 @query(with_tables("texts", "text_queries") + f", {BM25} SELECT query_id, asset_id FROM scores")
 def literal_and_match(t: Tables) -> DataFrame:
-    return S.literal_matches(t.text_queries, t.index.postings)
+    return word_scores(t).select("query_id", "asset_id")
 
 
 RECORD = ("width", "height", "creation_s", "modification_s")
@@ -130,7 +163,7 @@ def records(t: Tables) -> DataFrame:
 @query(f"""{with_tables("texts", "text_queries", "stages", "assets")}, {WORDS}
 SELECT query_id, asset_id, rank, 1.0::DOUBLE / (60 + rank) AS fused, {", ".join(RECORD)} FROM words JOIN assets USING (asset_id) WHERE rank <= 20""")
 def search_text(t: Tables) -> DataFrame:
-    return S.search_text(t.text_queries, t.index.postings, t.index.statistics, searchable_texts(t), records(t), limit=20)
+    return S.search_text(word_hits(t, 20), records(t))
 
 
 FUSED = f"""{SIMILAR}, {WORDS},
@@ -142,9 +175,7 @@ FUSED_TABLES = with_tables(*VISUAL_TABLES, "texts", "text_queries")
 
 
 def fused_results(t: Tables) -> DataFrame:
-    return S.search_combined(
-        t.text_queries, t.vector_queries, current_vectors(t), t.index.postings, t.index.statistics, searchable_texts(t)
-    )
+    return S.search_combined(t.vector_queries, current_vectors(t), word_hits(t))
 
 
 @query(f"{FUSED_TABLES}, {FUSED} SELECT query_id, asset_id, visual_rank, text_rank, fused, rank FROM best")
@@ -181,7 +212,7 @@ def rrf_duplicates(t: Tables) -> DataFrame:
 
 @query()
 def search_snippets(t: Tables) -> DataFrame:
-    found = S.search_text(t.text_queries, t.index.postings, t.index.statistics, searchable_texts(t), records(t), limit=20)
+    found = S.search_text(word_hits(t, 20), records(t))
     return S.snippets(found, t.index.texts, t.text_queries)
 
 

@@ -12,6 +12,7 @@ from tidepool.functions.text import _latin_fold
 from tidepool.operators.stage_machine import attempts_in_force
 from tidepool.sources.shared import shared_folder
 from tidepool.sources.tables import Index, publish_index, read_index
+from tidepool.sources.word_segments import WordIndex, build_words, read_words
 
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -45,6 +46,13 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'complete' END FROM {documents}""",
     ),
     "texts": (("documents",), "SELECT doc_id AS asset_id, text FROM {documents}"),
+    # Texts as of the snapshot: changed and invalidated ones are read anew, removed ones are gone.
+    "next_texts": (
+        ("documents",),
+        """SELECT doc_id AS asset_id, CASE WHEN doc_id % 13 = 0 OR doc_id % 19 = 0 THEN concat(substr(text, 20, 300), ' ', source) ELSE text END AS text
+           FROM {documents} WHERE doc_id % 11 <> 0
+           UNION ALL SELECT doc_id + 100000000, text FROM {documents} WHERE doc_id % 17 = 0""",
+    ),
     "vectors": (("embeddings",), "SELECT vec_id AS asset_id, CASE WHEN vec_id % 50 = 49 THEN 'old' ELSE 'clip' END AS model_id, embedding FROM {embeddings}"),
     "current_vectors": (
         ("vectors", "stages"),
@@ -110,8 +118,8 @@ class Tables:
         return self._known[name]
 
     @cached_property
-    def index(self) -> Index:
-        """The index of this folder, published once in the session to the shared folder and searched from there."""
+    def index_root(self) -> str:
+        """Where the index of this folder is: published once in the session to the shared folder, and searched there."""
         at = lambda name: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         files = lambda path: path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         marks = []
@@ -120,11 +128,21 @@ class Tables:
             marks += [files(path).getContentSummary(path).getLength(), files(path).getFileStatus(path).getModificationTime()]
         key = (self.spark.sparkContext.applicationId, self.sf_dir, *marks)
         root = _PUBLISHED.get(key)
-        if not root or not files(at(root)).exists(at(f"{root}/statistics")):  # the folder may have been cleared
+        if not root or not files(at(root)).exists(at(f"{root}/words/segments")):  # the folder may have been cleared
             root = f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"
-            publish_index(self.assets, self.stages, self.texts, self.vectors, root)
+            publish_index(self.assets, self.stages, self.texts, self.vectors, root, copies=False)
+            build_words(self.texts, f"{root}/words")
             _PUBLISHED[key] = root
-        return read_index(self.spark, root)
+        return root
+
+    @cached_property
+    def index(self) -> Index:
+        """Assets, stages and texts in place, and the published vectors."""
+        return read_index(self.spark, self.index_root, (self.assets, self.stages, self.texts))
+
+    @cached_property
+    def words(self) -> WordIndex:
+        return read_words(self.spark, f"{self.index_root}/words")
 
     @cached_property
     def begun(self) -> DataFrame:

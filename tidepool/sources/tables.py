@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidepool.operators.labels import fingerprint
-from tidepool.operators.search import postings
 
 POINTER = "number long, version string, columns string"
 
@@ -52,44 +51,33 @@ def current(spark: SparkSession, root: str, fmt: str = "parquet", schema: str |
 
 @dataclass(frozen=True)
 class Index:
-    """The derived index: assets, stages, texts, vectors of complete stages, postings and their one-row statistics."""
+    """The derived index: assets, stages, texts, and vectors of complete stages. Words are in sources/word_segments.py."""
 
     assets: DataFrame
     stages: DataFrame
     texts: DataFrame
     vectors: DataFrame
-    postings: DataFrame
-    statistics: DataFrame
 
 
-def publish_index(assets: DataFrame, stages: DataFrame, texts: DataFrame, vectors: DataFrame, root: str) -> Index:
+def publish_index(assets: DataFrame, stages: DataFrame, texts: DataFrame, vectors: DataFrame, root: str, copies: bool = True) -> Index:
     """Publishes the derived index and reads it back.
 
     Stages lie by kind and version, vectors by the version of their stage, so a search reads
-    the current ones only. Texts are tokenized once, without a shuffle: each file has the
-    postings of a share of the texts, so a term that every text has is all files' share, and
-    is sorted by term, so a search reads the row groups of its terms. The statistics come
-    from the postings.
+    the current ones only. Without ``copies`` only the vectors are written; the other tables
+    are read where they are.
     """
-    spark = assets.sparkSession
-    publish(assets, f"{root}/assets")
-    publish(stages, f"{root}/stages", ("kind", "version"))
-    publish(texts, f"{root}/texts")
+    if copies:
+        publish(assets, f"{root}/assets")
+        publish(stages, f"{root}/stages", ("kind", "version"))
+        publish(texts, f"{root}/texts")
     done = stages.where((F.col("kind") == "embedding") & (F.col("status") == "complete")).select("asset_id", "version")
     publish(vectors.join(done, "asset_id"), f"{root}/vectors", ("version",))
-    cores = spark.sparkContext.defaultParallelism
-    spread = texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts  # a short table in few files
-    publish(postings(spread).sortWithinPartitions("term", "asset_id"), f"{root}/postings")
-    tokens = current(spark, f"{root}/postings").agg(F.sum("tf").alias("tokens"))
-    counted = current(spark, f"{root}/texts").agg(F.count("*").alias("n_docs")).crossJoin(tokens)  # one row each
-    mean = F.when(F.col("n_docs") > 0, F.coalesce("tokens", F.lit(0)) / F.col("n_docs"))
-    publish(counted.select("n_docs", mean.alias("avg_tokens")), f"{root}/statistics")
-    return read_index(spark, root)
-
-
-def read_index(spark: SparkSession, root: str) -> Index:
-    """The latest published version of each table of an index."""
-    return Index(*(current(spark, f"{root}/{f.name}") for f in fields(Index)))
+    return read_index(assets.sparkSession, root, () if copies else (assets, stages, texts))
+
+
+def read_index(spark: SparkSession, root: str, in_place: tuple[DataFrame, ...] = ()) -> Index:
+    """The latest published version of each table of an index, after those that are read ``in_place``."""
+    return Index(*in_place, *(current(spark, f"{root}/{f.name}") for f in fields(Index)[len(in_place) :]))
 
 
 def export_splits(labels: DataFrame, root: str) -> DataFrame:
