@@ -178,12 +178,11 @@ def deduplicated_results(t: Tables) -> DataFrame:
     return M.first_answers(answers, ["user_id", "event_type", "hour_s"], ["ts", "event_id"]).drop("ts")
 
 
-@query("""WITH n AS (SELECT event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, ts FROM events)
-SELECT event_id FROM n WHERE event_type = 'click' AND (after IS NULL OR epoch(after) - epoch(ts) > 30)""")
+@query(with_tables("begun", "log", "requests", "answers") + """ SELECT request AS event_id FROM requests q WHERE NOT EXISTS (
+  SELECT 1 FROM answers a WHERE a.request = q.request AND a.ts >= q.ts AND epoch(a.ts) - epoch(q.ts) <= 150000)""")
 def timed_out_requests(t: Tables) -> DataFrame:
-    """Requests without an answer within thirty seconds."""
-    rows = t.events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), "event_type")
-    return M.unanswered(rows, F.col("event_type") == "click").select(F.col("seq").alias("event_id"))
+    """Requests without an answer of their own in time: thirty seconds of a clock five thousand times as fast."""
+    return M.timed_out(t.requests, t.answers, 30 * 5000).select(F.col("request").alias("event_id"))
 
 
 @query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -226,15 +225,41 @@ def failure_codes(t: Tables) -> DataFrame:
     return t.events.select("event_id", I.failure_code(F.expr(ERRORS)).alias("failure"))
 
 
-@query()
+#: The log replayed event by event, a step of every key at a time.
+REPLAYED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY "key" ORDER BY ts, seq) AS nth,
+  count(*) FILTER (event = 'upsert' AND changed) OVER (PARTITION BY "key" ORDER BY ts, seq) AS generations FROM log),
+replayed AS (
+  SELECT "key", 0::BIGINT AS nth, 0::BIGINT AS seq, NULL::VARCHAR AS event, NULL::BIGINT AS ticket, NULL::VARCHAR AS status, NULL::BIGINT AS attempt, NULL::VARCHAR AS version, true AS accepted
+  FROM (SELECT DISTINCT "key" FROM log)
+  UNION ALL
+  SELECT "key", nth, seq, event, ticket,
+    CASE WHEN NOT ok THEN status WHEN event = 'upsert' THEN CASE WHEN status IS NULL OR changed OR version IS DISTINCT FROM next_version THEN 'pending' ELSE status END
+      WHEN event = 'begin' THEN 'processing' WHEN event IN ('retry', 'retryDownloads', 'recover', 'cancel') THEN 'pending' WHEN event = 'complete' THEN 'complete'
+      WHEN event = 'fail' THEN 'failed' WHEN event = 'needsDownload' THEN 'requiresDownload' END,
+    CASE WHEN NOT ok THEN attempt WHEN event = 'begin' THEN seq WHEN event = 'upsert' AND status IS NOT NULL AND NOT changed AND version IS NOT DISTINCT FROM next_version THEN attempt END,
+    CASE WHEN event = 'upsert' THEN next_version ELSE version END, ok
+  FROM (
+    SELECT n.*, n.attempt AS ticket, n.version AS next_version, r.status, r.attempt, r.version,
+      CASE WHEN n.event = 'upsert' THEN true WHEN r.status IS NULL THEN false
+        WHEN n.event = 'begin' THEN r.status IN ('pending', 'failed', 'requiresDownload') WHEN n.event = 'retry' THEN r.status IN ('failed', 'requiresDownload')
+        WHEN n.event = 'retryDownloads' THEN r.status = 'requiresDownload' WHEN n.event = 'recover' THEN r.status = 'processing'
+        ELSE coalesce(r.status = 'processing' AND n.attempt = r.attempt AND n.generation = n.generations AND n.version = r.version, false) END AS ok
+    FROM replayed r JOIN (SELECT "key", nth, ts, seq, event, changed, attempt, generation, version, generations FROM numbered) n ON n."key" = r."key" AND n.nth = r.nth + 1
+  ) s("key", nth, ts, seq, event, changed, _a, generation, _v, generations, ticket, next_version, status, attempt, version, ok))"""
+
+
+@query(with_tables("begun", "log", recursive=True) + f""", {REPLAYED}
+SELECT "key", arg_max(struct_pack(s := status), nth).s AS status, arg_max(struct_pack(a := attempt), nth).a AS attempt,
+  (SELECT count(*) FROM log l WHERE l."key" = r."key" AND event = 'upsert' AND changed)::INTEGER AS generation,
+  count(*) FILTER (nth > 0 AND accepted) AS accepted, count(*) FILTER (nth > 0 AND NOT accepted) AS rejected FROM replayed r GROUP BY r."key" """)
 def stage_state_machine(t: Tables) -> DataFrame:
     return M.replay_log(t.log)
 
 
-@query(with_tables("begun", "log") + """, n AS (SELECT *, sum(CASE WHEN event = 'begin' THEN 1 ELSE 0 END) OVER (PARTITION BY "key" ORDER BY ts, seq) AS in_force FROM log)
-SELECT "key", seq, attempt FROM n WHERE event IN ('complete', 'fail') AND attempt <> in_force""")
+@query(with_tables("begun", "log", recursive=True) + f""", {REPLAYED}
+SELECT "key", seq, ticket AS attempt FROM replayed WHERE event IN ('complete', 'fail', 'needsDownload', 'cancel') AND NOT accepted""")
 def stale_events(t: Tables) -> DataFrame:
-    """Results of an attempt that a later one of the same stage had replaced when they arrived."""
+    """Results that the stage machine rejects: of an attempt, generation or version that is not in force, or not processing."""
     return M.stale(t.log)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import _latin_fold
-from tidepool.operators.stage_machine import attempts_in_force
+from tidepool.operators.stage_machine import running_counts
 from tidepool.sources.shared import shared_folder
 from tidepool.sources.tables import Index, publish_index, read_index
 from tidepool.sources.word_segments import WordIndex, build_words, read_words
@@ -83,13 +83,23 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
            CASE WHEN doc_id % 45 = 44 THEN ' ' ELSE lang END AS query,
            array(cast(doc_id - doc_id % 2 AS string), cast((doc_id * 7) % 1009 AS string)) AS expected FROM {documents}""",
     ),
-    # Every fifth result comes late: it carries the attempt before the one in force. ``begun`` counts the clicks so far.
+    # A result answers the first begin since the last result or upsert; some carry an old generation, version or attempt.
     "log": (
         ("begun",),
         """SELECT user_id AS `key`, ts, event_id AS seq,
-           CASE event_type WHEN 'signup' THEN 'upsert' WHEN 'click' THEN 'begin' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'retry' END AS event,
-           CASE WHEN event_type IN ('purchase', 'error') THEN in_force - CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END END AS attempt FROM {begun}""",
+           CASE WHEN event_type = 'signup' THEN 'upsert' WHEN event_type = 'click' THEN 'begin'
+             WHEN event_type = 'purchase' AND ticket IS NOT NULL THEN CASE WHEN event_id % 4 = 1 THEN 'complete' ELSE 'cancel' END
+             WHEN event_type = 'error' AND ticket IS NOT NULL THEN CASE WHEN event_id % 4 = 1 THEN 'needsDownload' ELSE 'fail' END
+             ELSE CASE WHEN event_id % 50 = 2 THEN 'recover' WHEN event_id % 3 = 1 THEN 'retryDownloads' ELSE 'retry' END END AS event,
+           event_type = 'signup' AS changed,
+           CASE WHEN event_type IN ('purchase', 'error') THEN ticket - CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END END AS attempt,
+           CASE WHEN event_type IN ('purchase', 'error') AND ticket IS NOT NULL THEN generation - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END END AS generation,
+           CASE WHEN event_type = 'signup' THEN 'v1' WHEN event_type IN ('purchase', 'error') AND ticket IS NOT NULL THEN CASE WHEN event_id % 17 = 0 THEN 'v0' ELSE 'v1' END END AS version
+           FROM {begun}""",
     ),
+    # Requests and answers, in a time that runs five thousand times as fast.
+    "requests": (("log",), "SELECT seq AS request, ts FROM {log} WHERE event = 'begin'"),
+    "answers": (("log",), "SELECT attempt AS request, ts, seq FROM {log} WHERE attempt IS NOT NULL"),
 }
 
 
@@ -146,9 +156,13 @@ class Tables:
 
     @cached_property
     def begun(self) -> DataFrame:
-        """Events with the number of their user's clicks so far."""
+        """Events with their user's generation, and the first click since the last signup or result before each."""
+        kind = F.col("event_type")
         rows = self.events.withColumns({"key": F.col("user_id"), "seq": F.col("event_id")})
-        return attempts_in_force(rows, F.col("event_type") == "click").drop("key", "seq")
+        rows = running_counts(rows, {"generation": kind == "signup"})
+        rows = running_counts(rows, {"_group": kind.isin("signup", "purchase", "error")}, own=False)
+        first = rows.where(kind == "click").groupBy("key", "_group").agg(F.min_by("seq", F.struct("ts", "seq")).alias("ticket"))
+        return rows.join(first, ["key", "_group"], "left").drop("key", "seq", "_group")
 
     @cached_property
     def visible(self) -> DataFrame:
@@ -159,8 +173,9 @@ _DUCK = {
     "text_queries": r"""SELECT item_id AS query_id, text FROM benchmark
                         UNION ALL SELECT 1000000 + 1000 * item_id + generate_subscripts(s, 1) - 1, unnest(s)
                         FROM (SELECT item_id, string_split_regex(text, '[.\n]') AS s FROM benchmark)""",
-    "begun": """SELECT *, cast(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) AS in_force
-                FROM events""",
+    "begun": """SELECT *, arg_min(CASE WHEN event_type = 'click' THEN event_id END, CASE WHEN event_type = 'click' THEN (ts, event_id) END) OVER (PARTITION BY user_id, g) AS ticket
+                FROM (SELECT *, cast(count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) AS generation,
+                count(*) FILTER (event_type IN ('signup', 'purchase', 'error')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM events)""",
     "files": "SELECT concat('docs/', lpad(doc_id::VARCHAR, 10, '0'), '.txt') AS relative_path, sha256(text) AS sha256, n_chars AS bytes, source FROM documents",
 }
 

@@ -12,43 +12,49 @@ from pyspark.sql.types import StructType
 
 from tidepool.operators.labels import fingerprint
 
-POINTER = "number long, version string, columns string"
+POINTER = "number long, version string, columns string, mark long"
 
 
-def publish(df: DataFrame, root: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet") -> str:
+def publish(df: DataFrame, root: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet", mark: int | None = None) -> str:
     """Writes a new version of a table and then points to it; readers see the old or the new one.
 
     The pointer is a one-row table whose name sorts by version, so nothing that is read is
     ever overwritten, and a writer that dies leaves no trace in what readers see. A table
-    has one writer at a time: of two that publish at once, readers see one.
+    has one writer at a time: of two that publish at once, readers see one. A ``mark``, the
+    generation or micro-batch that the version holds, is published with it as one step.
     """
     spark = df.sparkSession
     version = f"{_latest(spark, root)[0] + 1:08d}-{uuid.uuid4().hex[:8]}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer = writer.option("compression", "zstd") if fmt == "parquet" else writer
     writer.format(fmt).option("header", True).save(f"{root}/{version}")
-    pointer = spark.createDataFrame([(int(version[:8]), version, df.schema.json())], POINTER)
+    pointer = spark.createDataFrame([(int(version[:8]), version, df.schema.json(), mark)], POINTER)
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/_current_versions")
     return f"{root}/{version}"
 
 
-def _latest(spark: SparkSession, root: str) -> tuple[int, str | None, str | None]:
+def _latest(spark: SparkSession, root: str) -> tuple[int, str | None, str | None, int | None]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_current_versions")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return 0, None, None
+        return 0, None, None, None
     row = spark.read.schema(POINTER).parquet(str(path)).orderBy(F.desc("number"), F.desc("version")).first()
-    return tuple(row) if row else (0, None, None)
+    return tuple(row) if row else (0, None, None, None)
 
 
 def current(spark: SparkSession, root: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
     """The latest published version of a table, with the columns it was written with (so an empty one has them too)."""
-    _, version, kinds = _latest(spark, root)
+    _, version, kinds, _ = _latest(spark, root)
     if version is None:
         raise FileNotFoundError(f"nothing is published in {root}")
     reader = spark.read.format(fmt).option("header", True)
     return reader.schema(schema or StructType.fromJson(json.loads(kinds))).load(f"{root}/{version}")
 
 
+def published_mark(spark: SparkSession, root: str) -> int | None:
+    """The mark of the latest published version; none if nothing is published or it has none."""
+    return _latest(spark, root)[3]
+
+
 @dataclass(frozen=True)
 class Index:
     """The derived index: assets, stages, texts, and vectors of complete stages. Words are in sources/word_segments.py."""
