@@ -64,4 +64,16 @@ def thumbnail_edge(width: Column, height: Column, short_edge: int = 1600, most_p
     """Longest edge to decode to: the short edge at most 1600 and 24 million pixels; never larger than it is."""
     long, short = F.greatest(width, height).cast("double"), F.least(width, height).cast("double")
     scale = F.least(F.lit(1.0), short_edge / short, F.sqrt(most_pixels / (long * short)))
-    return F.floor(long * scale).cast("int")
+    return F.greatest(F.lit(1), F.floor(long * scale)).cast("int")
+
+
+#: Longest side and most pixels of a source that is decoded.
+MOST_SIDE, MOST_SOURCE_PIXELS = 65_536, 100_000_000
+
+
+def decode_problem(width: Column, height: Column) -> Column:
+    """Why an image of this size isn't decoded: invalidImage without an extent, imageTooLarge beyond a side or the pixels; else null."""
+    wide, high = width.cast("long"), height.cast("long")
+    no = ~F.coalesce((wide > 0) & (high > 0), F.lit(False))
+    large = (wide > MOST_SIDE) | (high > MOST_SIDE) | (wide * high > MOST_SOURCE_PIXELS)
+    return F.when(no, "invalidImage").when(large, "imageTooLarge")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import vectors as V
@@ -60,6 +60,33 @@ def ranking_problems(cases: DataFrame, queries: DataFrame, corpus: DataFrame) ->
     return found.unionByName(unknown.distinct())
 
 
+def check_provenance(run: dict, model_id: str, fingerprint: str) -> None:
+    """Refuses a run of another model, corpus, schema or ranking limit than the one to be scored."""
+    want = {"schema_version": 1, "model_id": model_id, "corpus_fingerprint": fingerprint, "ranking_limit": RANKED}
+    wrong = [k for k, v in want.items() if run.get(k) != v or type(run.get(k)) is not type(v)]
+    if wrong:
+        raise ValueError("results have incompatible provenance: " + ", ".join(wrong))
+
+
+def scored_report(cases: DataFrame, run: dict, queries: DataFrame, corpus: DataFrame, positives: DataFrame, model_id: str, fingerprint: str) -> DataFrame:
+    """retrieval_scores of a report (query_id, ranked_ids, error) once its provenance and all its cases hold."""
+    check_provenance(run, model_id, fingerprint)
+    problems = ranking_problems(cases, queries, corpus).groupBy("rule").agg(F.count("*").alias("n")).orderBy("rule").collect()
+    if problems:
+        raise ValueError("results break rules: " + ", ".join(f"{r['rule']} ({r['n']})" for r in problems))
+    ranked = cases.select("query_id", F.posexplode("ranked_ids").alias("at", "asset_id")).select("query_id", "asset_id", (F.col("at") + 1).alias("rank"))
+    asked = queries.select("query_id", "language").join(cases.select("query_id", F.col("error").isNotNull().alias("failed")), "query_id", "left")
+    return retrieval_scores(asked, ranked, positives)
+
+
+def parity_summary(parity: DataFrame, drift: DataFrame, most_drift: float = 0.01) -> DataFrame:
+    """One row over all cases: cases, min_cosine, max_drift, and whether every case and the drift pass."""
+    whole = parity.agg(F.count("*").alias("cases"), F.min("cosine").alias("min_cosine"), F.bool_and("passed").alias("_passed"))
+    moved = drift.agg(F.max("drift").alias("max_drift"))
+    passed = F.coalesce(F.col("_passed"), F.lit(True)) & (F.coalesce("max_drift", F.lit(0.0)) <= most_drift)
+    return whole.crossJoin(moved).select("cases", "min_cosine", "max_drift", passed.alias("passed"))  # one row each
+
+
 def vector_parity(actual: DataFrame, reference: DataFrame, least_cosine: float = 0.999) -> DataFrame:
     """(name, mean_error, max_error, cosine, passed) of vectors with equal names."""
     a, r = actual.select("name", F.col("v").alias("a")), reference.select("name", F.col("v").alias("r"))
@@ -107,15 +134,46 @@ def similarity_drift(images: DataFrame, texts: DataFrame) -> DataFrame:
     return met.groupBy("text_id").agg(F.max("drift").alias("drift"))
 
 
+#: Ranges that a group's values are counted in to find its median.
+RANGES = 1024
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median) of each group, exact, the mean of the middle two; null values don't count.
+
+    Values are counted in RANGES ranges between a group's least and greatest, and then one
+    by one in the one or two ranges that hold its middle, equal ones pre-aggregated. So no
+    task holds a group's values.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    ends = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    place = F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) * RANGES)
+    ranged = rows.join(ends, "k").select("k", "v", "n", F.least(F.coalesce(place, F.lit(0)), F.lit(RANGES - 1)).alias("r"))
+    counts = ranged.groupBy("k", "r", "n").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy("r"))  # RANGES rows at most
+    first, last = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1  # the places of the middle two
+    holds = counts.withColumn("before", upto - F.col("c"))
+    holds = holds.where((F.col("before") < last) & (F.col("before") + F.col("c") >= first)).select("k", "r", "before")
+    values = ranged.join(holds, ["k", "r"]).groupBy("k", "r", "before", "n", "v").agg(F.count("*").alias("c"))
+    passed = F.col("before") + F.sum("c").over(Window.partitionBy("k", "r").orderBy("v"))
+    values = values.withColumn("to", passed)
+    middle = lambda at: F.max(F.when((F.col("to") - F.col("c") < at) & (F.col("to") >= at), F.col("v")))
+    found = values.groupBy("k").agg(middle(first).alias("a"), middle(last).alias("b"))
+    return found.select(F.col("k").alias(key), (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
+
+
 def latency_summary(calls: DataFrame) -> DataFrame:
-    """Per group of calls (name, started, seq, ms): the first apart, then median and range of the warm ones."""
+    """Per group of calls (name, started, seq, ms): the first apart, then median and range of the warm ones.
+
+    With a column memory_mb, sampled at each call, peak_mb is its greatest over all calls.
+    """
     firsts = calls.groupBy("name").agg(F.min_by(F.struct("seq", "ms"), F.struct("started", "seq")).alias("f"))
     rows = calls.join(firsts.select("name", F.col("f.seq").alias("_cold"), F.col("f.ms").alias("cold_ms")), "name")
-    warm = F.when(F.col("seq") != F.col("_cold"), F.col("ms"))
-    return rows.groupBy("name").agg(
-        F.first("cold_ms").alias("cold_ms"), F.count(warm).alias("warm_calls"), F.percentile(warm, F.lit(0.5)).alias("warm_median"),
-        F.min(warm).alias("warm_min"), F.max(warm).alias("warm_max"),
-    )
+    rows = rows.withColumn("_warm", F.when(F.col("seq") != F.col("_cold"), F.col("ms")))
+    peak = [F.max("memory_mb").alias("peak_mb")] if "memory_mb" in calls.columns else []
+    found = rows.groupBy("name").agg(F.first("cold_ms").alias("cold_ms"), F.count("_warm").alias("warm_calls"), F.min("_warm").alias("warm_min"), F.max("_warm").alias("warm_max"), *peak)
+    middle = medians(rows, "name", "_warm").withColumnRenamed("median", "warm_median")
+    return found.join(middle, "name", "left")
 
 
 def best_language(hypotheses: DataFrame, least: float = 0.8, margin: float = 0.2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.vectors import broken
+from tidepool.operators.search import check_limit
 from tidepool.operators.counts import with_repeats
 
 KINDS = ("embedding", "ocr")
@@ -88,7 +89,8 @@ def searchable(stages: DataFrame, kind: str, version: str) -> DataFrame:
 
 
 def pending_page(assets: DataFrame, stages: DataFrame, after: Column | int | str, limit: int) -> DataFrame:
-    """The next ``limit`` assets after a cursor that have a pending stage, ascending."""
+    """The next ``limit`` assets, 1 to 1000, after a cursor that have a pending stage, ascending."""
+    check_limit(limit, 1000)
     waiting = stages.where(F.col("status") == "pending").select("asset_id").distinct()
     return assets.where(F.col("asset_id") > after).join(waiting, "asset_id", "left_semi").orderBy("asset_id").limit(limit)
 
@@ -138,10 +140,16 @@ def recovered(stages: DataFrame) -> DataFrame:
     return stages.withColumn("status", F.when(F.col("status") == "processing", "pending").otherwise(F.col("status")))
 
 
-def refreshed(stages: DataFrame, diff: DataFrame, versions: dict[str, str], retry: bool = True) -> DataFrame:
-    """One refresh: reconcile, recover interrupted work, and retry what failed."""
+#: What a refresh tries again: all that failed, as its user asks for; downloads alone, once a start; or nothing.
+RETRY = {"all": ("failed", "requiresDownload"), "downloads": ("requiresDownload",), None: ()}
+
+
+def refreshed(stages: DataFrame, diff: DataFrame, versions: dict[str, str], retry: str | None = "all") -> DataFrame:
+    """One refresh: reconcile, recover interrupted work, and retry by one of the policies of RETRY."""
+    if retry not in RETRY:
+        raise ValueError(f"a retry policy is one of {sorted(map(str, RETRY))}, not {retry!r}")
     rows = recovered(reconciled(stages, diff, versions))
-    again = F.col("status").isin("failed", "requiresDownload") if retry else F.lit(False)
+    again = F.col("status").isin(*RETRY[retry]) if RETRY[retry] else F.lit(False)
     return rows.withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
 
 

@@ -130,6 +130,14 @@ def seeded_sample(rows: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
     return rows.orderBy(F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256)).limit(n)
 
 
+def exact_sample(rows: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
+    """A seeded sample of n rows; fewer candidates are an error, never a smaller sample."""
+    found = seeded_sample(rows, id_col, n, seed)
+    if (there := found.count()) < n:
+        raise ValueError(f"{n} rows are asked for, and {there} pass the filters")
+    return found
+
+
 def modal_answers(answers: DataFrame) -> DataFrame:
     """(question_id, answer, votes): the most frequent trimmed lower-case answer, ties to the first seen."""
     clean = answers.select("question_id", F.lower(F.trim("answer")).alias("answer"), "place")
@@ -148,9 +156,9 @@ def consensus(answers: DataFrame, least_votes: int = 8) -> DataFrame:
 
 def sampled_questions(questions: DataFrame, answers: DataFrame, n: int, seed: str, least_votes: int = 8) -> DataFrame:
     """(image_id, question_id, answer, votes): of each image the question (question_id, image_id) with the lowest id
-    that has a consensus answer, and of these images a seeded sample of ``n``."""
+    that has a consensus answer, and of these images a seeded sample of exactly ``n``."""
     agreed = questions.join(consensus(answers, least_votes), "question_id")
-    return seeded_sample(first_per_key(agreed, "image_id", "question_id"), "image_id", n, seed)
+    return exact_sample(first_per_key(agreed, "image_id", "question_id"), "image_id", n, seed)
 
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:

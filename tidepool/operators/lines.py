@@ -39,16 +39,32 @@ def _shared(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]
     return wide, high
 
 
+#: Boxes of a band of an asset, about, and boxes beyond which bands are cut across too.
+BAND_BOXES, CUT_ACROSS, MOST_BANDS, ACROSS = 16, 256, 1024, 8
+
+
 def box_overlaps(boxes: DataFrame) -> DataFrame:
     """(asset_id, tile, seq, other_tile, other_seq, overlap) of boxes of different tiles that cover each other.
 
-    An equi-join on the asset keeps the box predicate out of a nested loop.
+    The unit square of an asset with many boxes is cut into bands, and beyond CUT_ACROSS
+    boxes into cells. A box is in every cell that it touches, and a pair is compared in one
+    of them, that of its common part's lower left corner. So an asset is many groups, and
+    boxes that are far from each other never meet.
     """
-    left = boxes.select("asset_id", *[F.col(c).alias(f"l_{c}") for c in ("tile", "seq", "x", "y", "w", "h")])
-    right = boxes.select("asset_id", *[F.col(c).alias(f"r_{c}") for c in ("tile", "seq", "x", "y", "w", "h")])
+    counts = boxes.groupBy("asset_id").agg(F.count("*").alias("_n"))
+    rows_, columns_ = F.least(F.lit(MOST_BANDS), F.ceil(F.col("_n") / BAND_BOXES)), F.when(F.col("_n") > CUT_ACROSS, ACROSS).otherwise(1)
+    placed = boxes.join(counts.select("asset_id", rows_.cast("int").alias("_rows"), columns_.cast("int").alias("_columns")), "asset_id")
+    cell = lambda v, n: F.floor(F.greatest(F.lit(0.0), F.least(v, F.lit(1.0 - 1e-9))) * n).cast("int")
+    touched = lambda at, size, n: F.explode(F.sequence(cell(F.col(at), F.col(n)), cell(F.col(at) + F.col(size), F.col(n))))
+    placed = placed.where((F.col("w") > 0) & (F.col("h") > 0))
+    placed = placed.withColumn("_row", touched("y", "h", "_rows")).withColumn("_column", touched("x", "w", "_columns"))
+    names = ("tile", "seq", "x", "y", "w", "h")
+    left = placed.select("asset_id", "_row", "_column", "_rows", "_columns", *[F.col(c).alias(f"l_{c}") for c in names])
+    right = placed.select("asset_id", "_row", "_column", *[F.col(c).alias(f"r_{c}") for c in names])
     a, b = ({c: F.col(f"{s}_{c}") for c in "xywh"} for s in "lr")
     wide, high = _shared(a, b)
-    pairs = left.join(right, "asset_id").where((F.col("l_tile") < F.col("r_tile")) & (wide > 0) & (high > 0))
+    here = (cell(F.greatest(a["y"], b["y"]), F.col("_rows")) == F.col("_row")) & (cell(F.greatest(a["x"], b["x"]), F.col("_columns")) == F.col("_column"))
+    pairs = left.join(right, ["asset_id", "_row", "_column"]).where((F.col("l_tile") < F.col("r_tile")) & (wide > 0) & (high > 0) & here)
     share = wide * high / F.least(a["w"] * a["h"], b["w"] * b["h"])
     pairs = pairs.where((share >= SHARE) & (high / F.least(a["h"], b["h"]) >= VERTICAL))
     return pairs.select(

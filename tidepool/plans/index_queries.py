@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import vectors as V
+from tidepool.operators import encoders
 from tidepool.operators import index_state as I
+from tidepool.operators import refresh as R
 from tidepool.operators import stage_machine as M
 from tidepool.plans.registry import query
 from tidepool.plans.tables import Tables, with_tables
@@ -205,17 +207,47 @@ def source_status(t: Tables) -> DataFrame:
 
 @query(with_tables("assets") + f""", f AS ({FLAGS.format(events='events')}), r AS (SELECT event_id AS asset_id, {STATUS} AS status FROM f)
 SELECT count(*) AS total, count(status) AS checked, count(*) - count(status) AS unchecked, count(*) FILTER (status = 'local') AS local,
-count(*) FILTER (status = 'requiresDownload') AS download_required, count(*) FILTER (status = 'unavailable') AS unavailable
-FROM assets LEFT JOIN r USING (asset_id) WHERE NOT hidden""")
+count(*) FILTER (status = 'requiresDownload') AS download_required, count(*) FILTER (status = 'unavailable') AS unavailable,
+count(*) FILTER (status IN ('requiresDownload', 'unavailable')) AS skipped FROM assets LEFT JOIN r USING (asset_id) WHERE NOT hidden""")
 def availability_counts(t: Tables) -> DataFrame:
     results = source_status(t).withColumnRenamed("event_id", "asset_id")
     is_ = lambda s: F.count_if(F.col("status") == s)
     return t.visible.join(results, "asset_id", "left").agg(
         F.count("*").alias("total"), F.count("status").alias("checked"), F.count_if(F.col("status").isNull()).alias("unchecked"),
         is_("local").alias("local"), is_("requiresDownload").alias("download_required"), is_("unavailable").alias("unavailable"),
+        F.count_if(F.col("status").isin("requiresDownload", "unavailable")).alias("skipped"),
     )
 
 
+def picky_encoder():
+    """The stand-in encoder, which refuses long texts and those that begin with a capital A."""
+    encode = encoders.hash_encoder()
+
+    def model(texts: list[str]) -> list:
+        for t in texts:
+            if len(t) > 5000:
+                raise R.SourceError("imageTooLarge")
+            if t.startswith("A"):
+                raise ValueError("no reading of this text")
+        return encode(texts).tolist()
+
+    return model
+
+
+@query(with_tables("stages") + """ SELECT asset_id, kind, version, CASE WHEN status <> 'pending' OR kind <> 'embedding' THEN CASE WHEN status = 'pending' THEN 'processing' ELSE status END
+  WHEN asset_id % 9 = 0 THEN 'requiresDownload' WHEN asset_id % 10 = 4 OR text IS NULL OR length(text) > 5000 OR text LIKE 'A%' THEN 'failed' ELSE 'complete' END AS status,
+CASE WHEN status = 'pending' AND kind = 'embedding' AND asset_id % 9 <> 0 THEN CASE WHEN asset_id % 10 = 4 THEN 'sourceUnavailable' WHEN text IS NULL THEN 'invalidSource'
+  WHEN length(text) > 5000 THEN 'sourceTooLarge' WHEN text LIKE 'A%' THEN 'processingFailed' END END AS failure FROM stages JOIN documents ON doc_id = asset_id""")
+def processed_stages(t: Tables) -> DataFrame:
+    """All pending vectors encoded and saved: a text that the model refuses is a failed stage with its code, the rest complete."""
+    d = F.col("doc_id")
+    availability = F.when(d % 9 == 0, "requiresDownload").when(d % 10 == 4, "unavailable").otherwise("local")
+    sources = t.documents.select(d.alias("asset_id"), availability.alias("availability"), F.col("text").alias("content"))
+    none = F.lit(None).cast("string")
+    stages = t.stages.withColumns({"attempt": none, "failure": none})
+    return R.process_pending(stages, sources, {"embedding": (picky_encoder, "array<double>")}, "run")[0].drop("attempt")
+
+
 ERRORS = "CASE event_type WHEN 'error' THEN 'imageTooLarge' WHEN 'click' THEN 'timeout' WHEN 'purchase' THEN 'missingModel' WHEN 'signup' THEN NULL ELSE 'other' END"
 
 

@@ -15,7 +15,7 @@ from tidepool.operators import evaluation as E
 from tidepool.operators import labels as L
 from tidepool.operators import lines as N
 from tidepool.operators import search as S
-from tidepool.plans.registry import query
+from tidepool.plans.registry import ORACLES, query
 from tidepool.plans.search_queries import SIMILAR, VISUAL_TABLES, current_vectors
 from tidepool.plans.tables import Tables, with_tables
 from tidepool.sources.shared import shared_folder
@@ -182,7 +182,7 @@ def licensed_images(t: Tables) -> DataFrame:
 
 @query(f"WITH licensed AS (SELECT doc_id AS image_id, upper(source) AS name, {LICENSE} AS url FROM documents WHERE {LICENSE} LIKE '%/licenses/by/%') {SEEDED}")
 def licensed_sample(t: Tables) -> DataFrame:
-    return L.seeded_sample(licensed_images(t), "image_id", 40, "seed").select("image_id", "name", "url")
+    return L.exact_sample(licensed_images(t), "image_id", 40, "seed").select("image_id", "name", "url")
 
 
 @query("SELECT doc_id FROM documents ORDER BY sha256('7' || doc_id::VARCHAR) LIMIT 25")
@@ -262,10 +262,12 @@ coalesce(CASE WHEN vec_id % 220 <> 200 THEN vec_id % 180 = 160 END, true) AS fai
 FIRST = f"{SIMILAR}, {POSITIVES}, firsts AS (SELECT query_id, min(rank) AS first_rank FROM visual JOIN positives USING (query_id, asset_id) WHERE rank <= 10 GROUP BY query_id)"
 
 
-def positives(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("_asked"), "label")
-    pairs = t.embeddings.join(q, "label").where("vec_id <> _asked")
-    return pairs.select(F.floor(F.col("_asked") / 20).alias("query_id"), F.col("vec_id").alias("asset_id"))
+def positives(t: Tables, ranked: DataFrame) -> DataFrame:
+    """Ranked assets of their query's own label: labels are looked up for the few that are ranked, never all pairs of a label."""
+    asset = t.embeddings.select(F.col("vec_id").alias("asset_id"), F.col("label").alias("_label"))
+    wanted = t.embeddings.where("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 20).alias("query_id"), F.col("vec_id").alias("_own"), F.col("label").alias("_wanted"))
+    hits = ranked.select("query_id", "asset_id").join(asset, "asset_id").join(wanted, "query_id")
+    return hits.where("_label = _wanted AND asset_id <> _own").select("query_id", "asset_id")
 
 
 def asked(t: Tables) -> DataFrame:
@@ -276,7 +278,8 @@ def asked(t: Tables) -> DataFrame:
 
 @query(with_tables(*VISUAL_TABLES) + f", {FIRST} SELECT query_id, first_rank FROM firsts")
 def first_relevant_rank(t: Tables) -> DataFrame:
-    return E.first_relevant(S.semantic_top_k(t.vector_queries, current_vectors(t), 10), positives(t))
+    ranked = S.semantic_top_k(t.vector_queries, current_vectors(t), 10)
+    return E.first_relevant(ranked, positives(t, ranked))
 
 
 @query(with_tables(*VISUAL_TABLES) + f""", {FIRST}, {ASKED}, h AS (SELECT *, coalesce(first_rank <= 1, false) AND NOT failed AS h1, coalesce(first_rank <= 5, false) AND NOT failed AS h5,
@@ -284,7 +287,7 @@ CASE WHEN NOT failed THEN coalesce(1.0::DOUBLE / first_rank, 0) ELSE 0 END AS rr
 SELECT language, count(*) AS queries, count(*) FILTER (h1) AS hits_1, count(*) FILTER (h5) AS hits_5, avg(h1::INT) AS success_1, avg(h5::INT) AS success_5, round(avg(rr), 9) AS mrr_10, count(*) FILTER (failed) AS failed FROM h GROUP BY language""")
 def retrieval_scores(t: Tables) -> DataFrame:
     ranked = S.semantic_top_k(t.vector_queries, current_vectors(t), 10)
-    return E.retrieval_scores(asked(t), ranked, positives(t)).withColumn("mrr_10", F.round("mrr_10", 9))
+    return E.retrieval_scores(asked(t), ranked, positives(t, ranked)).withColumn("mrr_10", F.round("mrr_10", 9))
 
 
 @query("""WITH c AS (SELECT CASE WHEN doc_id % 50 = 3 THEN doc_id - 1 ELSE doc_id END AS query_id, list_transform(range(CASE WHEN doc_id % 7 = 0 THEN 9 ELSE 10 END), lambda i: CASE WHEN doc_id % 11 = 0 AND i = 1 THEN doc_id ELSE doc_id + i END) AS ids,
@@ -325,6 +328,25 @@ def similarity_drift(t: Tables) -> DataFrame:
     return E.similarity_drift(rows, rows.where("id % 20 = 0")).withColumn("drift", F.round("drift", 9))
 
 
+PARITY, DRIFT = ORACLES["vector_parity"], ORACLES["similarity_drift"]
+
+
+@query(f"""SELECT cases, min_cosine, max_drift, all_passed AND max_drift <= 0.01 AS passed FROM
+(SELECT count(*) AS cases, min(cosine) AS min_cosine, bool_and(passed) AS all_passed FROM ({PARITY})), (SELECT max(drift) AS max_drift FROM ({DRIFT}))""")
+def parity_summary(t: Tables) -> DataFrame:
+    """The whole run: the smallest cosine of any case, the largest drift of any pair, and whether all pass."""
+    return E.parity_summary(vector_parity(t), similarity_drift(t))
+
+
+@query("""WITH s AS (SELECT doc_id, n_chars * 40 - 400 AS w, 1 + (n_chars * 7) % 5000 AS h FROM documents)
+SELECT doc_id, CASE WHEN w <= 0 OR h <= 0 THEN 'invalidImage' WHEN w > 65536 OR h > 65536 OR w * h > 100000000 THEN 'imageTooLarge' END AS problem,
+CASE WHEN w > 0 AND w <= 65536 AND w * h <= 100000000 THEN greatest(1, floor(greatest(w, h) * least(1.0::DOUBLE, 1600.0::DOUBLE / least(w, h), sqrt(24000000.0::DOUBLE / (w::DOUBLE * h)))))::INT END AS edge FROM s""")
+def decode_rules(t: Tables) -> DataFrame:
+    w, h = F.col("n_chars") * 40 - 400, 1 + (F.col("n_chars") * 7) % 5000
+    rows = t.documents.select("doc_id", w.alias("w"), h.alias("h")).withColumn("problem", G.decode_problem(F.col("w"), F.col("h")))
+    return rows.select("doc_id", "problem", F.when(F.col("problem").isNull(), G.thumbnail_edge(F.col("w"), F.col("h"))).alias("edge"))
+
+
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)
 SELECT event_type AS name, max(value) FILTER (n = 1) AS cold_ms, count(*) FILTER (n > 1) AS warm_calls, round(median(value) FILTER (n > 1), 9) AS warm_median, min(value) FILTER (n > 1) AS warm_min, max(value) FILTER (n > 1) AS warm_max FROM c GROUP BY event_type""")
 def latency_summary(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidepool.operators.labels import fingerprint
+from tidepool.operators.labels import fingerprint, label_report
 
 POINTER = "number long, version string, columns string, mark long"
 
@@ -93,6 +93,25 @@ def export_splits(labels: DataFrame, root: str) -> DataFrame:
     return saved.groupBy("split").agg(F.count("*").alias("rows")).crossJoin(fingerprint(saved))
 
 
+def freeze(labels: DataFrame, corpus: DataFrame, root: str) -> DataFrame:
+    """Exports a label set by splits once all rule suites pass; a set that breaks one is an error and writes nothing."""
+    broken = label_report(labels, corpus).orderBy("rule").limit(20).collect()
+    if broken:
+        raise ValueError("an invalid set can't be frozen: " + ", ".join(f"{r['rule']} ({r['n']})" for r in broken))
+    return export_splits(labels, root)
+
+
+#: Columns of a provenance table, fixed.
+PROVENANCE = (
+    "dataset", "source_image_id", "relative_path", "download_url", "original_url", "license_name", "license_url", "sha256", "bytes",
+)
+
+
+def write_provenance(images: DataFrame, path: str) -> None:
+    """Where each image comes from, as CSV with a header, ordered by relative_path over all files."""
+    images.select(*PROVENANCE).orderBy("relative_path").write.mode("errorifexists").option("header", True).csv(path)
+
+
 def write_report(cases: DataFrame, run: dict[str, str], path: str) -> None:
     """Evaluation cases as JSON lines, each with the run's metadata, in id order within files."""
     entries = [x for k, v in sorted(run.items()) for x in (F.lit(k), F.lit(v))]
