@@ -154,11 +154,12 @@ def consensus(answers: DataFrame, least_votes: int = 8) -> DataFrame:
     )
 
 
-def sampled_questions(questions: DataFrame, answers: DataFrame, n: int, seed: str, least_votes: int = 8) -> DataFrame:
+def sampled_questions(questions: DataFrame, answers: DataFrame, n: int, seed: str, least_votes: int = 8, exact: bool = False) -> DataFrame:
     """(image_id, question_id, answer, votes): of each image the question (question_id, image_id) with the lowest id
-    that has a consensus answer, and of these images a seeded sample of exactly ``n``."""
+    that has a consensus answer, and of these images a seeded sample of ``n``;
+    with ``exact``, fewer are an error."""
     agreed = questions.join(consensus(answers, least_votes), "question_id")
-    return exact_sample(first_per_key(agreed, "image_id", "question_id"), "image_id", n, seed)
+    return (exact_sample if exact else seeded_sample)(first_per_key(agreed, "image_id", "question_id"), "image_id", n, seed)
 
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:

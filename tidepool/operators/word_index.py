@@ -24,6 +24,8 @@ from tidepool.sources.shared import kept
 BUCKET_TEXTS, CLASSES = 256, 8
 #: A query's first buckets hold at least so many times k postings of its rarest term.
 PROBE = 2
+#: Postings of a rarest term in a bucket that other terms' postings are looked up in one by one.
+FEW = 32
 #: Slack of a bound against rounding.
 SLACK = 1e-9
 BLOCKS = "segment int, term string, bucket long, n int, most_tf long, least_tokens int, ids array<{id}>, tfs array<long>, lengths array<int>"
@@ -126,15 +128,26 @@ def candidate_buckets(terms: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.where(F.col("n") == F.col("n_terms")).drop("n", "n_terms")
 
 
-def bucket_scores(buckets: DataFrame, terms: DataFrame, blocks: DataFrame, tombstones: DataFrame, searchable: DataFrame | None) -> DataFrame:
-    """(query_id, asset_id, score) of the texts in ``buckets`` (query_id, segment, bucket) that hold every term."""
-    wanted = buckets.select("query_id", "segment", "bucket").join(terms, "query_id")
+def bucket_scores(
+    buckets: DataFrame, terms: DataFrame, blocks: DataFrame, tombstones: DataFrame, searchable: DataFrame | None, keep: Callable[[DataFrame, str], DataFrame] = kept
+) -> DataFrame:
+    """(query_id, asset_id, score) of the texts in ``buckets`` (query_id, segment, bucket) that hold every term.
+
+    Where the rarest term has at most FEW postings in a bucket, only those texts' postings of
+    the other terms are taken further. What is to be read is written first, so its size is
+    known: while it is small it is broadcast, and blocks are not shuffled.
+    """
+    key = ["term", "segment", "bucket"]
     asked = blocks.join(terms.select("term").distinct(), "term", "left_semi")  # before any shuffle, while the terms are few
-    rows = wanted.join(asked.select("term", "segment", "bucket", "ids", "tfs", "lengths"), ["term", "segment", "bucket"])
+    first = keep(buckets.select("query_id", "segment", "bucket").join(terms.where("place = 1").select("query_id", "term"), "query_id"), "first")
+    rare = first.join(asked.select(*key, "ids"), key).select("query_id", "segment", "bucket", F.when(F.size("ids") <= FEW, F.col("ids")).alias("rare"))
+    wanted = keep(rare.join(terms, "query_id").drop("place"), "wanted")
+    rows = wanted.join(asked.select(*key, "ids", "tfs", "lengths"), key)
     each = rows.select(
-        "query_id", "segment", "n_terms", "weight", "avg_tokens",
+        "query_id", "segment", "n_terms", "weight", "avg_tokens", "rare",
         F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("lengths").alias("tokens"))).alias("p"),
     )
+    each = each.where(F.col("rare").isNull() | F.array_contains("rare", F.col("p.id")))
     part = F.col("weight") * impact(F.col("p.tf"), F.col("p.tokens"), F.col("avg_tokens"))
     hits = each.groupBy("query_id", "segment", F.col("p.id").alias("asset_id")).agg(
         F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), term_sum(part).alias("score")
@@ -174,12 +187,12 @@ def bounded_top_k(
     # Each bucket has a posting of the rarest term, so these are enough; the filter prunes before the shuffle.
     likely = buckets.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PROBE * k)
     likely = keep(likely.withColumn("before", before).where(F.col("before") < PROBE * k).drop("nth", "before"), "likely")
-    first = keep(bucket_scores(likely, terms, blocks, tombstones, searchable), "probed")
+    first = keep(bucket_scores(likely, terms, blocks, tombstones, searchable, keep), "probed")
     ranked = top_k(first, k, "score", ascending=True)
     edge = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("edge")).where(F.col("n") == k).select("query_id", "edge")
     rest = buckets.join(likely.select("query_id", "segment", "bucket"), ["query_id", "segment", "bucket"], "left_anti").join(edge, "query_id", "left")
     rest = rest.where(F.col("edge").isNull() | (F.col("bound") >= -F.col("edge") - SLACK)).drop("edge")
-    second = bucket_scores(rest, terms, blocks, tombstones, searchable)
+    second = bucket_scores(rest, terms, blocks, tombstones, searchable, keep)
     read = likely.withColumn("phase", F.lit(1)).unionByName(rest.withColumn("phase", F.lit(2)))
     return top_k(ranked.drop("rank").unionByName(second), k, "score", ascending=True), read
 

@@ -218,7 +218,7 @@ def evaluation_sample(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     images = licensed_sample(t).select(F.lit("images").alias("dataset"), F.col("image_id").cast("string").alias("source_id"), "url", none.alias("question_id"), none.alias("answer"))
     given = answers(t)
-    chosen = L.sampled_questions(given.select("question_id", "image_id").distinct(), given, 12, "seed")
+    chosen = L.sampled_questions(given.select("question_id", "image_id").distinct(), given, 12, "seed", exact=True)
     return images.unionByName(chosen.select(F.lit("questions").alias("dataset"), F.col("image_id").alias("source_id"), none.alias("url"), "question_id", "answer"))
 
 
