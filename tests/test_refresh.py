@@ -19,22 +19,21 @@ META = ["width"]
 VERSIONS = {"embedding": "1", "ocr": "1"}
 
 
-def lengths():
-    """A model: the length of a text; it refuses some."""
+def models():
+    """Two models, defined here so that workers get them by value: the length of a text, refusing some, and its capitals."""
 
-    def model(texts):
-        if "large" in texts:
-            raise R.SourceError("imageTooLarge")
-        return [[float(len(t))] if t != "bad" else 1 / 0 for t in texts]
+    def lengths():
+        def model(texts):
+            if "large" in texts:
+                raise R.SourceError("imageTooLarge")
+            return [[float(len(t))] if t != "bad" else 1 / 0 for t in texts]
 
-    return model
+        return model
 
+    return {"embedding": (lengths, "array<double>"), "ocr": (lambda: lambda texts: [t.upper() for t in texts], "string")}
 
-def upper():
-    return lambda texts: [t.upper() for t in texts]
 
-
-MODELS = {"embedding": (lengths, "array<double>"), "ocr": (upper, "string")}
+MODELS = models()
 SOURCES = [("a", "local", "one"), ("b", "local", "large"), ("c", "local", "bad"), ("d", "local", None), ("e", "requiresDownload", None), ("f", "unavailable", None), ("h", "local", "three")]
 
 

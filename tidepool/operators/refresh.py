@@ -90,11 +90,13 @@ def saved(stages: DataFrame, results: DataFrame) -> DataFrame:
 
     A result that is late, or saved again, finds no such stage and changes nothing.
     """
-    new = results.select("asset_id", "kind", F.col("version").alias("_v"), F.col("attempt").alias("_a"), F.col("status").alias("_s"), F.col("failure").alias("_f"))
-    rows = stages.join(new.dropDuplicates(["asset_id", "kind", "_v", "_a"]), (stages["asset_id"] == new["asset_id"]) & (stages["kind"] == new["kind"]) & (F.col("version") == F.col("_v")) & (F.col("attempt") == F.col("_a")) & (F.col("status") == "processing"), "left")
+    own = {"_id": "asset_id", "_k": "kind", "_v": "version", "_a": "attempt", "_s": "status", "_f": "failure"}
+    new = results.select(*[F.col(c).alias(n) for n, c in own.items()]).dropDuplicates(["_id", "_k", "_v", "_a"])
+    mine = (F.col("asset_id") == F.col("_id")) & (F.col("kind") == F.col("_k")) & (F.col("version") == F.col("_v")) & (F.col("attempt") == F.col("_a"))
+    rows = stages.select(STAGE).join(new, mine & (F.col("status") == "processing"), "left")
     hit = F.col("_s").isNotNull()
     return rows.select(
-        stages["asset_id"], stages["kind"], "version", F.coalesce("_s", "status").alias("status"),
+        "asset_id", "kind", "version", F.coalesce("_s", "status").alias("status"),
         F.when(~hit, F.col("attempt")).alias("attempt"), F.when(hit, F.col("_f")).otherwise(F.col("failure")).alias("failure"),
     )
 
