@@ -124,6 +124,19 @@ def test_heap_and_columns_merge_alike():
         assert merges.fold_long(w).tolist() == merges.fold([w])[0].tolist()
 
 
+def test_long_pieces_encode_in_linear_time(encoding):
+    merges, _ = ranked_merges(RANKS)
+    rng = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "a"):
+        text = "".join(rng.choices(letters, k=200_000))
+        assert merges.fold_long(text.encode()).tolist() == encoding.encode_ordinary(text)
+    word = "".join(rng.choices("ACGT", k=10_000_000)).encode()
+    began = time.perf_counter()
+    ids = merges.fold_long(word)
+    assert time.perf_counter() - began < 120
+    assert b"".join(merges.pieces[i] for i in ids.tolist()) == word
+
+
 def test_spark_fold_encodes_words(spark, encoding):
     words = ["hello", " world", "tokenization", "", "é", "  ", "unbelievably", "aaaaaaa"]
     rows = encode_words(spark.createDataFrame([(w,) for w in [*words, None, "hello"]], "word string"), RANKS).collect()

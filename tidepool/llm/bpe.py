@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 import json
 
 import numpy as np
@@ -65,6 +66,12 @@ class RankedMerges:
             slot[left] += 1
             self.probes += 1
 
+    @functools.cached_property
+    def plain(self) -> dict[int, int]:
+        """The same table as a dictionary, for one pair at a time."""
+        used = self.key >= 0
+        return dict(zip(self.key[used].tolist(), self.value[used].tolist(), strict=True))
+
     def slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -119,26 +126,39 @@ class RankedMerges:
         return out
 
     def fold_long(self, word: bytes) -> np.ndarray:
-        """The same merges for one long word, in order of rank and place from a heap."""
-        ids = self.byte[np.frombuffer(word, np.uint8)]
-        n = len(ids)
-        first = self.ranks(ids[:-1], ids[1:])
-        ids, nxt, prev = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NO_RANK).tolist()]
-        heapq.heapify(heap)
-        one = lambda a, b: int(self.ranks(np.array([a]), np.array([b]))[0])
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+        """The same merges for one long word, in order of rank and place.
+
+        The word's own pairs are sorted once, the pairs that merges make wait in a heap; both
+        as rank times length plus place. A key counts if the pair there still has that rank.
+        """
+        start = self.byte[np.frombuffer(word, np.uint8)]
+        n, rank = len(start), self.plain.get
+        first = self.ranks(start[:-1], start[1:])
+        own = np.flatnonzero(first != NO_RANK)
+        own = np.sort(first[own].astype(np.int64) * n + own)
+        coming = (key for at in range(0, len(own), 1 << 16) for key in own[at : at + (1 << 16)].tolist())
+        ids, after, before = array("i", start.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        made: list[int] = []
+        head = next(coming, None)
+        while made or head is not None:
+            if head is not None and (not made or head < made[0]):
+                key, head = head, next(coming, None)
+            else:
+                key = heapq.heappop(made)
+            r, i = divmod(key, n)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank(ids[i] << 20 | ids[j]) != r:
                 continue
-            ids[i], ids[j], nxt[i] = r, -1, nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-            for left, right in ((prev[i], i), (i, nxt[i])):
-                if left >= 0 and right < n and (k := one(ids[left], ids[right])) != NO_RANK:
-                    heapq.heappush(heap, (k, left, ids[left], ids[right]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            left, right = before[i], after[i]
+            if right < n:
+                before[right] = i
+                if (k := rank(r << 20 | ids[right])) is not None:
+                    heapq.heappush(made, k * n + i)
+            if left >= 0 and (k := rank(ids[left] << 20 | r)) is not None:
+                heapq.heappush(made, k * n + left)
+        out = np.frombuffer(ids, np.int32)
+        return out[out >= 0]
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word."""
@@ -167,8 +187,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id, *keep, ids array<int>) of every whole text; one narrow stage, no shuffle.
 
     Texts are cut by the byte-level pattern; special strings are ordinary text. Null and
-    empty texts get an empty array; repeated rows are encoded each; only the columns named
-    are read. ``path`` must be readable on every executor.
+    empty texts get an empty array; repeated rows are encoded each; null ids stay null; a very
+    long text is one row, and a piece of any length takes time in proportion to n log n; only
+    the columns named are read. ``path`` must be readable on every executor.
     """
 
     def make():
