@@ -7,11 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import Scratch, join_sized
+from tidepool.llm.shared import BROADCAST_ROWS, Scratch, join_sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most words of a packet, and the packets that a source's target has at least, where it has as many words.
 PACKET, PACKETS_PER_TARGET = 256, 128
+#: Parts of the rows of one id and size, where a span of the shuffle is crowded.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -61,7 +63,9 @@ def mix_sources(
     ordered by finish time and cut at the budget, the sum of the targets; nothing else
     decides. Its order is that of ranges of finish time, and within a range of the packets;
     only the range that holds the cut has to be sorted, so the queue itself is never
-    shuffled, and no task holds a source.
+    shuffled, and no task holds a source. Where one id (or none) has so many rows that a span
+    of the shuffle is crowded, the span is cut by id and size, and rows equal in these, which
+    are interchangeable, are spread over ``SALTS`` parts.
 
     Columns: doc_id, size, source, source_size, target, takes (a struct of epoch, taken
     words and finish for each repeat; a document's taken words are its first ones). Null
@@ -79,6 +83,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("place"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
         ),
         "sized",
     )
@@ -86,20 +91,35 @@ def mix_sources(
     ranges = math.isqrt(n) + 1
     sized = sized.withColumn("span", F.floor(F.col("place") / (2.0**60 / ranges)).cast("int"))
 
-    spans = sized.groupBy("source", "span").agg(F.sum("size").alias("span_size"))
+    spans = sized.groupBy("source", "span").agg(F.sum("size").alias("span_size"), F.count("*").alias("span_rows"))
     sizes = spans.groupBy("source").agg(F.sum("span_size").alias("source_size"))
     targets = scratch.keep(source_targets(sizes, weights, share, repeats), "targets")
     ahead = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("source", "span", F.coalesce(F.sum("span_size").over(ahead), F.lit(0)).alias("ahead"))
+    crowded = (F.col("span_rows") > 16 * ranges).alias("crowded")  # a usual span has at most about ``ranges`` rows
+    spans = spans.select("source", "span", crowded, F.coalesce(F.sum("span_size").over(ahead), F.lit(0)).alias("ahead"))
     spans = spans.join(targets, spans["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    s = spans.select(F.col("source").alias("_source"), F.col("span").alias("_span"), "ahead", "source_size", "target")
+    s = spans.select(F.col("source").alias("_source"), F.col("span").alias("_span"), "crowded", "ahead", "source_size", "target")
     placed = sized.join(s, sized["source"].eqNullSafe(s["_source"]) & (sized["span"] == s["_span"])).drop("_source", "_span")
-    within = Window.partitionBy("source", "span").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("cell", F.when(F.col("crowded"), F.struct("place", "doc_id", "size", "salt")))
+    cells = placed.where("crowded").groupBy("source", "span", "cell").agg(F.sum("size").alias("cell_size"))
+    lower = Window.partitionBy("source", "span").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(
+        F.col("source").alias("_source"), F.col("span").alias("_span"), F.col("cell").alias("_cell"),
+        F.coalesce(F.sum("cell_size").over(lower), F.lit(0)).alias("below"),
+    )
+    cells = scratch.keep(cells, "cells")
+    if many := cells.count():
+        same = placed["source"].eqNullSafe(cells["_source"]) & (placed["span"] == cells["_span"]) & (placed["cell"] == cells["_cell"])
+        placed = placed.join(F.broadcast(cells) if many <= BROADCAST_ROWS else cells, same, "left").drop("_source", "_span", "_cell")
+        placed = placed.withColumn("ahead", F.col("ahead") + F.coalesce("below", F.lit(0))).drop("below")
+    # By all three: a partitioning by source and span alone would keep a crowded span in one task.
+    placed = placed.repartition("source", "span", "cell")
+    within = Window.partitionBy("source", "span", "cell").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("start", F.col("ahead") + F.sum("size").over(within) - F.col("size"))
     quantum = F.greatest(F.lit(1), F.least(F.lit(packet), F.ceil(F.col("target") / PACKETS_PER_TARGET))).cast("long")
-    placed = placed.withColumn("quantum", quantum).withColumn("row", F.monotonically_increasing_id()).drop("span", "ahead")
+    placed = placed.withColumn("quantum", quantum).withColumn("row", F.monotonically_increasing_id()).drop("span", "ahead", "crowded", "cell", "salt")
     placed = scratch.keep(placed, "placed")
-    scratch.drop("sized")
+    scratch.drop("sized", "cells")
 
     size, each = F.col("size"), F.col("quantum")
 
