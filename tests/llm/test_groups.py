@@ -16,6 +16,7 @@ from tidepool.llm.embedding_dedup import link_vectors
 from tidepool.llm.mixing import mix_sources, mixed_totals
 from tidepool.llm.near_dups import near_duplicates
 from tidepool.llm.shared import Scratch
+from tidepool.llm.vectors import sample_by_length
 
 
 def reach(ids, links):
@@ -207,6 +208,47 @@ def test_the_queue_decides_and_meets_the_targets(spark):
     assert [r.taken for r in none] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_a_third_of_the_rows_without_id_queue_alike(spark, monkeypatch, most):
+    monkeypatch.setattr("tidepool.llm.mixing.BROADCAST_ROWS", most)
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(["w"] * int(rng.integers(0, 40)))
+    rows = [(None, text(), "a") for _ in range(1200)] + [(7, "x y z", "a")] * 1100
+    rows += [(i, text(), ["a", "b", None][i % 3]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixed_totals(mix_sources(df.repartition(5))).collect()
+    want = queue_of(rows, *targets_of(rows), 256)
+    key = lambda i, size, taken: (str(i), size, taken)
+    assert sorted(key(r.doc_id, r.size, r.taken) for r in got) == sorted(key(i, len(t.split()), n) for (i, t, _), n in zip(rows, want, strict=True))
+
+
+def test_queries_of_poor_leaves_get_all_their_finds(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    found = nearest(df, asked, k=100, leaf=20, sample_rows=600, recall=0.01).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d"), F.max("rank").alias("r"))
+    assert {(r.n, r.d, r.r) for r in found.collect()} == {(100, 100, 100)}
+    every = nearest(df, asked, k=700, leaf=20, sample_rows=600, recall=0.01).groupBy("query_id").count()
+    assert {r["count"] for r in every.collect()} == {599}
+
+
+def test_one_sample_for_fifty_lengths(spark):
+    rng = np.random.default_rng(10)
+    rows = [(50 * i + n, rng.normal(size=n).tolist()) for i in range(8) for n in range(1, 51)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    counts, samples = sample_by_length(df, "vec_id", "embedding", 100)
+    assert set(counts.values()) == {8} and sum(map(len, samples.values())) < 200
+    few, samples = sample_by_length(df, "vec_id", "embedding", 5)
+    assert set(few) == set(samples) and any(len(x) == 0 for x in samples.values())
+    by = dict(rows)
+    for r in nearest(df, df.where("vec_id < 60"), k=7, sample_rows=5).collect():
+        q, same = np.array(by[r.query_id]), sorted((-float(np.dot(by[i], by[r.query_id])), i) for i in by if len(by[i]) == len(by[r.query_id]) and i != r.query_id)
+        assert abs(same[r.rank - 1][0] + r.score) < 1e-9 * (1 + abs(q @ q))
+    linked = link_vectors(df, sample_rows=5).collect()
+    assert len(linked) == len(rows)
+
+
 def test_links_of_mixtures_across_borders(spark):
     rng = np.random.default_rng(17)
     topics = rng.normal(size=(40, 64))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -121,7 +122,8 @@ def nearest(
     need of them. The forest is fitted on about ``sample_rows`` distinct vectors and every
     vector is indexed in every tree. A leaf's members and its queries meet in blocks, so a
     crowded leaf is many tasks; each gives the k best of a block, and the best of all are
-    kept. Scores are double sums in element order; ties go to the smaller id. Vectors that
+    kept, by a rank whose limit holds before the shuffle. Queries whose leaves hold fewer than
+    k candidates visit eight times as many, until they have k or have seen all. Scores are double sums in element order; ties go to the smaller id. Vectors that
     are null, empty, zero, or hold null or non-finite components, and rows without id, take
     no part. Vectors of several lengths are searched each among its own, with a forest for
     each length. Repeated rows are one; no rows give no rows; other columns, whatever their
@@ -135,7 +137,7 @@ def nearest(
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     kept = clean(vectors).distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
     distinct = scratch.keep(kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "distinct")
-    asked = clean(queries).distinct()
+    todo = clean(queries).distinct()
     schema = "query_id long, rank int, vec_id long, score double"
     counts, samples = sample_by_length(distinct.select(F.col("ids")[0].alias("id"), "v"), "id", "v", sample_rows)
     if not counts:
@@ -152,37 +154,26 @@ def nearest(
                 leaves = pa.ListArray.from_arrays(bounds, pa.array(model.leaves(v).T.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), leaves], ["ids", "v", "leaf"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
-        for b in batches:
-            for n, rows, v in by_length(b.column(1)):
-                if n not in shared.value:  # no candidates of this length
-                    continue
-                part = b.take(pa.array(rows))
-                found = pa.array([[{"tree": t, "leaf": x} for t, x in shared.value[n].search(q)] for q in v], kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["id", "v", "hits"])
+    def probe(times: int):
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
+            for b in batches:
+                for n, rows, v in by_length(b.column(1)):
+                    if n not in shared.value:  # no candidates of this length
+                        continue
+                    part, model = b.take(pa.array(rows)), shared.value[n]
+                    found = pa.array([[{"tree": t, "leaf": x} for t, x in model.search(q, times * model.visits)] for q in v], kind)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["id", "v", "hits"])
+
+        return f
 
     members = distinct.select("ids", "v").mapInArrow(index, f"ids array<long>, v array<{element}>, leaf array<int>")
     members = members.select("ids", "v", F.size("v").alias("dim"), F.posexplode("leaf").alias("tree", "leaf"))
-    kind = asked.schema["v"].dataType.elementType.simpleString()
-    asked = asked.mapInArrow(probe, f"id long, v array<{kind}>, hits array<struct<tree:int,leaf:int>>")
-    asked = scratch.keep(asked, "asked").select("id", "v", F.size("v").alias("dim"), F.explode("hits").alias("h"))
-    asked = asked.select("id", F.col("v").cast(f"array<{element}>").alias("v"), "dim", "h.tree", "h.leaf")
+    kind = todo.schema["v"].dataType.elementType.simpleString()
     # Blocks of a leaf, from counts: trees x 2^depth rows at most, for each length.
     spot = ["dim", "tree", "leaf"]
     parts = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / block).cast("int")
     many = members.groupBy(spot).agg(F.count("*").alias("n"))
-    shape = asked.groupBy(spot).agg(F.count("*").alias("q")).join(many, spot)
-    shape = F.broadcast(shape.select(*spot, parts("n").alias("nb"), parts("q").alias("qb")))
-    none = F.lit(0)
-    left = members.join(shape, spot).select(
-        *spot, F.pmod(F.xxhash64(F.col("ids")[0]), F.col("nb")).cast("int").alias("i"),
-        F.explode(F.sequence(none, F.col("qb") - 1)).alias("j"), "ids", "v", F.lit(None).cast("long").alias("id"),
-    )
-    right = asked.join(shape, spot).select(
-        *spot, F.explode(F.sequence(none, F.col("nb") - 1)).alias("i"),
-        F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("j"), F.lit(None).cast("array<long>").alias("ids"), "v", "id",
-    )
 
     def rank_block(rows: pa.Table) -> pa.Table:
         asked_here = rows.column("id").is_valid()
@@ -219,16 +210,46 @@ def nearest(
         hits = pa.StructArray.from_arrays([pa.array(np.concatenate(best_less)), pa.array(np.concatenate(best_id))], fields=list(out_kind.value_type))
         return pa.table({"query_id": qid, "best": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), hits)})
 
-    tasks = left.unionByName(right).groupBy(*spot, "i", "j")
-    found = tasks.applyInArrow(rank_block, "query_id long, best array<struct<less:double,vec_id:long>>")
-    # At most k for each block visited; equal finds of several trees are one.
-    merged = found.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("all"))
-    before = lambda i: F.get("all", i - 1)
-    once = F.filter("all", lambda x, i: (i == 0) | (x["vec_id"] != before(i)["vec_id"]))
-    merged = merged.select("query_id", F.slice(once, 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.less")).alias("score")
-    )
+    def meet(asked: DataFrame) -> DataFrame:
+        """(query_id, rank, vec_id, less): the k best of the leaves that (id, v, hits) visit."""
+        asked = asked.select("id", "v", F.size("v").alias("dim"), F.explode("hits").alias("h"))
+        asked = asked.select("id", F.col("v").cast(f"array<{element}>").alias("v"), "dim", "h.tree", "h.leaf")
+        shape = asked.groupBy(spot).agg(F.count("*").alias("q")).join(many, spot)
+        shape = F.broadcast(shape.select(*spot, parts("n").alias("nb"), parts("q").alias("qb")))
+        none = F.lit(0)
+        left = members.join(shape, spot).select(
+            *spot, F.pmod(F.xxhash64(F.col("ids")[0]), F.col("nb")).cast("int").alias("i"),
+            F.explode(F.sequence(none, F.col("qb") - 1)).alias("j"), "ids", "v", F.lit(None).cast("long").alias("id"),
+        )
+        right = asked.join(shape, spot).select(
+            *spot, F.explode(F.sequence(none, F.col("nb") - 1)).alias("i"),
+            F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("j"), F.lit(None).cast("array<long>").alias("ids"), "v", "id",
+        )
+        tasks = left.unionByName(right).groupBy(*spot, "i", "j")
+        found = tasks.applyInArrow(rank_block, "query_id long, best array<struct<less:double,vec_id:long>>")
+        finds = found.select("query_id", F.explode("best").alias("hit")).select("query_id", "hit.*")
+        # Finds of several trees are equal, so they share a rank.
+        rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("less", "vec_id"))
+        return finds.withColumn("rank", rank).where(F.col("rank") <= k).distinct()
+
+    best, times = [], 1
+    while True:
+        asked = todo.mapInArrow(probe(times), f"id long, v array<{kind}>, hits array<struct<tree:int,leaf:int>>")
+        asked = scratch.keep(asked, f"asked{times}")
+        found = scratch.keep(meet(asked), f"found{times}")
+        best.append(found)
+        partial = [d for d, x in models.items() if times * x.visits < x.trees << x.depth]
+        if not partial:
+            break
+        full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+        short = asked.where(F.size("v").isin(partial)).select("id", "v").join(full, "id", "left_anti")
+        if short.isEmpty():
+            break
+        todo = scratch.keep(short, f"short{times}")
+        best[-1] = found.join(todo.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+        times *= 8
+    whole = functools.reduce(DataFrame.unionByName, best)
+    return whole.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (-F.col("less")).alias("score"))
 
 
 #: DuckDB SQL: exact search, which the forest equals where one leaf holds the table.

@@ -52,6 +52,7 @@ def fit_cells(sample: np.ndarray, total: int, cosine: float, per_cell: int = 600
     one adds along c - d then has a deviation of 1 / sqrt(dimensions) of that.
     """
     rng = np.random.default_rng(seed)
+    sample = sample if len(sample) else np.eye(1, sample.shape[1])  # a length without a sample is one cell
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     k = max(1, min(most_cells, math.ceil(total / per_cell), len(unit)))
     centroids = unit[rng.choice(len(unit), k, replace=False)]

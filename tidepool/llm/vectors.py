@@ -37,16 +37,16 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def sample_by_length(df: DataFrame, id_col: str, vector_col: str, rows: int) -> tuple[dict[int, int], dict[int, np.ndarray]]:
-    """(vectors of each length, about ``rows`` of them), the same at every run, by a hash of the id; all if there are fewer.
+    """(vectors of each length, a sample of them), the same at every run, by a hash of the id; all if there are fewer.
 
-    Lengths are those of the models that made the vectors, so few; the driver holds
-    ``rows`` vectors of each.
+    The driver holds about ``rows`` vectors, of all lengths together: each length has an equal
+    share, and a share below one may leave a length without a sample.
     """
     size = F.size(vector_col)
     counts = {r["n"]: r["c"] for r in df.groupBy(size.alias("n")).agg(F.count("*").alias("c")).collect()}
     if not counts:
         return {}, {}
-    cuts = F.create_map(*[F.lit(int(x)) for n, c in counts.items() for x in (n, min(1.0, rows / c) * (1 << 30))])
+    cuts = F.create_map(*[F.lit(int(x)) for n, c in counts.items() for x in (n, min(1.0, rows / len(counts) / c) * (1 << 30))])
     picked = df.where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) < F.element_at(cuts, size))
     found: dict[int, list] = {n: [] for n in counts}
     for r in sorted(picked.select(F.col(id_col).alias("i"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).collect()):
