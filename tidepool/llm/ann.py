@@ -17,6 +17,10 @@ from tidepool.llm.shared import Scratch
 from tidepool.llm.vectors import by_length, matrix, sample_by_length, usable
 
 
+#: Parts of a query's leaves that are merged first, each to its k best.
+MERGES = 64
+
+
 @dataclass(frozen=True)
 class Forest:
     """planes[tree, node] and cuts[tree, node] of complete trees; ``visits`` leaves per query."""
@@ -122,7 +126,7 @@ def nearest(
     need of them. The forest is fitted on about ``sample_rows`` distinct vectors and every
     vector is indexed in every tree. A leaf's members and its queries meet in blocks, so a
     crowded leaf is many tasks; each gives the k best of a block, and the best of all are
-    kept, by a rank whose limit holds before the shuffle. Queries whose leaves hold fewer than
+    kept by merges of short lists in two levels. Queries whose leaves hold fewer than
     k candidates visit eight times as many, until they have k or have seen all. Scores are double sums in element order; ties go to the smaller id. Vectors that
     are null, empty, zero, or hold null or non-finite components, and rows without id, take
     no part. Vectors of several lengths are searched each among its own, with a forest for
@@ -180,7 +184,9 @@ def nearest(
         q, m = rows.filter(asked_here), rows.filter(pa.compute.invert(asked_here))
         out_kind = pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())]))
         if not q.num_rows or not m.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "best": pa.array([], out_kind)})
+            return pa.table({"query_id": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "best": pa.array([], out_kind)})
+        where = [rows.column(x)[0].as_py() for x in ("tree", "leaf", "i")]
+        part_of = np.full(q.num_rows, (where[0] * 7919 + where[1] * 31 + where[2]) % MERGES, np.int32)
         a, b = matrix(q.column("v")), matrix(m.column("v"))
         qid = q.column("id").to_numpy()
         lists = m.column("ids").combine_chunks()
@@ -208,7 +214,14 @@ def nearest(
             best_id.append(found[top])
             bounds.extend((bounds[-1] + np.cumsum(np.minimum(size, k))).tolist())
         hits = pa.StructArray.from_arrays([pa.array(np.concatenate(best_less)), pa.array(np.concatenate(best_id))], fields=list(out_kind.value_type))
-        return pa.table({"query_id": qid, "best": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), hits)})
+        return pa.table({"query_id": qid, "part": part_of, "best": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), hits)})
+
+    def merge(found: DataFrame, *by: str) -> DataFrame:
+        """The k best of the lists of each query; equal finds of several trees are one."""
+        rows = found.groupBy("query_id", *by).agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("all"))
+        before = lambda i: F.get("all", i - 1)
+        once = F.filter("all", lambda x, i: (i == 0) | (x["vec_id"] != before(i)["vec_id"]))
+        return rows.select("query_id", F.slice(once, 1, k).alias("best"))
 
     def meet(asked: DataFrame) -> DataFrame:
         """(query_id, rank, vec_id, less): the k best of the leaves that (id, v, hits) visit."""
@@ -226,11 +239,10 @@ def nearest(
             F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("j"), F.lit(None).cast("array<long>").alias("ids"), "v", "id",
         )
         tasks = left.unionByName(right).groupBy(*spot, "i", "j")
-        found = tasks.applyInArrow(rank_block, "query_id long, best array<struct<less:double,vec_id:long>>")
-        finds = found.select("query_id", F.explode("best").alias("hit")).select("query_id", "hit.*")
-        # Finds of several trees are equal, so they share a rank.
-        rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("less", "vec_id"))
-        return finds.withColumn("rank", rank).where(F.col("rank") <= k).distinct()
+        found = tasks.applyInArrow(rank_block, "query_id long, part int, best array<struct<less:double,vec_id:long>>")
+        # In two levels, so that no list is long however many leaves a query visits.
+        merged = merge(merge(found, "part")).select("query_id", F.posexplode("best").alias("at", "hit"))
+        return merged.select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", "hit.less")
 
     best, times = [], 1
     while True:
