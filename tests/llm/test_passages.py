@@ -1,10 +1,10 @@
-"""Passage removal against a brute force over every run of lines, without windows or hashes."""
+"""Passage removal against a brute force over every run of lines, without chunks, windows or hashes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from tidepool.llm.passages import PassageRule, dedup_passages
+from tidepool.llm.passages import PassageRule, chunk_heads, dedup_passages, fewest_spans, read_lines
 
 
 def brute(rows, rule):
@@ -89,3 +89,48 @@ def test_registered_query_and_stage(spark, tmp_path):
     wanted = {(0, rows[0][1])} | {(i, f"own {i}\nend {i}") for i in range(1, 4)}
     assert {(r.doc_id, r.text) for r in op5_line_dedup(spark, str(tmp_path)).collect()} == wanted
     assert {(r.doc_id, r.text) for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == wanted
+
+
+def test_colliding_digests_are_found_by_bytes(spark):
+    rng = np.random.default_rng(13)
+    rule = PassageRule(least_words=2, long_words=9)
+    rows = [(i, "\n".join(f"a{rng.integers(30)} b" for _ in range(8))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup_passages(df.repartition(5), rule, digest_bytes=1)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(brute(rows, rule))
+
+
+def test_columns_of_other_names_stay(spark):
+    rows = [(1, "a b c\n" * 9, "x", 3), (2, "a b c\n" * 9, "y", 4), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc string, removed_lines int")
+    df = df.selectExpr("*", "doc AS id", "doc AS marks", "1 AS head", "named_struct('cut', true) AS c0")
+    got = dedup_passages(df, PassageRule(least_words=4, long_words=9))
+    assert got.columns == ["doc_id", "text", "doc", "id", "marks", "head", "c0", "removed_lines"]
+    assert sorted((r.doc_id, r.doc, r.head, r.c0.cut) for r in got.collect()) == [(1, "x", 1, True), (2, "y", 1, True), (3, None, 1, True)]
+
+
+def pack(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+def test_chunks_open_alike_whatever_is_around():
+    rng = np.random.default_rng(3)
+    shared = [" ".join(f"w{rng.integers(50)}" for _ in range(5)) for _ in range(40)]
+    texts = ["\n".join(shared), "\n".join(["new", "and more", *shared, "", "the end"])]
+    found = [read_lines(*pack([t])) for t in texts]
+    inner = [chunk_heads(x, PassageRule()) for x in found]
+    assert (inner[0][1:39] == inner[1][3:41]).all() and 0 < inner[0].sum() < 40
+    for text in ["", "\n", "a", "a\n", "\na\n\nb"]:
+        one = read_lines(*pack([text, text]))
+        assert len(one.text) == 2 * (text.count("\n") + 1) and one.words.sum() == 2 * len(text.split())
+        assert (chunk_heads(one, PassageRule(long_words=99)) <= (one.words > 0)).all()
+
+
+def test_fewest_spans_cover_the_same_lines():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        spans = sorted(({"at": int(a), "lines": int(n)} for a, n in zip(rng.integers(0, 30, 12), rng.integers(1, 6, 12), strict=True)), key=lambda s: s["at"])
+        lines = lambda some: {x for s in some for x in range(s["at"], s["at"] + s["lines"])}
+        kept = fewest_spans(spans)
+        assert lines(kept) == lines(spans) and sum(s["lines"] for s in kept) <= 2 * len(lines(spans))
