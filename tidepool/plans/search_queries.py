@@ -105,7 +105,7 @@ def cosine_pairs(t: Tables) -> DataFrame:
 
 @query(f"SELECT count(*) AS n_docs, avg(len({tokens_sql('text')})) AS avg_tokens FROM documents")
 def bm25_corpus_stats(t: Tables) -> DataFrame:
-    return t.words.statistics
+    return S.corpus_statistics(t.texts)
 
 
 @query(with_tables("texts") + f", r AS (SELECT asset_id, unnest({tokens_sql('text')}) AS term FROM texts) SELECT term, asset_id, count(*) AS tf FROM r GROUP BY ALL")
@@ -144,7 +144,7 @@ def updated_topk(t: Tables) -> DataFrame:
     """Word search after a snapshot: only texts that it changed are tokenized, into a segment of their own."""
     diff = I.snapshot_diff(t.assets, t.snapshot, t.invalidated, list(RECORD))
     root = f"{shared_folder(t.spark)}/words-{uuid.uuid4().hex}"
-    words = update_words(t.texts, t.next_texts, diff, root, f"{t.index_root}/words")
+    words = update_words(t.texts, t.next_texts, diff, root, t.words_root)
     return word_hits(t, words=words, searchable=t.next_texts.select("asset_id"))
 
 

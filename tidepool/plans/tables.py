@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,32 +128,36 @@ class Tables:
                 raise AttributeError(name)
         return self._known[name]
 
-    @cached_property
-    def index_root(self) -> str:
-        """Where the index of this folder is: published once in the session to the shared folder, and searched there."""
+    def _published(self, part: str, build: Callable[[str], object]) -> str:
+        """Where a part of this folder's index is: published once in the session to the shared folder, and searched there."""
         at = lambda name: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         files = lambda path: path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         marks = []
         for name in ("documents", "embeddings"):
             path = at(f"{self.sf_dir}/{name}.parquet")
             marks += [files(path).getContentSummary(path).getLength(), files(path).getFileStatus(path).getModificationTime()]
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, *marks)
+        key = (part, self.spark.sparkContext.applicationId, self.sf_dir, *marks)
         root = _PUBLISHED.get(key)
-        if not root or not files(at(root)).exists(at(f"{root}/words/segments")):  # the folder may have been cleared
+        if not root or not files(at(root)).exists(at(f"{root}/{part}")):  # the folder may have been cleared
             root = f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"
-            publish_index(self.assets, self.stages, self.texts, self.vectors, root, copies=False)
-            build_words(self.texts, f"{root}/words")
+            build(root)
             _PUBLISHED[key] = root
         return root
 
     @cached_property
     def index(self) -> Index:
-        """Assets, stages and texts in place, and the published vectors."""
-        return read_index(self.spark, self.index_root, (self.assets, self.stages, self.texts))
+        """Assets, stages and texts in place, and the published vectors; a search of vectors alone tokenizes nothing."""
+        in_place = (self.assets, self.stages, self.texts)
+        root = self._published("vectors/_current_versions", lambda root: publish_index(*in_place, self.vectors, root, copies=False))
+        return read_index(self.spark, root, in_place)
+
+    @cached_property
+    def words_root(self) -> str:
+        return self._published("words/segments", lambda root: build_words(self.texts, f"{root}/words")) + "/words"
 
     @cached_property
     def words(self) -> WordIndex:
-        return read_words(self.spark, f"{self.index_root}/words")
+        return read_words(self.spark, self.words_root)
 
     @cached_property
     def begun(self) -> DataFrame:
