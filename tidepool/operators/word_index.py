@@ -13,15 +13,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.search import B, K1, postings, query_terms, term_sum, top_k
-from tidepool.sources.shared import kept
+from tidepool.functions import text as T
+from tidepool.operators.search import B, K1, query_terms, term_sum, top_k
+from tidepool.sources.shared import kept, spread
 
 #: Texts of a bucket, and classes of length that have most texts, about.
 BUCKET_TEXTS, CLASSES = 256, 8
+#: Texts of a task, about, and those whose postings it holds and sorts at a time.
+PIECE_TEXTS, CHUNK_TEXTS = 32_768, 8192
 #: A query's first buckets hold at least so many times k postings of its rarest term.
 PROBE = 2
 #: Postings of a rarest term in a bucket that other terms' postings are looked up in one by one.
@@ -32,55 +36,66 @@ BLOCKS = "segment int, term string, bucket long, n int, most_tf long, least_toke
 
 
 def posting_blocks(texts: DataFrame, segment: int) -> DataFrame:
-    """The blocks of the texts (asset_id, text) of a segment, sorted by term within each file; nothing is shuffled.
+    """The blocks of the texts (asset_id, text) of a segment, sorted by term within a chunk of CHUNK_TEXTS texts.
 
-    A bucket is a class of lengths within a partition, cut to about BUCKET_TEXTS by a hash
-    of the id. Null texts and those without tokens have no block; ids are unique and not null.
+    Only texts that lie unevenly are shuffled, before they are tokenized, to pieces of about
+    PIECE_TEXTS at most. A bucket is a class of lengths within a chunk, cut to about
+    BUCKET_TEXTS by a hash of the id. Null texts and those without tokens have no block; ids
+    are unique and not null.
     """
     kind = texts.schema["asset_id"].dataType.simpleString()
-    parts = max(1, texts.rdd.getNumPartitions())
-    full = texts.count() / parts / CLASSES / BUCKET_TEXTS  # buckets that a class of lengths has texts for
+    texts, n, parts = spread(texts, "asset_id", PIECE_TEXTS)
+    full = min(n / parts, CHUNK_TEXTS) / CLASSES / BUCKET_TEXTS  # buckets that a class of lengths has texts for
     cuts, steps = min(1 << 15, max(1, round(full))), min(2.0, max(0.5, full))
-    length = F.floor(steps * F.log2(F.col("n_tokens"))).cast("long")
-    share = F.pmod(F.xxhash64("asset_id"), F.lit(cuts))
-    rows = postings(texts).select("term", (F.shiftleft(length, 16) + share).alias("bucket"), "asset_id", "tf", "n_tokens")
+    rows = texts.select("asset_id", T.tokens(F.col("text")).alias("t"), F.pmod(F.xxhash64("asset_id"), F.lit(cuts)).alias("share"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
+        part, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            if len(table):
-                heads = _heads(table)
-                if heads[-1]:
-                    yield _blocks(table.slice(0, heads[-1]), heads, segment, part)
-                held = table.slice(heads[-1])  # the last block may go on
-        if held is not None:
-            yield _blocks(held, np.zeros(1, np.int64), segment, part)
-
-    return rows.sortWithinPartitions("term", "bucket").mapInArrow(build, BLOCKS.format(id=kind))
-
-
-def _heads(table: pa.Table) -> np.ndarray:
-    term, bucket = table["term"].combine_chunks().dictionary_encode().indices.to_numpy(), table["bucket"].to_numpy()
-    return np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (bucket[1:] != bucket[:-1])))
-
-
-def _blocks(table: pa.Table, heads: np.ndarray, segment: int, part: int) -> pa.RecordBatch:
-    """A block for each run of one term and bucket that begins at ``heads``."""
-    heads = heads[heads < len(table)]
-    column = lambda name: table[name].combine_chunks()
-    bounds = pa.array(np.append(heads, len(table)).astype(np.int32))
-    columns = {
-        "segment": pa.array(np.full(len(heads), segment, np.int32)),
-        "term": column("term").take(pa.array(heads)),
-        "bucket": pa.array((np.int64(part) << 32) + column("bucket").to_numpy()[heads]),
-        "n": pa.array(np.diff(np.append(heads, len(table))).astype(np.int32)),
-        "most_tf": pa.array(np.maximum.reduceat(column("tf").to_numpy(), heads)),
-        "least_tokens": pa.array(np.minimum.reduceat(column("n_tokens").to_numpy(), heads)),
-        **{name: pa.ListArray.from_arrays(bounds, column(c)) for name, c in (("ids", "asset_id"), ("tfs", "tf"), ("lengths", "n_tokens"))},
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK_TEXTS:
+                yield from _blocks(pa.Table.from_batches(held), steps, segment, (part << 42) + (chunk << 22))
+                chunk, held, size = chunk + 1, [], 0
+        if size:
+            yield from _blocks(pa.Table.from_batches(held), steps, segment, (part << 42) + (chunk << 22))
+
+    return rows.mapInArrow(build, BLOCKS.format(id=kind))
+
+
+def _blocks(texts: pa.Table, steps: float, segment: int, first: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of some texts (asset_id, t, share), by term and bucket; their buckets are numbered from ``first`` on."""
+    ids, t = texts["asset_id"].combine_chunks(), texts["t"].combine_chunks()
+    sizes = pa.compute.fill_null(t.value_lengths(), 0).to_numpy().astype(np.int32)
+    coded = t.flatten().dictionary_encode()
+    if not len(coded):
+        return
+    order = pa.compute.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    length = np.floor(steps * np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    buckets, own = np.unique((length << 16) + texts["share"].to_numpy(), return_inverse=True)
+    # One number for term, bucket and text: sorted and counted at once, and small enough for 64 bits.
+    text = np.repeat(np.arange(len(ids)), sizes)
+    at, tf = np.unique((place[coded.indices.to_numpy()] * len(buckets) + own[text]) * len(ids) + text, return_counts=True)
+    block, text = at // len(ids), at % len(ids)
+    heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    tokens, terms = sizes[text], coded.dictionary.take(order)
+    for i in range(0, len(heads), 1 << 14):
+        some = heads[i : i + (1 << 14)]
+        end = heads[i + (1 << 14)] if i + (1 << 14) < len(heads) else len(at)
+        rows, begins, bounds = slice(some[0], end), some - some[0], pa.array((np.append(some, end) - some[0]).astype(np.int32))
+        lists = {"ids": ids.take(pa.array(text[rows])), "tfs": pa.array(tf[rows]), "lengths": pa.array(tokens[rows])}
+        columns = {
+            "segment": pa.array(np.full(len(some), segment, np.int32)),
+            "term": terms.take(pa.array(block[some] // len(buckets))),
+            "bucket": pa.array(first + buckets[block[some] % len(buckets)]),
+            "n": pa.array(np.diff(np.append(some, end)).astype(np.int32)),
+            "most_tf": pa.array(np.maximum.reduceat(tf[rows], begins)),
+            "least_tokens": pa.array(np.minimum.reduceat(tokens[rows], begins)),
+            **{name: pa.ListArray.from_arrays(bounds, values) for name, values in lists.items()},
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def term_frequencies(blocks: DataFrame) -> DataFrame:

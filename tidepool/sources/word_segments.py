@@ -77,16 +77,10 @@ def build_words(texts: DataFrame, root: str) -> WordIndex:
 
     No texts give an index of one empty segment.
     """
-    _write([], _spread(texts), texts.limit(0), root, 0)
+    _write([], texts, texts.limit(0), root, 0)
     return read_words(texts.sparkSession, root)
 
 
-def _spread(texts: DataFrame) -> DataFrame:
-    """A short table in few files is dealt to all cores before it is tokenized."""
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
-
-
 def update_words(stored: DataFrame, now: DataFrame, diff: DataFrame, root: str, source: str | None = None, most: int = MOST_SEGMENTS) -> WordIndex:
     """Publishes a segment of what a snapshot changed, given stored and present texts and (asset_id, change).
 
@@ -101,7 +95,7 @@ def update_words(stored: DataFrame, now: DataFrame, diff: DataFrame, root: str,
     rows = _listed(spark, source or root)
     if not rows or len(rows) >= most:
         segment = rows[-1]["segment"] + 1 if rows else 0
-        _write([], _spread(now), now.limit(0), root, segment)
+        _write([], now, now.limit(0), root, segment)
         return read_words(spark, root)
     touched = diff.where(F.col("change") != "unchanged").select("asset_id")
     added = now.join(touched, "asset_id", "left_semi").select("asset_id", "text")
