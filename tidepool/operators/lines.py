@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +77,21 @@ def box_overlaps(boxes: DataFrame) -> DataFrame:
     )
 
 
+class Detection(NamedTuple):
+    """A line as one tile saw it."""
+
+    asset_id: int | None
+    tile: int
+    seq: int
+    text: str
+    confidence: float
+    interior: bool
+    x: float
+    y: float
+    w: float
+    h: float
+
+
 class _Seen:
     """A detection with its letters and digits, which is what spellings are compared by."""
 
@@ -110,27 +129,49 @@ class _Seen:
         return mine >= (first[1], b.interior, b.confidence, lengths[1], -b.tile)
 
 
+def _merged(rows: list[Detection]) -> list[tuple]:
+    """(asset_id, seq, place, text) of the lines that stay of an asset's detections, which come by tile and sequence."""
+    kept: list[_Seen] = []
+    for row in rows:
+        best, rest = _Seen(row), []
+        new = best
+        for old in kept:
+            if old.repeats(new):
+                best = old if old.beats(best) else best
+            else:
+                rest.append(old)
+        kept = [*rest, best]
+    kept.sort(key=lambda k: (-k.middle, k.row.x))
+    return [(k.row.asset_id, k.row.seq, i, k.row.text) for i, k in enumerate(kept)]
+
+
 def merge_lines(detections: DataFrame) -> DataFrame:
     """(asset_id, seq, place, text) of the lines that stay of (asset_id, tile, seq, text, confidence, interior, x, y, w, h).
 
     Detections are taken by tile and sequence; one that repeats lines already kept meets
     them in turn and the winner takes their place. Reading order is top to bottom, then left
-    to right. The lines of one asset are one group, bounded by the result rules.
+    to right. The lines of one asset are bounded by the result rules; a task takes its assets
+    one after another from sorted Arrow batches, with no frame or call for each.
     """
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[_Seen] = []
-        for row in rows.sort_values(["tile", "seq"]).itertuples():
-            best, rest = _Seen(row), []
-            new = best
-            for old in kept:
-                if old.repeats(new):
-                    best = old if old.beats(best) else best
-                else:
-                    rest.append(old)
-            kept = [*rest, best]
-        kept.sort(key=lambda k: (-k.middle, k.row.x))
-        found = [(k.row.asset_id, k.row.seq, i, k.row.text) for i, k in enumerate(kept)]
-        return pd.DataFrame(found, columns=["asset_id", "seq", "place", "text"])
-
-    return detections.groupBy("asset_id").applyInPandas(merge, "asset_id long, seq int, place int, text string")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
+    floats = [c in ("confidence", "x", "y", "w", "h") for c in Detection._fields]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["asset_id", "seq", "place", "text"])
+        rows: list[Detection] = []
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [[math.nan if v is None else v for v in c.to_pylist()] if f else c.to_pylist() for c, f in zip(batch.columns, floats, strict=True)]
+            for row in map(Detection, *columns):
+                if rows and row.asset_id != rows[0].asset_id:
+                    out += _merged(rows)
+                    rows = []
+                rows.append(row)
+            if out:
+                yield pack(out)
+        if rows:
+            yield pack(_merged(rows))
+
+    by_asset = detections.select(*Detection._fields).repartition("asset_id")
+    ordered = by_asset.sortWithinPartitions("asset_id", F.col("tile").asc_nulls_last(), F.col("seq").asc_nulls_last())
+    return ordered.mapInArrow(merge, "asset_id long, seq int, place int, text string")
