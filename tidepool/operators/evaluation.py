@@ -100,8 +100,8 @@ def vector_parity(actual: DataFrame, reference: DataFrame, least_cosine: float =
     return rows.withColumn("passed", F.col("cosine") >= least_cosine)
 
 
-#: Images, and texts, that meet in one piece of work.
-MEET = 4096
+#: Images, and texts, that meet in one piece of work, and products that it holds at a time.
+MEET, PRODUCTS = 4096, 1 << 20
 
 
 def similarity_drift(images: DataFrame, texts: DataFrame) -> DataFrame:
@@ -125,8 +125,14 @@ def similarity_drift(images: DataFrame, texts: DataFrame) -> DataFrame:
         rows = lambda x, c: x.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
         if not a.num_rows or not b.num_rows:
             return pa.table({"text_id": b.column("id").slice(0, 0), "drift": pa.array([], pa.float64())})
-        change = np.abs(rows(b, "v") @ rows(a, "v").T - rows(b, "w") @ rows(a, "w").T)
-        return pa.table({"text_id": b.column("id"), "drift": change.max(1)})
+        old, new, drift = rows(a, "v").T, rows(a, "w").T, np.empty(b.num_rows)
+        text_v, text_w, few = rows(b, "v"), rows(b, "w"), max(1, PRODUCTS // a.num_rows)
+        for at in range(0, b.num_rows, few):
+            part = slice(at, at + few)
+            change = text_v[part] @ old
+            change -= text_w[part] @ new
+            drift[part] = np.abs(change, out=change).max(1)
+        return pa.table({"text_id": b.column("id"), "drift": drift})
 
     key = ["_dim", "i", "j"]
     kind = texts.schema["id"].dataType.simpleString()
