@@ -12,9 +12,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.sources.shared import kept
+
 #: States in which an event is accepted, and the state after it.
 PLAIN = {
     "begin": (("pending", "failed", "requiresDownload"), "processing"),
@@ -27,6 +30,8 @@ TICKETS = {"complete": "complete", "fail": "failed", "needsDownload": "requiresD
 STATUSES = (None, "pending", "processing", "complete", "requiresDownload", "failed")
 #: Stands for the attempt that a run is entered with.
 ENTRY = -1
+#: Events of a run.
+RUN_EVENTS = 10_000
 
 
 def step(status: str | None, attempt: int | None, event: str, seq: int, ticket: int | None, fresh: bool, reset: bool) -> tuple[str | None, int | None, bool]:
@@ -118,20 +123,20 @@ def running_counts(events: DataFrame, counted: dict[str, Column], span: str = "1
 
 
 def with_force(log: DataFrame) -> DataFrame:
-    """A log (key, ts, seq, event, changed, attempt, generation, version) with what is in force: fresh, reset, generations.
+    """A log (key, ts, seq, event, changed, attempt, generation, version) with what is in force: fresh, reset, generations, nth.
 
     Upserts are always accepted, so the generation (how many changed it) and version at each
-    event follow from them alone, without a replay.
+    event follow from them alone, without a replay. ``nth`` counts the key's events.
     """
     upsert = F.col("event") == "upsert"
-    rows = running_counts(log, {"generations": upsert & F.coalesce("changed", F.lit(False)), "_upserts": upsert})
+    rows = running_counts(log, {"generations": upsert & F.coalesce("changed", F.lit(False)), "_upserts": upsert, "nth": F.lit(True)})
     versions = rows.where(upsert).select(F.col("key").alias("_key"), F.col("_upserts").alias("_nth"), F.col("version").alias("_version"))
     now = rows.join(versions, rows["key"].eqNullSafe(versions["_key"]) & (F.col("_upserts") == F.col("_nth")), "left").drop("_key", "_nth")
     earlier = versions.select(F.col("_key"), (F.col("_nth") + 1).alias("_nth"), F.col("_version").alias("_before"))
     now = now.join(earlier, upsert & now["key"].eqNullSafe(earlier["_key"]) & (F.col("_upserts") == F.col("_nth")), "left").drop("_key", "_nth")
     fresh = F.col("generation").eqNullSafe(F.col("generations")) & F.col("version").eqNullSafe(F.col("_version"))
     reset = upsert & (F.coalesce("changed", F.lit(False)) | ~F.col("version").eqNullSafe(F.col("_before")))
-    return now.select("key", "ts", "seq", "event", "attempt", fresh.alias("fresh"), reset.alias("reset"), "generations")
+    return now.select("key", "ts", "seq", "event", "attempt", fresh.alias("fresh"), reset.alias("reset"), "generations", "nth")
 
 
 def _value(x) -> int | None:
@@ -142,15 +147,56 @@ def _text(x) -> str | None:
     return None if x is None or pd.isna(x) else x
 
 
-def replay_events(log: DataFrame, span: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """(every event with ``accepted``, the final status and attempt of each key) of a log.
+def _replay(log: DataFrame, each: bool) -> DataFrame:
+    """A log replayed: every event with ``accepted`` if ``each``, else a row for each run, with its exit and counts.
 
-    A run is a key's events within a span of time. Runs are mapped and replayed in tasks of
-    their own; one task composes the maps of a key, a few rows for each of its runs.
+    A run is RUN_EVENTS of a key's events in order, so most keys are one run, entered with
+    nothing, and are replayed at once. Runs of longer keys are mapped in tasks of their own; one
+    task composes the maps of a key, a few rows for each of its runs.
     """
-    rows = with_force(log).withColumn("_span", F.date_trunc(span.split()[1], F.col("ts").cast("timestamp")))
+    rows = with_force(log).withColumn("_span", F.floor((F.col("nth") - 1) / RUN_EVENTS).cast("long"))
     # Keys go as text: pandas would make floats of a column with nulls. So do attempts.
-    rows = rows.select(F.col("key").cast("string").alias("key"), "_span", "ts", "seq", "event", F.col("attempt").cast("string").alias("attempt"), "fresh", "reset", "generations")
+    rows = kept(rows.select(
+        F.col("key").cast("string").alias("key"), "_span", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), "event",
+        F.col("attempt").cast("string").alias("attempt"), "fresh", "reset", "generations",
+    ), "log")
+    later = rows.where("_span > 0").select(F.col("key").alias("_key")).distinct()  # at most a key for RUN_EVENTS events
+    entered = None if later.isEmpty() else _entries(rows.join(F.broadcast(later), rows["key"].eqNullSafe(later["_key"]), "left_semi"))
+    both = rows if entered is None else rows.unionByName(entered, allowMissingColumns=True)
+    both = both.repartition("key", "_span").sortWithinPartitions("key", "_span", F.col("ts").asc_nulls_first(), F.col("seq").asc_nulls_first())
+    names = ["key", "seq", "event", "attempt", "accepted"] if each else ["key", "run", "status", "attempt", "generation", "accepted", "rejected"]
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, status, attempt, generation, counts = None, None, None, 0, [0, 0]
+        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names)
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()] if each else [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        for batch in batches:
+            out = []
+            for key, run, event, seq, ticket, fresh, reset, upto in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (key, run):
+                    if now and not each:
+                        out.append((*now, status, attempt, generation, *counts))
+                    now, status, attempt, generation, counts = (key, run), None, None, 0, [0, 0]
+                named = None if ticket is None else int(ticket)
+                if seq is None:  # the state that this run is entered with
+                    status, attempt = event, named
+                    continue
+                status, attempt, accepted = step(status, attempt, event, seq, named, bool(fresh), bool(reset))
+                if each:
+                    out.append((key, seq, event, ticket, accepted))
+                else:
+                    generation = upto
+                    counts[0 if accepted else 1] += 1
+            yield pack(out)
+        if now and not each:
+            yield pack([(*now, status, attempt, generation, *counts)])
+
+    schema = "key string, seq long, event string, attempt string, accepted boolean" if each else "key string, run long, status string, attempt long, generation int, accepted long, rejected long"
+    return both.select("key", "_span", "event", "seq", "attempt", "fresh", "reset", "generations").mapInArrow(again, schema)
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """(key, _span, event, attempt): the status and attempt that each run is entered with, as rows before its events."""
     runs = rows.repartition("key", "_span").sortWithinPartitions("key", "_span", "ts", "seq")
 
     def events(batch: pd.DataFrame) -> Iterator[tuple]:
@@ -172,11 +218,11 @@ def replay_events(log: DataFrame, span: str = "1 hour") -> tuple[DataFrame, Data
         if found:
             yield pd.DataFrame([(*now, *as_text(r)) for r in found.exits()], columns=names)
 
-    kinds = "key string, _span timestamp, kind string, status string, ticket string, exit_status string, exit_attempt string"
+    kinds = "key string, _span long, kind string, status string, ticket string, exit_status string, exit_attempt string"
     maps = runs.select("key", "_span", "seq", "event", "attempt", "fresh", "reset").mapInPandas(build, kinds)
 
     def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "_span", "status", "attempt", "last"]
+        names = ["key", "_span", "event", "attempt"]
         key, at, state, exits = object(), None, (None, None), {}
 
         def leave() -> tuple[str | None, int | None]:
@@ -185,52 +231,27 @@ def replay_events(log: DataFrame, span: str = "1 hour") -> tuple[DataFrame, Data
             out = out or exits[("status", status)]
             return (out[0], attempt) if out[1] == ENTRY else out
 
-        def row(last: bool) -> tuple:
-            return key, at, state[0], None if state[1] is None else str(state[1]), last
+        def row() -> tuple:
+            return key, at, state[0], None if state[1] is None else str(state[1])
 
         for batch in batches:
             done = []
-            for k, span_, kind, status, ticket, exit_status, exit_attempt in batch.itertuples(index=False):
+            for k, run, kind, status, ticket, exit_status, exit_attempt in batch.itertuples(index=False):
                 k = _text(k)
-                if k != key or span_ != at:
+                if k != key or run != at:
                     if exits:
-                        done.append(row(False))
+                        done.append(row())
                         state = leave()
-                        if k != key:
-                            done.append(row(True))
                     if k != key:
                         state = (None, None)
-                    key, at, exits = k, span_, {}
+                    key, at, exits = k, run, {}
                 exits[(kind, _value(ticket) if kind == "ticket" else _text(status))] = (_text(exit_status), _value(exit_attempt))
             if done:
                 yield pd.DataFrame(done, columns=names)
         if exits:
-            entered = row(False)
-            state = leave()
-            yield pd.DataFrame([entered, row(True)], columns=names)
-
-    states = maps.repartition("key").sortWithinPartitions("key", "_span").mapInPandas(compose, "key string, _span timestamp, status string, attempt string, last boolean")
-    entered = states.where("NOT last").select("key", "_span", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("seq"), F.col("status").alias("event"), "attempt")
-    both = rows.withColumn("seq", F.col("seq").cast("long")).withColumn("ts", F.col("ts").cast("timestamp"))
-    both = both.unionByName(entered, allowMissingColumns=True).repartition("key", "_span").sortWithinPartitions("key", "_span", F.col("ts").asc_nulls_first(), F.col("seq").asc_nulls_first())
-
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        status, attempt = None, None
-        for batch in batches:
-            out = []
-            for key, _, event, seq, ticket, fresh, reset in events(batch):
-                if pd.isna(seq):  # the state that this run is entered with
-                    status, attempt = _text(event), _value(ticket)
-                else:
-                    status, attempt, accepted = step(status, attempt, event, int(seq), _value(ticket), bool(fresh), bool(reset))
-                    out.append((_text(key), int(seq), event, ticket, accepted))
-            yield pd.DataFrame(out, columns=["key", "seq", "event", "attempt", "accepted"])
+            yield pd.DataFrame([row()], columns=names)
 
-    kind, ticket_kind = log.schema["key"].dataType, log.schema["attempt"].dataType
-    replayed = both.select("key", "_span", "event", "seq", "attempt", "fresh", "reset").mapInPandas(again, "key string, seq long, event string, attempt string, accepted boolean")
-    replayed = replayed.select(F.col("key").cast(kind).alias("key"), "seq", "event", F.col("attempt").cast(ticket_kind).alias("attempt"), "accepted")
-    final = states.where("last").select(F.col("key").cast(kind).alias("key"), "status", F.col("attempt").cast("long").alias("attempt"))
-    return replayed, final
+    return maps.repartition("key").sortWithinPartitions("key", "_span").mapInPandas(compose, "key string, _span long, event string, attempt string")
 
 
 OUTPUT = "key long, status string, attempt long, generation int, accepted long, rejected long"
@@ -243,16 +264,16 @@ def replay_log(log: DataFrame) -> DataFrame:
     unique within a key. A null key is a key; null flags are false; an unknown event is
     rejected; an empty log has no keys.
     """
-    replayed, final = replay_events(log)
-    counts = replayed.groupBy(F.col("key").alias("_key")).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
-    changed = log.groupBy(F.col("key").alias("_k")).agg(F.count_if((F.col("event") == "upsert") & F.col("changed")).cast("int").alias("generation"))
-    found = final.join(counts, final["key"].eqNullSafe(counts["_key"])).join(changed, final["key"].eqNullSafe(changed["_k"]))
-    return found.select("key", "status", "attempt", "generation", "accepted", "rejected")
+    runs = _replay(log, each=False)
+    last = F.max_by(F.struct("status", "attempt", "generation"), "run").alias("last")
+    found = runs.groupBy("key").agg(last, F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    return found.select(F.col("key").cast(log.schema["key"].dataType).alias("key"), "last.*", "accepted", "rejected")
 
 
 def stale(log: DataFrame) -> DataFrame:
     """Results (key, seq, attempt) of a log that the machine rejects: not processing, or of another generation, version or attempt."""
-    return replay_events(log)[0].where(F.col("event").isin(*TICKETS) & ~F.col("accepted")).select("key", "seq", "attempt")
+    rejected = _replay(log, each=True).where(F.col("event").isin(*TICKETS) & ~F.col("accepted"))
+    return rejected.select(*[F.col(c).cast(log.schema[c].dataType).alias(c) for c in ("key", "seq", "attempt")])
 
 
 def replay(events: Iterable[tuple], stage: Stage | None = None) -> tuple[Stage, int, int]:
