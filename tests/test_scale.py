@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,32 @@ def test_cosine_pairs_equal_the_columns_and_are_many_tasks(spark, monkeypatch, m
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_ids_of_pairs_take_few_bytes_of_a_file(spark, tmp_path):
+    dim = F.array(*[F.sin(F.col("id") * k).cast("float") for k in (1, 2, 3)])
+    vectors = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("asset_id"), F.lit("m").alias("model_id"), dim.alias("embedding"))
+    queries = vectors.where("asset_id % 2000 = 7").withColumnRenamed("asset_id", "query_id")
+    S.cosine_scores(queries, vectors).write.parquet(str(tmp_path / "pairs"))
+    rows, size = 0, {"query_id": 0, "asset_id": 0, "similarity": 0}
+    for path in (tmp_path / "pairs").glob("*.parquet"):
+        found = pq.ParquetFile(path).metadata
+        rows += found.num_rows
+        for group in map(found.row_group, range(found.num_row_groups)):
+            for column in map(group.column, range(group.num_columns)):
+                size[column.path_in_schema] += column.total_compressed_size
+    assert rows == 20 * 40_000
+    assert (size["query_id"] + size["asset_id"]) / rows < 0.6  # an id as a number takes 8
+
+
+def test_more_queries_make_more_tasks_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_PAIRS", 400)
+    vectors = some_vectors(spark, 400)
+    for n in (5, 20, 80):
+        queries = vectors.where(f"asset_id < {n}").withColumnRenamed("asset_id", "query_id")
+        found = S.cosine_scores(queries, vectors)
+        counts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(counts) < 4 * 400 and sum(counts) > 100 * n
+
+
 def test_nearest_search_deals_assets_to_all_cores(spark):
     vectors = some_vectors(spark, 400)
     queries = vectors.where("asset_id < 9").withColumnRenamed("asset_id", "query_id")
